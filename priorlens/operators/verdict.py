@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .bridges import bridge_links
 from .setcover import MAX_SIZE, BitMask, full_masks, minimum_sizes, paper_masks
 
@@ -24,6 +25,7 @@ def connected_support(sizes: DataFrame, masks: DataFrame, full: DataFrame, bridg
     ends = links.join(of.select("audit_id", F.col("paper_id").alias("a"), F.col("mask").alias("mask_a")), ["audit_id", "a"]).join(
         of.select("audit_id", F.col("paper_id").alias("b"), F.col("mask").alias("mask_b")), ["audit_id", "b"]
     )
+    ends = cut_lineage(ends)  # only links between useful candidates are left
     plain = ends.filter(F.size("endpoints") == 2)
     two = plain.join(target.filter("size = 2"), "audit_id").filter(F.col("mask_a").bitwiseOR(F.col("mask_b")) == F.col("full")).select("audit_id", "support")
 
@@ -34,9 +36,10 @@ def connected_support(sizes: DataFrame, masks: DataFrame, full: DataFrame, bridg
     pair = half.join(half.select("audit_id", "support", "hub", F.col("mask").alias("other")), ["audit_id", "support", "hub"])
     three = pair.filter(F.col("hub_mask").bitwiseOR(F.col("mask")).bitwiseOR(F.col("other")) == F.col("full")).select("audit_id", "support")
 
-    wide = links.filter(F.size("endpoints") == 3).select("audit_id", "support", "endpoints").distinct()
-    wide = wide.select("audit_id", "support", "endpoints", F.explode("endpoints").alias("paper_id")).join(of, ["audit_id", "paper_id"])
-    wide = wide.groupBy("audit_id", "support", "endpoints").agg(F.bit_or("mask").alias("m"), F.count("*").alias("n")).filter("n = 3")
+    # a three-work bridge shows up as its three pairs, with all masks known
+    wide = ends.filter(F.size("endpoints") == 3).groupBy("audit_id", "support", "endpoints").agg(
+        F.bit_or(F.col("mask_a").bitwiseOR(F.col("mask_b"))).alias("m"), F.count("*").alias("n")
+    ).filter("n = 3")
     wide = wide.join(target.filter("size = 3"), "audit_id").filter("m = full").select("audit_id", "support")
     return two.unionByName(three).unionByName(wide).distinct()
 
@@ -48,7 +51,7 @@ def classify(audits: DataFrame, facets: DataFrame, papers: DataFrame, coverage:
     """
     masks = paper_masks(facets, papers, coverage, strict)
     full = full_masks(facets)
-    sizes = minimum_sizes(masks.select("audit_id", "mask").distinct(), full, ["audit_id"], max_size, BitMask)
+    sizes = cut_lineage(minimum_sizes(masks.select("audit_id", "mask").distinct(), full, ["audit_id"], max_size, BitMask))
     support = connected_support(sizes, masks, full, bridges).groupBy("audit_id").agg(F.bool_or(F.col("support") == "TEXTUAL").alias("textual"))
     unresolved = F.coalesce(F.col("unresolved"), F.lit(False)) if "unresolved" in audits.columns else F.lit(False)
     row = audits.select("audit_id", unresolved.alias("_u")).join(sizes, "audit_id", "left").join(support, "audit_id", "left")
