@@ -386,6 +386,11 @@ def _expanded(t: Tables) -> dict[str, DataFrame]:
     return expansion.expand_pairs(expansion_pairs(t), provider_papers(t), provider_edges(t), provider_outages(t), candidate_status(t), EXPANSION_LIMIT, ("semantic-scholar",))
 
 
+def _calls(t: Tables) -> DataFrame:
+    wanted = expansion.routes(expansion_pairs(t), provider_papers(t))
+    return expansion.call_log(wanted, provider_edges(t), provider_outages(t), EXPANSION_LIMIT, ("semantic-scholar",))
+
+
 @query(
     "grx_calls",
     EXPANSION_SQL
@@ -393,19 +398,22 @@ def _expanded(t: Tables) -> dict[str, DataFrame]:
    CASE WHEN provider = 'semantic-scholar' THEN 'UNREPORTED' WHEN NOT done THEN '12' END AS next_token, CASE WHEN provider <> 'semantic-scholar' THEN total END AS provider_total FROM calls""",
 )
 def grx_calls(t: Tables) -> DataFrame:
-    return _expanded(t)["calls"].select(
+    return _calls(t).select(
         "paper_a", "paper_b", "provider", "direction", "anchor_paper_id", "provider_id", "returned_count", "exhausted", "possibly_truncated", "next_token", "provider_total"
     )
 
 
 @query("grx_failures", EXPANSION_SQL + "SELECT 'P' || a AS paper_a, 'P' || b AS paper_b, provider, direction, e AS anchor_paper_id FROM fails")
 def grx_failures(t: Tables) -> DataFrame:
-    return _expanded(t)["failures"].select("paper_a", "paper_b", "provider", "direction", "anchor_paper_id")
+    wanted = expansion.routes(expansion_pairs(t), provider_papers(t))
+    return expansion.call_failures(expansion_pairs(t), provider_papers(t), wanted, provider_outages(t)).select("paper_a", "paper_b", "provider", "direction", "anchor_paper_id")
 
 
 @query("grx_candidates", EXPANSION_SQL + "SELECT 'P' || a AS paper_a, 'P' || b AS paper_b, provider, nb AS paper_id FROM cand")
 def grx_candidates(t: Tables) -> DataFrame:
-    return _expanded(t)["candidates"].select("paper_a", "paper_b", "provider", "paper_id")
+    edges = provider_edges(t)
+    hits = expansion.bridge_candidates(expansion.neighbours(_calls(t), edges, EXPANSION_LIMIT), edges)
+    return hits.select("paper_a", "paper_b", "provider", F.col("neighbour_id").alias("paper_id"))
 
 
 @query(
