@@ -178,12 +178,10 @@ def url_host(url: Column) -> Column:
 
 def arxiv_url_parts(url: Column | str, paths: tuple[str, ...] = ("/pdf/", "/abs/")) -> Column:
     """``struct(base, version)`` when the URL is an arXiv paper page or file, else null."""
-    url = _col(url)
-    path = F.try_parse_url(url, F.lit("PATH"))
-    on_path = reduce(lambda a, b: a | b, [path.startswith(p) for p in paths])
-    identifier = F.regexp_replace(F.regexp_replace(path, r"^/(pdf|abs)/", ""), r"(?i)\.pdf$", "")
-    parts = arxiv_parts(identifier)
-    return F.when(url_host(url).isin(*ARXIV_HOSTS) & on_path & parts["base"].isNotNull(), parts)
+    hosts = "|".join(h.replace(".", r"\.") for h in ARXIV_HOSTS)
+    pattern = rf"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(?:{hosts})(?::\d*)?(?:{'|'.join(paths)})([^?#]*)"
+    parts = arxiv_parts(F.regexp_replace(F.regexp_extract(_col(url), pattern, 1), r"(?i)\.pdf$", ""))
+    return F.when(parts["base"].isNotNull(), parts)
 
 
 # IPv4 blocks that are not globally reachable (first address, prefix bits).

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 
 from ..functions import ids
 from ..functions.dates import full_day
+from ..session import cut_lineage
 
 KEY = ["audit_id", "paper_id"]
 VERSION_LOCK = "LATEST_VERIFIED_VERSION_AT_OR_BEFORE_CUTOFF"
@@ -21,9 +22,13 @@ HISTORY_METHOD = "ARXIV_API_COMPLETE_VERSION_HISTORY"
 
 
 def exact_pdf_url(url: Column, base: Column, version: Column) -> Column:
-    """Canonical versioned PDF link when ``url`` names exactly that file, else null."""
+    """Canonical versioned PDF link when ``url`` names exactly that file, else null.
+
+    An arXiv host is public by itself, so only the scheme and the absence of
+    credentials are left to check.
+    """
     parts = ids.arxiv_url_parts(url)
-    same = (parts["base"] == base) & (parts["version"] == version) & ids.is_public_url(url)
+    same = (parts["base"] == base) & (parts["version"] == version) & url.rlike("(?i)^https?://[^/?#@]+/")
     return F.when(same, F.concat(F.lit("https://arxiv.org/pdf/"), base, F.lit("v"), version.cast("string")))
 
 
@@ -136,7 +141,7 @@ def historical_source(papers: DataFrame, records: DataFrame, history: DataFrame)
     wanted = papers.filter("cutoff_status = 'ELIGIBLE'").select(
         "audit_id", F.col("id").alias("paper_id"), ids.arxiv_key("arxiv_id").alias("base_id"), F.col("cutoff").cast("date").alias("cutoff")
     ).filter("base_id IS NOT NULL")
-    local = version_entries(records.join(wanted.select(*KEY), KEY, "left_semi"))
+    local = cut_lineage(version_entries(records.join(wanted.select(*KEY), KEY, "left_semi")))
     state = history_state(local)
     latest = latest_verified(records, local)
     local_latest = (
@@ -146,7 +151,7 @@ def historical_source(papers: DataFrame, records: DataFrame, history: DataFrame)
     )
 
     by_base = history.select("base_id", "ordinal", "arxiv_version", "arxiv_latest_version_verified", "arxiv_versions", "dates", "fulltext_urls")
-    remote = version_entries(wanted.select(*KEY, "base_id").join(by_base, "base_id"))
+    remote = cut_lineage(version_entries(wanted.select(*KEY, "base_id").join(by_base, "base_id")))
     remote_state = history_state(remote).select(
         *KEY, F.col("latest").alias("r_latest"), F.col("missing_versions").alias("r_missing"), F.col("monotonic").alias("r_monotonic"), F.col("conflict").alias("r_conflict")
     )

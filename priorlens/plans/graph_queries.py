@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from ..functions import dates as D
 from ..operators import bridges, dates, expansion, versions
 from ..operators.metrics import temporal_leakage
+from ..session import cut_lineage
 from .registry import Tables, query
 
 S = F.expr
@@ -75,7 +76,7 @@ GRAPH_SQL = """WITH cnt AS (SELECT l_partkey AS p, count(DISTINCT l_orderkey) AS
 
 
 def _found(t: Tables) -> DataFrame:
-    return bridges.find_bridges(pairs(t), works(t), citations(t), THRESHOLD)
+    return bridges.find_bridges(pairs(t), cut_lineage(works(t)), citations(t), THRESHOLD)
 
 
 @query("brg_find", GRAPH_SQL + "SELECT paper_a, paper_b, type, underlying_type, source_paper_id, cutoff_status, base_rate_status, ca AS citation_count_a, cb AS citation_count_b FROM allb")
@@ -130,7 +131,7 @@ def brg_route(t: Tables) -> DataFrame:
         S("concat('O', CASE WHEN l_orderkey % 4 = 0 THEN l_orderkey + 1 ELSE l_orderkey END)").alias("source_paper_id"),
     )
     chain = previous_orders(t).select(F.lit("graph").alias("audit_id"), F.concat(F.lit("D"), "o_orderkey").alias("bridge_id"), S("array(concat('W', prev), concat('O', o_orderkey))").alias("paper_ids"), F.concat(F.lit("W"), "o_orderkey").alias("source_paper_id"))
-    return bridges.route_exists(co.unionByName(chain), works(t), citations(t)).select("bridge_id", "route_exists")
+    return bridges.route_exists(co.unionByName(chain), cut_lineage(works(t)), citations(t)).select("bridge_id", "route_exists")
 
 
 @query(
@@ -383,12 +384,13 @@ EXPANSION_SQL = """WITH cnt AS (SELECT l_partkey AS p, count(DISTINCT l_orderkey
 
 
 def _expanded(t: Tables) -> dict[str, DataFrame]:
-    return expansion.expand_pairs(expansion_pairs(t), provider_papers(t), provider_edges(t), provider_outages(t), candidate_status(t), EXPANSION_LIMIT, ("semantic-scholar",))
+    pairs_, papers_, edges_ = (cut_lineage(f(t)) for f in (expansion_pairs, provider_papers, provider_edges))
+    return expansion.expand_pairs(pairs_, papers_, edges_, provider_outages(t), candidate_status(t), EXPANSION_LIMIT, ("semantic-scholar",))
 
 
-def _calls(t: Tables) -> DataFrame:
-    wanted = expansion.routes(expansion_pairs(t), provider_papers(t))
-    return expansion.call_log(wanted, provider_edges(t), provider_outages(t), EXPANSION_LIMIT, ("semantic-scholar",))
+def _calls(t: Tables, edges: DataFrame | None = None) -> DataFrame:
+    wanted = expansion.routes(cut_lineage(expansion_pairs(t)), cut_lineage(provider_papers(t)))
+    return expansion.call_log(wanted, provider_edges(t) if edges is None else edges, provider_outages(t), EXPANSION_LIMIT, ("semantic-scholar",))
 
 
 @query(
@@ -405,14 +407,16 @@ def grx_calls(t: Tables) -> DataFrame:
 
 @query("grx_failures", EXPANSION_SQL + "SELECT 'P' || a AS paper_a, 'P' || b AS paper_b, provider, direction, e AS anchor_paper_id FROM fails")
 def grx_failures(t: Tables) -> DataFrame:
-    wanted = expansion.routes(expansion_pairs(t), provider_papers(t))
-    return expansion.call_failures(expansion_pairs(t), provider_papers(t), wanted, provider_outages(t)).select("paper_a", "paper_b", "provider", "direction", "anchor_paper_id")
+    pairs_, papers_ = cut_lineage(expansion_pairs(t)), cut_lineage(provider_papers(t))
+    wanted = cut_lineage(expansion.routes(pairs_, papers_))
+    return expansion.call_failures(pairs_, papers_, wanted, provider_outages(t)).select("paper_a", "paper_b", "provider", "direction", "anchor_paper_id")
 
 
 @query("grx_candidates", EXPANSION_SQL + "SELECT 'P' || a AS paper_a, 'P' || b AS paper_b, provider, nb AS paper_id FROM cand")
 def grx_candidates(t: Tables) -> DataFrame:
-    edges = provider_edges(t)
-    hits = expansion.bridge_candidates(expansion.neighbours(_calls(t), edges, EXPANSION_LIMIT), edges)
+    edges = cut_lineage(provider_edges(t))
+    calls = cut_lineage(_calls(t, edges))
+    hits = expansion.bridge_candidates(expansion.neighbours(calls, edges, EXPANSION_LIMIT), edges)
     return hits.select("paper_a", "paper_b", "provider", F.col("neighbour_id").alias("paper_id"))
 
 
@@ -426,7 +430,10 @@ def grx_candidates(t: Tables) -> DataFrame:
  FROM ends LEFT JOIN ob USING (a, b, e) GROUP BY 1, 2, 3""",
 )
 def grx_observations(t: Tables) -> DataFrame:
-    o = _expanded(t)["observations"]
+    pairs_, papers_, edges_ = (cut_lineage(f(t)) for f in (expansion_pairs, provider_papers, provider_edges))
+    wanted = cut_lineage(expansion.routes(pairs_, papers_))
+    calls = expansion.call_log(wanted, edges_, provider_outages(t), EXPANSION_LIMIT, ("semantic-scholar",))
+    o = expansion.reference_observations(pairs_, calls, expansion.call_failures(pairs_, papers_, wanted, provider_outages(t)))
     return o.select(
         "paper_a", "paper_b", "paper_id", F.col("provider_returned_count").alias("returned"), "status", F.array_join(F.transform("provider_observations", lambda p: F.concat_ws(":", p["provider"], p["status"])), ",").alias("detail")
     )

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from ..functions import text as X
 from ..operators import attempts, dates, diff, fulltext, hashes, identity, metrics, study
 from ..schemas import AUTHORS
+from ..session import cut_lineage
 from ..sources import records, sinks
 from .registry import Tables, query
 
@@ -110,8 +111,8 @@ def citing_dates(t: Tables) -> DataFrame:
 
 
 def pair_table(t: Tables) -> DataFrame:
-    p = priors(t)
-    pairs = study.prior_pairs(p, cutoffs(t))
+    p = cut_lineage(priors(t))
+    pairs = cut_lineage(study.prior_pairs(p, cutoffs(t)))
     works, status = study.citing_works(pairs, citing_edges(t), max_results=2, page_size=2)
     return study.interpret_pairs(study.pair_bridges(pairs, works, status, citing_dates(t)), p)
 
@@ -178,7 +179,7 @@ def stu_thresholds(t: Tables) -> DataFrame:
 )
 def stu_histograms(t: Tables) -> DataFrame:
     cases = priors(t).select("case_id").distinct().withColumn("extraction_status", F.lit("EXTRACTED"))
-    return study.study_histograms(cases, priors(t), pair_table(t)).filter("histogram <> 'extraction_status'")
+    return study.study_histograms(cases, priors(t), cut_lineage(pair_table(t))).filter("histogram <> 'extraction_status'")
 
 
 @query(
@@ -206,13 +207,12 @@ def stu_case_summary(t: Tables) -> DataFrame:
 
 
 def _case_summary(t: Tables) -> DataFrame:
-    from ..session import cut_lineage
-
-    pairs = study.prior_pairs(priors(t), cutoffs(t))
+    named = cut_lineage(priors(t))
+    pairs = cut_lineage(study.prior_pairs(named, cutoffs(t)))
     works, status = study.citing_works(pairs, citing_edges(t), max_results=2, page_size=2)
     works = cut_lineage(works)
     full = study.pair_bridges(pairs, works, status, citing_dates(t))
-    cases = study.pair_coverage(priors(t).groupBy("case_id").agg(F.count("*").alias("named_prior_count")), full)
+    cases = study.pair_coverage(named.groupBy("case_id").agg(F.count("*").alias("named_prior_count")), full)
     return study.summarize_cases(cases.join(study.distinct_case_bridges(pairs, works, citing_dates(t)), "case_id", "left"))
 
 
