@@ -40,11 +40,7 @@ def arxiv_parts(c: Column | str, exact: bool = False) -> Column:
     text = F.regexp_replace(text, r"(?i)\.pdf$", "")
     version = F.regexp_extract(text, ARXIV_VERSION, 1).try_cast("int")
     base = _blank_to_null(fold_case(strip(F.regexp_replace(text, ARXIV_VERSION, ""))))
-    present = F.coalesce(_col(c).cast("string"), F.lit("")) != ""
-    return F.struct(
-        F.when(present, base).alias("base"),
-        F.when(present, version).alias("version"),
-    )
+    return F.struct(base.alias("base"), version.alias("version"))
 
 
 def arxiv_key(c: Column | str, exact: bool = False) -> Column:

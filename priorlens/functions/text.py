@@ -17,7 +17,8 @@ _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "\u3000\u00a0"
 _NARROW = "".join(chr(c) for c in range(0x21, 0x7F)) + "  "
 
 WORD_CLASS = r"[^\p{L}\p{N}_]+"
-STRIP = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
+# Characters that count as white space at the ends of a string.
+BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def _col(c: Column | str) -> Column:
@@ -36,7 +37,7 @@ def compat(c: Column | str, exact: bool = False) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(_col(c), STRIP, "")
+    return F.btrim(_col(c), F.lit(BLANKS))
 
 
 def fold_case(c: Column | str) -> Column:

@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from . import graph_queries, search_queries, set_queries, study_queries, text_queries  # noqa: F401
+from . import check_queries, graph_queries, search_queries, set_queries, study_queries, text_queries  # noqa: F401

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,24 +28,30 @@ def build_session(app: str = "priorlens", master: str | None = None, **extra: st
     return builder.getOrCreate()
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+def _shared_folder(spark: SparkSession) -> str:
+    """Folder every executor can reach: the one the cluster names, else a local one in local mode."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if configured:
-        sc.setCheckpointDir(configured)
-        return
+        return configured
+    known = sc._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ckpt-"))
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.
+    """Write ``df`` to the shared folder as a table and read it back.
 
-    Used between rounds of an iterative operator. The copy lives in reliable
-    storage, so a lost executor costs a re-read rather than the whole history.
+    Used for tables that several branches of a plan read, and between rounds of
+    an iterative operator. The copy lives in reliable storage, so a lost executor
+    costs a re-read rather than the whole history; it is columnar, so later
+    branches read only their columns, and its size is known to the optimizer.
     """
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
