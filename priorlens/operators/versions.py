@@ -53,34 +53,34 @@ def version_entries(records: DataFrame) -> DataFrame:
     listed = listed.filter(
         F.col("submitted_at").isNotNull() & (F.col("id_parts.base") == F.col("base_id")) & (F.col("id_parts.version") == F.col("version"))
     )
-    listed = listed.groupBy(*KEY, "base_id", "version").agg(
-        F.min_by("submitted_at", "seen").alias("submitted_at"),
-        F.min("pdf_url").alias("pdf_url"),
-        F.when(F.min("submitted_at") != F.max("submitted_at"), F.concat(F.lit("conflicting arXiv metadata for version v"), F.col("version")))
-        .when(F.min("pdf_url") != F.max("pdf_url"), F.concat(F.lit("conflicting arXiv PDF metadata for version v"), F.col("version")))
-        .alias("conflict"),
-    )
     own_source = F.concat(F.lit("arxiv_v"), F.col("arxiv_version").cast("string"))
     own_dates = F.filter("dates", lambda d: (d["source"] == own_source) & F.coalesce(d["verified"], F.lit(True)))
     own_urls = F.filter(
         F.transform("fulltext_urls", lambda u: exact_pdf_url(u, F.col("base_id"), F.col("arxiv_version"))), lambda u: u.isNotNull()
     )
-    filled = (
-        records.filter("arxiv_version >= 1")
-        .select(
-            *KEY,
-            "base_id",
-            "ordinal",
-            F.col("arxiv_version").alias("version"),
-            full_day(F.trim(F.get(own_dates, F.lit(0))["value"])).alias("submitted_at"),
-            F.get(own_urls, F.lit(0)).alias("pdf_url"),
-        )
-        .filter("submitted_at IS NOT NULL")
-        .groupBy(*KEY, "base_id", "version")
-        .agg(F.min_by(F.struct("submitted_at", "pdf_url"), "ordinal").alias("e"))
-        .select(*KEY, "base_id", "version", "e.submitted_at", "e.pdf_url", F.lit(None).cast("string").alias("conflict"))
+    filled = records.filter("arxiv_version >= 1").select(
+        *KEY,
+        "base_id",
+        F.col("arxiv_version").alias("version"),
+        full_day(F.trim(F.get(own_dates, F.lit(0))["value"])).alias("submitted_at"),
+        F.get(own_urls, F.lit(0)).alias("pdf_url"),
+        F.struct("ordinal", F.lit(0).alias("pos")).alias("seen"),
+    ).filter("submitted_at IS NOT NULL")
+    # one pass over both kinds: listed entries decide, filled ones only count where nothing is listed
+    both = listed.drop("id_parts").withColumn("own", F.lit(False)).unionByName(filled.withColumn("own", F.lit(True)))
+    day, pdf = F.when(~F.col("own"), F.col("submitted_at")), F.when(~F.col("own"), F.col("pdf_url"))
+    folded = both.groupBy(*KEY, "base_id", "version").agg(
+        F.min_by("submitted_at", F.when(~F.col("own"), F.col("seen"))).alias("l_day"),
+        F.min(pdf).alias("l_pdf"),
+        F.when(F.min(day) != F.max(day), F.concat(F.lit("conflicting arXiv metadata for version v"), F.col("version")))
+        .when(F.min(pdf) != F.max(pdf), F.concat(F.lit("conflicting arXiv PDF metadata for version v"), F.col("version")))
+        .alias("conflict"),
+        F.min_by(F.struct("submitted_at", "pdf_url"), F.when(F.col("own"), F.col("seen"))).alias("f"),
+    )
+    is_listed = F.col("l_day").isNotNull()
+    return folded.select(
+        *KEY, "base_id", "version", F.coalesce("l_day", "f.submitted_at").alias("submitted_at"), F.when(is_listed, F.col("l_pdf")).otherwise(F.col("f.pdf_url")).alias("pdf_url"), "conflict"
     )
-    return listed.unionByName(filled.join(listed.select(*KEY, "version"), [*KEY, "version"], "left_anti").select(*listed.columns))
 
 
 def history_state(entries: DataFrame) -> DataFrame:
