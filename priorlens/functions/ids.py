@@ -73,7 +73,7 @@ def study_surnames(names: Column) -> Column:
 
 def distinct_strings(values: Column) -> Column:
     """Drop null and blank entries, keep first occurrences in order."""
-    return F.array_distinct(F.filter(F.coalesce(values, F.array().cast("array<string>")), lambda v: v.isNotNull() & (v != "")))
+    return F.array_distinct(F.array_remove(F.array_compact(F.coalesce(values, F.array().cast("array<string>"))), ""))
 
 
 def canonical_key(doi: Column, arxiv_id: Column, title: Column, authors: Column, year: Column) -> Column:
