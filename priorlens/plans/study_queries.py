@@ -392,7 +392,7 @@ def bibliography(t: Tables) -> tuple[DataFrame, DataFrame]:
     return entries, papers
 
 
-@query("cit_bibliography", "SELECT p_partkey AS pos, p_size <> 7 AS known, p_size <> 7 AND (p_partkey % 6 < 3 OR p_partkey % 6 = 4 AND list_contains(string_split(p_name, ' '), lower(p_type))) AS reproduced FROM part")
+@query("cit_bibliography", "SELECT p_partkey AS pos, p_size <> 7 AS known, p_size <> 7 AND (p_partkey % 6 < 3 OR p_partkey % 6 = 3 AND p_partkey BETWEEN 1800 AND 2099 AND p_partkey = 1950 + p_size OR p_partkey % 6 = 4 AND list_contains(string_split(p_name, ' '), lower(p_type)) AND (p_partkey NOT BETWEEN 1800 AND 2099 OR p_partkey = 1950 + p_size)) AS reproduced FROM part")
 def cit_bibliography(t: Tables) -> DataFrame:
     return identity.reproduce_bibliography(*bibliography(t)).select("pos", "known", "reproduced")
 
