@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +30,23 @@ def build_session(app: str = "priorlens", master: str | None = None, **extra: st
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers once per session, so that Python functions run from any folder."""
+    sc = spark.sparkContext
+    if getattr(sc, "_priorlens_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="spark-"), "priorlens.zip")
+    with zipfile.ZipFile(target, "w") as out:
+        for folder, _, files in os.walk(here):
+            for name in files:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(here)))
+    sc.addPyFile(target)
+    sc._priorlens_shipped = True
+
+
 def _shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: the one the cluster names, else a local one in local mode."""
     sc = spark.sparkContext
