@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate
+from . import decontaminate, qualityrules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -47,3 +47,8 @@ FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """)
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.find_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("spans")
+
+
+@_query("op10_quality_rules")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return qualityrules.apply_rules(table(spark, folder, "documents"))
