@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, qualityrules
+from . import decontaminate, licenses, qualityrules, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -52,3 +52,13 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op10_quality_rules")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return qualityrules.apply_rules(table(spark, folder, "documents"))
+
+
+@_query("op8_simhash_near_dedup")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@_query("op6_license_scan")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, folder, "documents"))
