@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, qualityrules, simhash
+from . import decontaminate, licenses, qualityrules, secretscan, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -62,3 +62,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op6_license_scan")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, folder, "documents"))
+
+
+@_query("op7_secret_scan")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return secretscan.scan_secrets(table(spark, folder, "documents"))
