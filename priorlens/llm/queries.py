@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, qualityrules, secretscan, simhash
+from . import decontaminate, licenses, packing, qualityrules, secretscan, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -67,3 +67,8 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op7_secret_scan")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return secretscan.scan_secrets(table(spark, folder, "documents"))
+
+
+@_query("op1_best_fit_packing")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(table(spark, folder, "documents"))
