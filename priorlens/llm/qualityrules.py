@@ -195,8 +195,11 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     good = scored.where(~F.col("base_failed") & F.col("log_ppl").isNotNull())
     own = good.groupBy("lang", "class").agg(*_band(1)).where(F.col("n_docs") >= LEAST).drop("n_docs")
     wide = good.groupBy("lang").agg(*_band(2)).selectExpr("lang", "low as wide_low", "high as wide_high")
-    joined = scored.join(own, ["lang", "class"], "left").join(wide, "lang", "left")
+    classes = scored.select("lang", "class").distinct().join(own, ["lang", "class"], "left").join(wide, "lang", "left")
     low, high = F.coalesce("low", "wide_low"), F.coalesce("high", "wide_high")
+    bands = cut_lineage(classes.select("lang", "class", low.alias("low"), high.alias("high")))  # a stored table: the join may broadcast or split it
+    joined = scored.join(bands, ["lang", "class"], "left")
+    low, high = F.col("low"), F.col("high")
     inside = F.coalesce(F.col("log_ppl").between(low, high), F.lit(True))
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
