@@ -35,6 +35,7 @@ ORDER = 4
 SLOTS = 2_097_143  # a prime
 BAND, LEAST = 5.0, 50
 LEAST_WORDS, MOST_REPEATED = 20, 30
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 HELD_GRAMS = 4_000_000
 
 FOLD = tk.LOWER.copy()
@@ -173,10 +174,10 @@ def score(docs: DataFrame, model: KneserNey) -> DataFrame:
             n = np.diff(row)
             sums = np.concatenate([[0.0], np.cumsum(model.log_probability(grams), dtype=np.float64)])
             mean = (sums[row[1:]] - sums[row[:-1]]) / np.maximum(n, 1)
-            columns = {k: pa.array(v.astype(np.int64)) for k, v in stats.items()}
+            columns = {k: pa.array(stats[k].astype(np.int64)) for k in COUNTS}
             yield pa.RecordBatch.from_pydict({"doc_id": block.column("doc_id"), "lang": block.column("lang")} | columns | {"log_ppl": pa.array(-mean, mask=n == 0)})
 
-    counts = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
+    counts = ", ".join(f"{k} long" for k in COUNTS)
     return docs.select("doc_id", "lang", "text").mapInArrow(run, f"doc_id {kind}, lang string, {counts}, log_ppl double")
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, packing, qualityrules, secretscan, simhash
+from . import decontaminate, licenses, packing, quality, qualityrules, secretscan, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -72,3 +72,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op1_best_fit_packing")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
+
+
+@_query("op4_quality_classifier")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classify(table(spark, folder, "documents"))

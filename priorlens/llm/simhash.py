@@ -115,3 +115,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by_print = named.join(smallest, "root").select("fp", "component_id")
     joined = prints.join(by_print, "fp")
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of every component, the one with the smallest id (the first read, among equal ids); all columns as they were.
+
+    Rows are told apart by their place in the input, so ``docs`` must be a stored table.
+    """
+    key = F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("place"))
+    keyed = docs.withColumn("_row_key", key)
+    found = near_duplicates(keyed.select("_row_key", F.col(text_col).alias("text")), "_row_key", "text")
+    chosen = found.where("doc_id.place = component_id.place").select(F.col("doc_id.place").alias("_place"))
+    placed = docs.withColumn("_place", F.monotonically_increasing_id())
+    return placed.join(chosen, "_place", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -50,6 +50,10 @@ def text_stats(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     inside = tk.NOT_SPACE[data]
     starts, ends, first = tk.runs(inside, offsets)
     sums = tk.prefix(data)
+    hashes = tk.span_hash(sums, starts, ends)
+    echo = np.zeros(len(hashes), bool)
+    echo[1:] = hashes[1:] == hashes[:-1]
+    echo[first[:-1][np.diff(first) > 0]] = False
     lines, dup_lines = _lines(data, offsets, inside, sums)
     return {
         "n_words": np.diff(first),
@@ -57,5 +61,6 @@ def text_stats(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         "n_symbols": tk.per_row(SYMBOL[data], offsets),
         "n_lines": lines,
         "n_dup_lines": dup_lines,
-        "n_repeat_words": tk.per_row(_repeated(tk.span_hash(sums, starts, ends), first), first),
+        "n_repeat_words": tk.per_row(_repeated(hashes, first), first),
+        "n_echo_words": tk.per_row(echo, first),
     }
