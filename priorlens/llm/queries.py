@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, packing, quality, qualityrules, secretscan, simhash
+from . import decontaminate, licenses, packing, quality, qualityrules, secretscan, simhash, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -77,3 +77,8 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op4_quality_classifier")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classify(table(spark, folder, "documents"))
+
+
+@_query("op2_url_filter")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return urlfilter.judge_urls(table(spark, folder, "pages"))
