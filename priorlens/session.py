@@ -74,3 +74,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{_shared_folder(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(table: DataFrame) -> None:
+    """Delete a table that ``cut_lineage`` wrote and nothing reads any more."""
+    spark = table.sparkSession
+    for file in table.inputFiles()[:1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
