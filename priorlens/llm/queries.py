@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, packing, quality, qualityrules, secretscan, simhash, urlfilter
+from . import decontaminate, licenses, packing, quality, qualityrules, secretscan, simhash, suffixdedup, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -82,3 +82,8 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op2_url_filter")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, folder, "pages"))
+
+
+@_query("op3_suffix_array_dedup")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixdedup.remove_repeats(table(spark, folder, "documents"))
