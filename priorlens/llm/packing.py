@@ -220,7 +220,8 @@ def _pack(loose: DataFrame, base: int) -> DataFrame:
     empty = F.array().cast("array<array<int>>")
     state = listed.select("shard", "sizes", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])).alias("island"), empty.alias("population"))
     for number in range(ROUNDS):
-        state = cut_lineage(_round(state.repartition("shard", "island"), number))
+        tasks = max(1, shards * ISLANDS // 8)  # an explicit number, so that small rows with long work are not merged into one task
+        state = cut_lineage(_round(state.repartition(tasks, "shard", "island"), number))
         if number < ROUNDS - 1:
             elite = state.select("shard", ((F.col("island") + 1) % ISLANDS).cast("int").alias("island"), F.slice("population", 1, ELITE).alias("migrants"))
             state = state.join(elite, ["shard", "island"]).select("shard", "sizes", "island", F.concat("migrants", F.slice("population", 1, POPULATION - ELITE)).alias("population"))

@@ -1,24 +1,37 @@
 """Subword ids of whole texts by a public tokenizer, computed once per distinct word.
 
 The tokenizer drops white space and never merges across it, so a text's ids are those
-of its white-space separated pieces in order. Pieces of printable ASCII are cut by the
-tokenizer's own pattern and looked up in its model; others go through the tokenizer
-whole. A text with a special token's mark or a separator control, on which the two
-notions of white space differ, goes through the tokenizer uncut. Caches are emptied
-when full, which bounds memory and changes no result.
+of its white-space separated words in order. Words of printable ASCII and of accented
+Latin letters, which normalisation leaves alone, are cut by the tokenizer's own pattern
+and looked up in its model; others go through the tokenizer whole. A text with a special
+token's mark or a separator control, on which the two notions of white space differ, goes
+through the tokenizer uncut. Caches are emptied when full, which bounds memory and
+changes no result.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
-CACHED = 300_000
+CACHED_WORDS, CACHED_PIECES = 500_000, 300_000
+# Letters of every Unicode version, composed, without the one whose lower case is two characters.
+_PLAIN = re.compile(r"[!-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u0148\u014A-\u01C3\u01CD-\u01EF\u01F4-\u0233]+").fullmatch
 _ODD = re.compile(r"<\||[\x1c-\x1f]")
-# Fixed value: the tokenizer's own pattern, for lower-case printable ASCII.
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+# Fixed value: the tokenizer's own pattern, for words of ``_PLAIN`` in lower case.
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00DF-\u024F]+|[0-9]|[^\sa-z0-9\u00DF-\u024F]+").findall
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letters by which byte-level models spell bytes: printable ones stand for themselves, others follow from 256 on."""
+    spare = iter(range(256, 512))
+    return {b: b if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174 else next(spare) for b in range(256)}
+
+
+_SPELLED = _byte_letters()
 
 
 def default_path() -> str:
@@ -50,19 +63,20 @@ class Subwords:
         return np.array(self._loaded.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        ids = np.array([t.id for t in self._model.tokenize(piece)], "<u4").tobytes()
-        if len(self._pieces) >= CACHED:
+        spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_SPELLED)
+        ids = array("I", [t.id for t in self._model.tokenize(spelled)]).tobytes()
+        if len(self._pieces) >= CACHED_PIECES:
             self._pieces.clear()
         self._pieces[piece] = ids
         return ids
 
     def _word(self, word: str) -> bytes:
-        if word.isascii() and word.isprintable():
-            known = self._pieces
-            ids = b"".join([known.get(p) or self._piece(p) for p in _PIECES.findall(word.lower())])
+        if _PLAIN(word):
+            known = self._pieces.get
+            ids = b"".join([known(p) or self._piece(p) for p in _PIECES(word.lower())])
         else:
             ids = self._whole(word)
-        if len(self._words) >= CACHED:
+        if len(self._words) >= CACHED_WORDS:
             self._words.clear()
         self._words[word] = ids
         return ids
