@@ -19,10 +19,10 @@ import numpy as np
 
 CACHED_WORDS, CACHED_PIECES = 500_000, 300_000
 # Letters of every Unicode version, composed, without the one whose lower case is two characters.
-_PLAIN = re.compile(r"[!-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u0148\u014A-\u01C3\u01CD-\u01EF\u01F4-\u0233]+").fullmatch
+_PLAIN = re.compile(r"[!-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u0148\u014A-\u017F]+").fullmatch
 _ODD = re.compile(r"<\||[\x1c-\x1f]")
 # Fixed value: the tokenizer's own pattern, for words of ``_PLAIN`` in lower case.
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00DF-\u024F]+|[0-9]|[^\sa-z0-9\u00DF-\u024F]+").findall
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00DF-\u017F]+|[0-9]|[^\sa-z0-9\u00DF-\u017F]+").findall
 
 
 def _byte_letters() -> dict[int, int]:
