@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, packing, quality, qualityrules, secretscan, simhash, suffixdedup, urlfilter
+from . import decontaminate, licenses, lmscore, packing, quality, qualityrules, secretscan, simhash, suffixdedup, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -87,3 +87,8 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op3_suffix_array_dedup")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return suffixdedup.remove_repeats(table(spark, folder, "documents"))
+
+
+@_query("op5_lm_score")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return lmscore.score_texts(table(spark, folder, "documents"))
