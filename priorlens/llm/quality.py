@@ -4,8 +4,8 @@ Heuristic labellers vote good, bad or nothing on every text. Their votes are gro
 into patterns over all documents (at most ``3 ** labellers`` rows), and expectation
 maximisation over the pattern counts estimates how right each labeller is in either
 class, and the posterior of every pattern. The posteriors are the labels of a linear
-scorer over hashed byte 5-grams and votes, fitted by Spark in ``PARTS`` parts of a
-sample of about ``SAMPLE`` documents (chosen by a hash of the text) whose weights are
+scorer over hashed byte 5-grams and votes, fitted by Spark on a sample
+of about ``SAMPLE`` documents (chosen by a hash of the text) in parts of about ``PART``, whose weights are
 averaged. The scorer judges every whole text; under ``KEEP`` a document is rejected.
 
 Defined cases: a null or empty text draws the votes of an empty text; equal texts get
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import textkernel as tk
 from .textstats import SYMBOL, text_stats
 
-SAMPLE, PARTS = 8_192, 8
+SAMPLE, PART = 8_192, 1_024
 DIMENSIONS, GRAM, SCALE = 1 << 14, 5, 30.0
 EM_ROUNDS, STEPS, RATE, DECAY = 100, 400, 0.05, 1e-5
 KEEP = 0.3
@@ -188,7 +188,7 @@ def train(docs: DataFrame, posterior: np.ndarray, n_docs: int) -> np.ndarray:
 
     share = min(1.0, SAMPLE / max(n_docs, 1))
     chosen = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    parts = chosen.repartition(PARTS).mapInArrow(run, "w array<float>, n double").collect()
+    parts = chosen.repartition(max(1, min(n_docs, SAMPLE) // PART)).mapInArrow(run, "w array<float>, n double").collect()
     if not parts:
         return np.zeros(DIMENSIONS + len(LABELLERS) + 1, np.float32)
     return np.average([r["w"] for r in parts], axis=0, weights=[r["n"] for r in parts]).astype(np.float32)

@@ -33,6 +33,7 @@ from .textstats import text_stats
 
 ORDER = 4
 SLOTS = 2_097_143  # a prime
+SCATTER = 0x2C1B3C6D  # spreads grams of similar letters over the slots
 BAND, LEAST = 5.0, 50
 LEAST_WORDS, MOST_REPEATED = 20, 30
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
@@ -96,7 +97,8 @@ def _discounts(table: DataFrame) -> list[float]:
 
 def _sorted_arrays(table: DataFrame, key: str, value: str, weight: str) -> tuple[np.ndarray, np.ndarray]:
     """At most ``SLOTS`` hashes in order, and their mean values."""
-    slots = table.groupBy((F.col(key) % SLOTS).cast("int").alias("slot")).agg((F.sum(F.col(value) * F.col(weight)) / F.sum(weight)).cast("float").alias("v"))
+    hashed = (F.col(key).bitwiseXOR(F.shiftright(key, 15)) * SCATTER).bitwiseAND(F.lit((1 << 32) - 1))
+    slots = table.groupBy((hashed % SLOTS).cast("int").alias("slot")).agg((F.sum(F.col(value) * F.col(weight)) / F.sum(weight)).cast("float").alias("v"))
     found = slots.toArrow()
     slot, values = found["slot"].to_numpy(), found["v"].to_numpy()
     order = np.argsort(slot)
@@ -116,7 +118,7 @@ class KneserNey:
             table = np.full(SLOTS, np.nan if kind == "grams" else 0, np.float32)
             table[slots] = values
             self._spread[kind, order] = table
-        return self._spread[kind, order][keys % np.uint32(SLOTS)]
+        return self._spread[kind, order][(keys ^ (keys >> np.uint32(15))) * np.uint32(SCATTER) % np.uint32(SLOTS)]
 
     def log_probability(self, grams: np.ndarray) -> np.ndarray:
         """Natural log of each gram's last byte given the bytes before it."""
