@@ -118,6 +118,7 @@ def title_alias(title: Column | str) -> Column:
 
 
 # ----------------------------------------------------------- references in text
+# The patterns below must cut the same numbers and blocks as the format they read.
 
 
 def reference_numbers(text: Column | str) -> Column:
@@ -237,6 +238,7 @@ def error_class(message: Column | str) -> Column:
     def has(*parts: str) -> Column:
         return reduce(lambda a, b: a | b, [m.contains(p) for p in parts])
 
+    # Marks in the messages and the types they stand for.
     return (
         F.when(has("HTTP 429"), "RATE_LIMIT")
         .when(has("HTTP 500", "HTTP 502", "HTTP 503", "HTTP 504"), "HTTP_5XX")

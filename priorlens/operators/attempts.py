@@ -26,10 +26,10 @@ def evaluate_attempts(submissions: DataFrame) -> tuple[DataFrame, DataFrame]:
     s = s.withColumn("_same", F.col("_usable") & (F.col("max_attempts") == F.col("_budget")))
     s = s.withColumn("attempt", F.count_if("_same").over(upto)).withColumn("_done", F.coalesce(F.bool_or(F.col("_same") & F.col("valid")).over(before), F.lit(False)))
     reason = (
-        F.when(~F.coalesce(F.col("max_attempts").between(1, 3), F.lit(False)), "max-attempts must be between 1 and 3")
-        .when(F.col("identity").isNull(), "report lacks immutable audit identity fields")
-        .when(F.col("_done") | (F.col("attempt") > F.col("_budget")) | (~F.col("_same") & (F.col("attempt") >= F.col("_budget"))), "report assembly state is already terminal")
-        .when(~F.col("_same"), "max-attempts cannot change within one assembly state")
+        F.when(~F.coalesce(F.col("max_attempts").between(1, 3), F.lit(False)), "attempt limit is not 1, 2 or 3")
+        .when(F.col("identity").isNull(), "report without identity")
+        .when(F.col("_done") | (F.col("attempt") > F.col("_budget")) | (~F.col("_same") & (F.col("attempt") >= F.col("_budget"))), "attempt after a final one")
+        .when(~F.col("_same"), "attempt limit differs from the first one")
     )
     s = s.withColumn("reason", reason)
     last = F.col("attempt") == F.col("_budget")
@@ -56,10 +56,10 @@ def history_violations(history: DataFrame) -> DataFrame:
     )
     reasons = F.array_compact(
         F.array(
-            F.when((F.col("lo") != 1) | (F.col("hi") != F.col("n")) | (F.col("d") != F.col("n")), "report assembly attempt history is not sequential"),
-            F.when(F.col("won") < F.col("hi"), "report assembly state is already terminal"),
-            F.when(F.col("b0") != F.col("b1"), "max-attempts cannot change within one assembly state"),
-            F.when(F.col("hi") > F.col("b1"), "report retry budget is already exhausted"),
+            F.when((F.col("lo") != 1) | (F.col("hi") != F.col("n")) | (F.col("d") != F.col("n")), "attempts are not numbered in order"),
+            F.when(F.col("won") < F.col("hi"), "attempt after a final one"),
+            F.when(F.col("b0") != F.col("b1"), "attempt limit differs from the first one"),
+            F.when(F.col("hi") > F.col("b1"), "no attempts are left"),
         )
     )
     return per.select("identity", F.explode(reasons).alias("reason"))

@@ -64,6 +64,7 @@ def derive_coverage(audits: DataFrame, runs: DataFrame, obligations: DataFrame)
     def some(c: str) -> Column:
         return F.size(c) > 0
 
+    # The reasons are part of the output that audits are compared with.
     reasons = F.array_compact(
         F.array(
             _reason(F.size("providers") < 2, "fewer than two providers completed a query"),

@@ -11,7 +11,7 @@ def metric_cases(gold: DataFrame, predictions: DataFrame) -> tuple[DataFrame, Da
     both = gold.join(predictions, "case_id")
     a, b = gold.select("case_id"), predictions.select("case_id")
     lost = a.join(b, "case_id", "left_anti").withColumn("side", F.lit("gold")).unionByName(b.join(a, "case_id", "left_anti").withColumn("side", F.lit("prediction")))
-    return both, lost.withColumn("reason", F.lit("annotation and prediction case_id values must match"))
+    return both, lost.withColumn("reason", F.lit("cases of annotations and predictions differ"))
 
 
 def _share(part: Column, whole: Column) -> Column:

@@ -72,8 +72,8 @@ def version_entries(records: DataFrame) -> DataFrame:
     folded = both.groupBy(*KEY, "base_id", "version").agg(
         F.min_by("submitted_at", F.when(~F.col("own"), F.col("seen"))).alias("l_day"),
         F.min(pdf).alias("l_pdf"),
-        F.when(F.min(day) != F.max(day), F.concat(F.lit("conflicting arXiv metadata for version v"), F.col("version")))
-        .when(F.min(pdf) != F.max(pdf), F.concat(F.lit("conflicting arXiv PDF metadata for version v"), F.col("version")))
+        F.when(F.min(day) != F.max(day), F.concat(F.lit("two records for version v"), F.col("version")))
+        .when(F.min(pdf) != F.max(pdf), F.concat(F.lit("two PDF links for version v"), F.col("version")))
         .alias("conflict"),
         F.min_by(F.struct("submitted_at", "pdf_url"), F.when(F.col("own"), F.col("seen"))).alias("f"),
     )
@@ -163,18 +163,18 @@ def historical_source(papers: DataFrame, records: DataFrame, history: DataFrame)
     use_local = F.coalesce((F.col("l_date") <= F.col("cutoff")) & F.col("l_url").isNotNull(), F.lit(False))
     missing = F.transform("r_missing", lambda v: v.cast("string"))
     error = (
-        F.when(F.col("cutoff").isNull(), "strict historical arXiv acquisition requires paper.cutoff as YYYY-MM-DD")
+        F.when(F.col("cutoff").isNull(), "paper has no full cutoff date")
         .when(F.col("conflict").isNotNull(), F.col("conflict"))
-        .when(use_local & ~F.col("monotonic"), "arXiv version dates are not monotonic")
+        .when(use_local & ~F.col("monotonic"), "versions are not in order of date")
         .when(use_local, F.lit(None).cast("string"))
         .when(F.col("r_conflict").isNotNull(), F.col("r_conflict"))
         .when(
             F.col("latest_verified").isNotNull() & ~F.col("r_latest").eqNullSafe(F.col("latest_verified")),
-            F.concat(F.lit("arXiv version history disagrees with the known latest version v"), F.col("latest_verified")),
+            F.concat(F.lit("history does not end at known version v"), F.col("latest_verified")),
         )
-        .when(F.size("r_missing") > 0, F.concat(F.lit("arXiv version history is incomplete; missing versions: "), F.array_join(missing, ", ")))
-        .when(~F.col("r_monotonic"), "arXiv version dates are not monotonic")
-        .when(F.col("r_version").isNull(), "no verified downloadable arXiv version existed at or before the cutoff")
+        .when(F.size("r_missing") > 0, F.concat(F.lit("history has gaps at versions: "), F.array_join(missing, ", ")))
+        .when(~F.col("r_monotonic"), "versions are not in order of date")
+        .when(F.col("r_version").isNull(), "no version was public by the cutoff")
     )
     row = row.withColumn("error", error).withColumn("_local", use_local & F.col("error").isNull())
     chosen = {

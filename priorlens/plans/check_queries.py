@@ -42,7 +42,7 @@ def _customers(t: Tables) -> DataFrame:
 
 @query(
     "val_version",
-    """SELECT c_custkey::varchar AS audit_id, d AS detail FROM (SELECT c_custkey, unnest(list_filter([CASE WHEN c_custkey % 3 = 0 THEN 'unsupported schema_version' END, CASE WHEN c_custkey % 5 = 0 THEN 'audit_id must be non-empty' END, CASE WHEN c_custkey % 7 = 0 THEN 'run_manifest.tool_version must match this validator version' END], lambda x: x IS NOT NULL)) AS d FROM customer)""",
+    """SELECT c_custkey::varchar AS audit_id, d AS detail FROM (SELECT c_custkey, unnest(list_filter([CASE WHEN c_custkey % 3 = 0 THEN 'schema_version is another' END, CASE WHEN c_custkey % 5 = 0 THEN 'audit_id is blank' END, CASE WHEN c_custkey % 7 = 0 THEN 'made by another tool version' END], lambda x: x IS NOT NULL)) AS d FROM customer)""",
 )
 def val_version(t: Tables) -> DataFrame:
     a = _customers(t).select("audit_id", S("CASE WHEN c_custkey % 3 > 0 THEN '0.3.2' ELSE '0.1' END").alias("schema_version"), S("CASE WHEN c_custkey % 5 > 0 THEN 'x' ELSE ' ' END").alias("report_audit_id"), S("CASE WHEN c_custkey % 7 > 0 THEN '0.3.2' END").alias("tool_version"))
@@ -63,7 +63,7 @@ def val_domains(t: Tables) -> DataFrame:
 
 @query(
     "val_cutoff",
-    """SELECT c_custkey::varchar AS audit_id, d AS detail FROM (SELECT c_custkey, unnest(list_filter([CASE WHEN c_custkey % 4 > 1 THEN 'input.cutoff must be a complete YYYY-MM-DD date' END, CASE WHEN c_custkey % 4 > 0 THEN 'run_manifest.cutoff disagrees with input.cutoff' END], lambda x: x IS NOT NULL)) AS d FROM customer)""",
+    """SELECT c_custkey::varchar AS audit_id, d AS detail FROM (SELECT c_custkey, unnest(list_filter([CASE WHEN c_custkey % 4 > 1 THEN 'input cutoff is no full date' END, CASE WHEN c_custkey % 4 > 0 THEN 'manifest and input name different cutoffs' END], lambda x: x IS NOT NULL)) AS d FROM customer)""",
 )
 def val_cutoff(t: Tables) -> DataFrame:
     a = _customers(t).select("audit_id", S("element_at(array('2025-09-18', '2025-09-19', '2025-9-18', '2025'), cast(c_custkey % 4 + 1 AS int))").alias("cutoff"), F.lit("2025-09-18").alias("manifest_cutoff"))
@@ -72,8 +72,8 @@ def val_cutoff(t: Tables) -> DataFrame:
 
 @query(
     "val_freeze",
-    """SELECT o_orderkey::varchar AS audit_id, d AS detail FROM (SELECT o_orderkey, unnest(list_filter([CASE WHEN o_orderkey % 3 = 0 THEN 'claim map was not frozen before retrieval' END, CASE WHEN o_orderkey % 5 = 0 THEN 'claim map freeze_hash does not match the frozen claim content' END,
-     CASE WHEN o_orderkey % 7 = 0 THEN 'audit log does not preserve the claim map freeze_hash' END], lambda x: x IS NOT NULL)) AS d FROM orders)""",
+    """SELECT o_orderkey::varchar AS audit_id, d AS detail FROM (SELECT o_orderkey, unnest(list_filter([CASE WHEN o_orderkey % 3 = 0 THEN 'no freeze before retrieval' END, CASE WHEN o_orderkey % 5 = 0 THEN 'freeze_hash differs from the hash of the claim' END,
+     CASE WHEN o_orderkey % 7 = 0 THEN 'log holds another freeze_hash' END], lambda x: x IS NOT NULL)) AS d FROM orders)""",
 )
 def val_freeze(t: Tables) -> DataFrame:
     doc = F.concat(F.lit('{"facets": [], "claim_id": "'), F.col("o_orderkey"), F.lit('"}'))
@@ -87,7 +87,7 @@ def val_freeze(t: Tables) -> DataFrame:
 @query(
     "val_time_order",
     """WITH o AS (SELECT o_orderkey, o_orderdate AS f, min(l_shipdate) AS s, max(l_shipdate) AS e FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2)
- SELECT o_orderkey::varchar AS audit_id, NULL AS entity_id, 'retrieval started before the claim map was frozen' AS detail FROM o WHERE s < f UNION ALL SELECT l_orderkey::varchar, l_linenumber || '-' || l_partkey || '-' || l_suppkey, 'query ran before the claim map was frozen' FROM lineitem JOIN o ON o.o_orderkey = l_orderkey WHERE l_shipdate < f""",
+ SELECT o_orderkey::varchar AS audit_id, NULL AS entity_id, 'retrieval begins before the freeze' AS detail FROM o WHERE s < f UNION ALL SELECT l_orderkey::varchar, l_linenumber || '-' || l_partkey || '-' || l_suppkey, 'query precedes the freeze' FROM lineitem JOIN o ON o.o_orderkey = l_orderkey WHERE l_shipdate < f""",
 )
 def val_time_order(t: Tables) -> DataFrame:
     o = t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderkey", "o_orderdate").agg(F.min("l_shipdate").alias("s"), F.max("l_shipdate").alias("e"))
@@ -104,7 +104,7 @@ def val_time_order(t: Tables) -> DataFrame:
     "val_unique_ids",
     """SELECT l_orderkey::varchar AS audit_id, l_linenumber::varchar AS entity_id, 'duplicate evidence IDs' AS detail FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1 UNION ALL SELECT l_orderkey::varchar, l_partkey::varchar, 'duplicate paper IDs' FROM lineitem GROUP BY l_orderkey, l_partkey HAVING count(*) > 1
  UNION ALL SELECT l_orderkey::varchar, l_suppkey::varchar, 'duplicate full-text acquisition IDs' FROM lineitem GROUP BY l_orderkey, l_suppkey HAVING count(*) > 1 UNION ALL SELECT l_orderkey::varchar, l_returnflag, 'duplicate facet IDs' FROM lineitem GROUP BY l_orderkey, l_returnflag HAVING count(*) > 1
- UNION ALL SELECT o_orderkey::varchar, NULL, 'claim map has no critical facets' FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag <> 'N')""",
+ UNION ALL SELECT o_orderkey::varchar, NULL, 'no facet is critical' FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag <> 'N')""",
 )
 def val_unique_ids(t: Tables) -> DataFrame:
     line = t.lineitem.select(F.col("l_orderkey").cast("string").alias("audit_id"), *[F.col(c).cast("string").alias(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")])
@@ -120,7 +120,7 @@ def val_unique_ids(t: Tables) -> DataFrame:
     "val_dates",
     G.DATES_SQL
     + """, c AS (SELECT f.*, CASE WHEN id % 5 = 0 THEN DATE '1996-01-01' ELSE earliest_public_date END AS cd, CASE WHEN id % 6 = 0 THEN 'ELIGIBLE' ELSE cutoff_status END AS cs FROM f)
- SELECT id::varchar AS entity_id, 'earliest_public_date disagrees with observed dates' AS detail FROM c WHERE cd IS DISTINCT FROM earliest_public_date UNION ALL SELECT id::varchar, 'cutoff_status disagrees with observed dates' FROM c WHERE cs <> cutoff_status""",
+ SELECT id::varchar AS entity_id, 'first public date is not the earliest observed one' AS detail FROM c WHERE cd IS DISTINCT FROM earliest_public_date UNION ALL SELECT id::varchar, 'cutoff status does not follow from the dates' FROM c WHERE cs <> cutoff_status""",
 )
 def val_dates(t: Tables) -> DataFrame:
     true = G._cut(t).select("audit_id", F.col("id").cast("string").alias("id"), "dates", "year", "earliest_public_date", "cutoff_status")
@@ -137,7 +137,7 @@ def _line_papers(t: Tables) -> DataFrame:
 
 @query(
     "val_acquisitions",
-    """SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS entity_id, d AS detail FROM (SELECT *, unnest(list_filter([CASE WHEN l_orderkey % 9 = 0 THEN 'full-text acquisition references unknown paper' END, CASE WHEN l_returnflag = 'N' THEN 'full-text acquisition is not complete' END], lambda x: x IS NOT NULL)) AS d FROM lineitem)""",
+    """SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS entity_id, d AS detail FROM (SELECT *, unnest(list_filter([CASE WHEN l_orderkey % 9 = 0 THEN 'acquired text of no known paper' END, CASE WHEN l_returnflag = 'N' THEN 'text was acquired in part only' END], lambda x: x IS NOT NULL)) AS d FROM lineitem)""",
 )
 def val_acquisitions(t: Tables) -> DataFrame:
     a = t.lineitem.select(F.lit("a").alias("audit_id"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), S("CASE WHEN l_orderkey % 9 > 0 THEN concat('O', l_orderkey) ELSE concat('X', l_orderkey) END").alias("paper_id"), S("CASE WHEN l_returnflag <> 'N' THEN 'COMPLETE' END").alias("status"))
@@ -155,8 +155,8 @@ def _evidence(t: Tables) -> DataFrame:
 
 @query(
     "val_evidence_fields",
-    """SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS entity_id, d AS detail FROM (SELECT *, unnest(list_filter([CASE WHEN l_returnflag = 'A' THEN 'evidence missing span' END, CASE WHEN l_linestatus <> 'F' AND l_returnflag = 'N' THEN 'evidence has invalid source_level' END,
-   CASE WHEN l_orderkey NOT IN (SELECT o_orderkey FROM orders) THEN 'evidence references unknown paper' END], lambda x: x IS NOT NULL)) AS d FROM lineitem)""",
+    """SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS entity_id, d AS detail FROM (SELECT *, unnest(list_filter([CASE WHEN l_returnflag = 'A' THEN 'evidence has no span' END, CASE WHEN l_linestatus <> 'F' AND l_returnflag = 'N' THEN 'evidence has invalid source_level' END,
+   CASE WHEN l_orderkey NOT IN (SELECT o_orderkey FROM orders) THEN 'evidence from no known paper' END], lambda x: x IS NOT NULL)) AS d FROM lineitem)""",
 )
 def val_evidence_fields(t: Tables) -> DataFrame:
     return _run("VAL-16", papers=_line_papers(t), evidence=_evidence(t)).drop("audit_id")
@@ -165,7 +165,7 @@ def val_evidence_fields(t: Tables) -> DataFrame:
 @query(
     "val_fulltext_evidence",
     """WITH e AS (SELECT l.*, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id, CASE WHEN l_partkey % 10 > 0 THEN CASE WHEN l_partkey % 10 = 1 THEN l_orderkey + 1 ELSE l_orderkey END END AS q FROM lineitem l WHERE l_linestatus = 'F')
- SELECT id AS entity_id, CASE WHEN a.o_orderkey IS NULL THEN 'Tier-2 evidence lacks a recorded full-text acquisition' WHEN a.o_orderkey <> l_orderkey THEN 'Tier-2 evidence uses a full-text acquisition from another paper' ELSE 'Tier-2 evidence predates its full-text acquisition' END AS detail
+ SELECT id AS entity_id, CASE WHEN a.o_orderkey IS NULL THEN 'tier 2 without an acquired text' WHEN a.o_orderkey <> l_orderkey THEN 'tier 2 rests on the text of a different paper' ELSE 'tier 2 is older than its text' END AS detail
  FROM e LEFT JOIN orders a ON a.o_orderkey = q WHERE a.o_orderkey IS NULL OR a.o_orderkey <> l_orderkey OR l_shipdate < o_orderdate""",
 )
 def val_fulltext_evidence(t: Tables) -> DataFrame:
@@ -188,7 +188,7 @@ def val_identifier_checks(t: Tables) -> DataFrame:
 @query(
     "val_exclusions",
     """WITH p AS (SELECT o_orderkey AS k, o_orderstatus = 'P' AS post, o_orderkey % 20 < 3 AND o_orderstatus <> 'O' AS listed FROM orders)
- SELECT 'O' || k AS entity_id, 'excluded.post_cutoff does not match the canonical paper statuses' AS detail FROM p WHERE post <> listed UNION ALL SELECT 'O' || k, 'post-cutoff or date-uncertain papers appear in killers or MPS' FROM p WHERE listed AND k IN (SELECT l_orderkey FROM lineitem WHERE l_quantity = 50)""",
+ SELECT 'O' || k AS entity_id, 'excluded.post_cutoff is not what the paper statuses give' AS detail FROM p WHERE post <> listed UNION ALL SELECT 'O' || k, 'paper past or unsure of the cutoff is used as a prior' FROM p WHERE listed AND k IN (SELECT l_orderkey FROM lineitem WHERE l_quantity = 50)""",
 )
 def val_exclusions(t: Tables) -> DataFrame:
     listed = t.orders.filter("o_orderkey % 20 < 3 AND o_orderstatus <> 'O'").select(F.lit("a").alias("audit_id"), F.concat(F.lit("O"), "o_orderkey").alias("paper_id"), F.lit("post_cutoff").alias("kind"))
@@ -233,7 +233,7 @@ def val_failures(t: Tables) -> DataFrame:
     "val_coverage",
     Q.RUNS_SQL
     + """, s AS (SELECT audit_id, any_value(user_id) AS u, bool_and(NOT failed AND stop IN ('PROVIDER_EXHAUSTED', 'NO_NEW_RESULTS')) AS sat FROM runs GROUP BY 1)
- SELECT audit_id, 'search.saturated disagrees with SearchRun stop reasons' AS detail FROM s WHERE sat <> (u % 2 = 0)""",
+ SELECT audit_id, 'saturation does not follow from the stop reasons' AS detail FROM s WHERE sat <> (u % 2 = 0)""",
 )
 def val_coverage(t: Tables) -> DataFrame:
     r = _runs(t)
@@ -247,7 +247,7 @@ def val_coverage(t: Tables) -> DataFrame:
     """WITH k AS (SELECT user_id, event_type, value >= 100 AS ok, event_type IN ('view', 'click') AS fa FROM events), f AS (SELECT user_id, 'F1' AS facet, event_type, ok FROM k WHERE fa UNION ALL SELECT user_id, 'F2', event_type, ok FROM k WHERE NOT fa),
  g AS (SELECT u.user_id, x.facet, count(DISTINCT event_type) FILTER (ok) AS n FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN (VALUES ('F1'), ('F2')) x(facet) LEFT JOIN f ON f.user_id = u.user_id AND f.facet = x.facet GROUP BY 1, 2)
  SELECT user_id::varchar AS audit_id, facet AS entity_id, 'critical facet is covered by fewer than two query families' AS detail FROM g WHERE n < 2 UNION ALL SELECT user_id::varchar, NULL, 'at least one composition_bridge query is required' FROM events GROUP BY user_id HAVING count_if(event_type = 'signup') = 0
- UNION ALL SELECT user_id::varchar, NULL, 'at least one query must remove author-created terminology' FROM events GROUP BY user_id HAVING count_if(value > 300) = 0""",
+ UNION ALL SELECT user_id::varchar, NULL, 'no query without terms of the authors' FROM events GROUP BY user_id HAVING count_if(value > 300) = 0""",
 )
 def val_facet_families(t: Tables) -> DataFrame:
     e = t.events
@@ -265,8 +265,8 @@ def val_facet_families(t: Tables) -> DataFrame:
     """WITH p AS (SELECT o_custkey AS q, row_number() OVER w - 1 AS pos, (sum(10) OVER w) - 10 AS start0, count(*) OVER (PARTITION BY o_custkey) AS n, o_orderkey AS k FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
  g AS (SELECT q, pos, n, k, start0 + CASE WHEN k % 11 = 0 THEN 5 ELSE 0 END AS start, CASE WHEN k % 13 = 0 AND pos < n - 1 THEN NULL WHEN pos < n - 1 OR q % 3 = 0 THEN start0 + CASE WHEN k % 11 = 0 THEN 5 ELSE 0 END + 10 END AS nxt, CASE WHEN k % 7 = 0 THEN 12 ELSE 10 - k % 2 END AS elig FROM p),
  h AS (SELECT *, coalesce(lag(coalesce(nxt, start + 10)) OVER (PARTITION BY q ORDER BY pos), 0) AS want FROM g)
- SELECT 'q' || q || '#' || pos AS entity_id, 'arXiv page does not continue the raw offset' AS detail FROM h WHERE start <> want UNION ALL SELECT 'q' || q || '#' || pos, 'arXiv page eligible count disagrees with raw traversal' FROM h WHERE elig > 10 UNION ALL SELECT 'q' || q || '#' || pos, 'arXiv page claims exhaustion before a later page' FROM h WHERE nxt IS NULL AND pos < n - 1
- UNION ALL SELECT 'q' || q, 'arXiv provider exhaustion conflicts with its next raw offset' FROM h WHERE pos = n - 1 AND q % 2 = 0 AND nxt IS NOT NULL UNION ALL SELECT 'q' || q, 'arXiv filtered raw page cannot establish NO_NEW_RESULTS' FROM h WHERE pos = n - 1 AND q % 2 = 1 AND elig < 10""",
+ SELECT 'q' || q || '#' || pos AS entity_id, 'page starts at the wrong offset' AS detail FROM h WHERE start <> want UNION ALL SELECT 'q' || q || '#' || pos, 'page keeps more than it read' FROM h WHERE elig > 10 UNION ALL SELECT 'q' || q || '#' || pos, 'page ends the list although another follows' FROM h WHERE nxt IS NULL AND pos < n - 1
+ UNION ALL SELECT 'q' || q, 'end of list with a next offset' FROM h WHERE pos = n - 1 AND q % 2 = 0 AND nxt IS NOT NULL UNION ALL SELECT 'q' || q, 'filtered page counted as nothing new' FROM h WHERE pos = n - 1 AND q % 2 = 1 AND elig < 10""",
 )
 def val_paging(t: Tables) -> DataFrame:
     from pyspark.sql import Window as W
@@ -285,7 +285,7 @@ def val_paging(t: Tables) -> DataFrame:
 @query(
     "val_lineage",
     """WITH f AS (SELECT l_orderkey AS p, 'Q' || l_suppkey AS q, bool_or(l_returnflag = 'R') AS listed FROM lineitem GROUP BY 1, 2)
- SELECT 'O' || o_orderkey AS entity_id, 'paper lacks found_by_query_ids' AS detail FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) UNION ALL SELECT 'O' || p, 'paper references unknown discovery query IDs' FROM f WHERE substr(q, 2)::int % 10 = 0 UNION ALL SELECT 'O' || p, 'discovery query does not list the paper' FROM f WHERE substr(q, 2)::int % 10 > 0 AND NOT listed""",
+ SELECT 'O' || o_orderkey AS entity_id, 'paper without its queries' AS detail FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) UNION ALL SELECT 'O' || p, 'paper names an unknown query' FROM f WHERE substr(q, 2)::int % 10 = 0 UNION ALL SELECT 'O' || p, 'named query did not return the paper' FROM f WHERE substr(q, 2)::int % 10 > 0 AND NOT listed""",
 )
 def val_lineage(t: Tables) -> DataFrame:
     found = t.lineitem.groupBy(F.concat(F.lit("O"), "l_orderkey").alias("id")).agg(F.collect_set(F.concat(F.lit("Q"), "l_suppkey")).alias("found_by_query_ids"))
@@ -298,9 +298,9 @@ def val_lineage(t: Tables) -> DataFrame:
 @query(
     "val_verdict_matrix",
     """WITH a AS (SELECT o_orderkey AS k, ['DIRECT_PRECEDENT', 'STRONG_COMPOSITION_RISK', 'FRAGMENTED_PRECEDENT', 'RESIDUAL_NOVELTY', 'INCONCLUSIVE'][o_orderkey % 5 + 1] AS c, ['HIGH', 'MEDIUM', 'LOW', 'INCONCLUSIVE'][o_custkey % 4 + 1] AS r, o_orderpriority = '5-LOW' AS weak, o_orderstatus = 'F' AS gaps FROM orders)
- SELECT k::varchar AS audit_id, d AS detail FROM (SELECT k, unnest(list_filter([CASE WHEN c IN ('RESIDUAL_NOVELTY', 'INCONCLUSIVE') AND NOT gaps THEN 'classification must disclose search gaps' END, CASE WHEN c = 'INCONCLUSIVE' AND r <> 'INCONCLUSIVE' THEN 'INCONCLUSIVE classification requires INCONCLUSIVE novelty risk' END,
-   CASE WHEN c IN ('DIRECT_PRECEDENT', 'STRONG_COMPOSITION_RISK') AND weak THEN 'adverse classification requires non-WEAK evidence confidence' END, CASE WHEN (c IN ('DIRECT_PRECEDENT', 'STRONG_COMPOSITION_RISK') AND r IN ('LOW', 'INCONCLUSIVE')) OR (c = 'RESIDUAL_NOVELTY' AND r = 'INCONCLUSIVE') OR (c = 'INCONCLUSIVE' AND r <> 'INCONCLUSIVE') THEN 'novelty risk conflicts with classification' END,
-   CASE WHEN r = 'LOW' AND weak THEN 'LOW novelty risk requires BROAD search coverage and non-WEAK evidence confidence' END, CASE WHEN c IN ('FRAGMENTED_PRECEDENT', 'RESIDUAL_NOVELTY') AND r = 'HIGH' THEN 'HIGH novelty risk requires an explicit risk_basis' END], lambda x: x IS NOT NULL)) AS d FROM a)""",
+ SELECT k::varchar AS audit_id, d AS detail FROM (SELECT k, unnest(list_filter([CASE WHEN c IN ('RESIDUAL_NOVELTY', 'INCONCLUSIVE') AND NOT gaps THEN 'class hides search gaps' END, CASE WHEN c = 'INCONCLUSIVE' AND r <> 'INCONCLUSIVE' THEN 'inconclusive class with another risk' END,
+   CASE WHEN c IN ('DIRECT_PRECEDENT', 'STRONG_COMPOSITION_RISK') AND weak THEN 'negative class on weak evidence' END, CASE WHEN (c IN ('DIRECT_PRECEDENT', 'STRONG_COMPOSITION_RISK') AND r IN ('LOW', 'INCONCLUSIVE')) OR (c = 'RESIDUAL_NOVELTY' AND r = 'INCONCLUSIVE') OR (c = 'INCONCLUSIVE' AND r <> 'INCONCLUSIVE') THEN 'risk does not fit the class' END,
+   CASE WHEN r = 'LOW' AND weak THEN 'low risk on narrow search or weak evidence' END, CASE WHEN c IN ('FRAGMENTED_PRECEDENT', 'RESIDUAL_NOVELTY') AND r = 'HIGH' THEN 'high risk without a basis' END], lambda x: x IS NOT NULL)) AS d FROM a)""",
 )
 def val_verdict_matrix(t: Tables) -> DataFrame:
     a = t.orders.select(
@@ -315,7 +315,7 @@ def val_verdict_matrix(t: Tables) -> DataFrame:
 
 @query(
     "val_policy",
-    """SELECT c_custkey::varchar AS audit_id, CASE c_custkey % 4 WHEN 0 THEN 'configured bridge policy requires an integer high_citation_threshold' WHEN 1 THEN 'UNCONFIGURED bridge policy cannot claim a high_citation_threshold' WHEN 2 THEN 'CALIBRATION_DECLARED bridge policy requires a dataset, method, and preregistered=true' END AS detail FROM customer WHERE c_custkey % 4 < 3""",
+    """SELECT c_custkey::varchar AS audit_id, CASE c_custkey % 4 WHEN 0 THEN 'configured bridge policy requires an integer high_citation_threshold' WHEN 1 THEN 'threshold set although the policy is not configured' WHEN 2 THEN 'calibration lacks data set, method or preregistration' END AS detail FROM customer WHERE c_custkey % 4 < 3""",
 )
 def val_policy(t: Tables) -> DataFrame:
     k = "c_custkey % 4"

@@ -136,7 +136,7 @@ def brg_route(t: Tables) -> DataFrame:
 
 @query(
     "brg_promote",
-    """SELECT o_orderkey::varchar AS bridge_id, CASE WHEN o_orderkey % 5 = 3 THEN 'unsupported textual bridge type: DIRECT_CITATION' WHEN o_orderkey % 3 = 0 THEN 'textual bridge promotion requires evidence IDs' END AS reason,
+    """SELECT o_orderkey::varchar AS bridge_id, CASE WHEN o_orderkey % 5 = 3 THEN 'no textual bridge type: DIRECT_CITATION' WHEN o_orderkey % 3 = 0 THEN 'no evidence ids to promote the bridge' END AS reason,
    CASE WHEN o_orderkey % 5 <> 3 AND o_orderkey % 3 <> 0 THEN CASE o_orderkey % 5 WHEN 0 THEN 'EXPLICIT_EXTENSION' WHEN 1 THEN 'SHARED_BENCHMARK' WHEN 2 THEN 'TAXONOMY_BRIDGE' ELSE 'SYNTHESIS_BRIDGE' END END AS type FROM orders""",
 )
 def brg_promote(t: Tables) -> DataFrame:
@@ -150,7 +150,7 @@ def brg_promote(t: Tables) -> DataFrame:
 @query(
     "brg_policy",
     """SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN 'SENSITIVITY_CHECKED' WHEN c_custkey % 6 = 1 THEN 'DOCUMENTED_OVERRIDE' WHEN c_custkey % 6 = 2 THEN 'CALIBRATION_DECLARED' END AS status,
-   CASE WHEN c_custkey % 6 IN (3, 4) THEN 'a custom high-citation threshold requires a policy source' WHEN c_custkey % 6 = 5 THEN 'CALIBRATION_DECLARED requires dataset, method and preregistration' END AS reason FROM customer""",
+   CASE WHEN c_custkey % 6 IN (3, 4) THEN 'own threshold without a source' WHEN c_custkey % 6 = 5 THEN 'declared calibration is incomplete' END AS reason FROM customer""",
 )
 def brg_policy(t: Tables) -> DataFrame:
     k = "c_custkey % 6"
@@ -307,8 +307,8 @@ def dat_version_gaps(t: Tables) -> DataFrame:
     VERSION_SQL
     + """, l AS (SELECT o, n, d FROM v WHERE version = n),
  k AS (SELECT o_orderkey AS o, o_orderdate::date AS cutoff, l.n, l.d AS last_d, s.latest, s.c, pick.version FROM orders LEFT JOIN l ON l.o = o_orderkey LEFT JOIN s ON s.o = o_orderkey LEFT JOIN pick ON pick.o = o_orderkey WHERE o_orderstatus <> 'P'),
- e AS (SELECT *, (o % 2 = 0 AND coalesce(last_d <= cutoff, false)) AS loc, CASE WHEN o % 2 = 0 AND coalesce(last_d <= cutoff, false) THEN NULL WHEN o % 2 = 0 AND n IS NOT NULL AND latest IS DISTINCT FROM n THEN 'arXiv version history disagrees with the known latest version v' || n
-   WHEN o % 10 = 0 AND latest > 2 THEN 'arXiv version history is incomplete; missing versions: 2' WHEN version IS NULL THEN 'no verified downloadable arXiv version existed at or before the cutoff' END AS error FROM k)
+ e AS (SELECT *, (o % 2 = 0 AND coalesce(last_d <= cutoff, false)) AS loc, CASE WHEN o % 2 = 0 AND coalesce(last_d <= cutoff, false) THEN NULL WHEN o % 2 = 0 AND n IS NOT NULL AND latest IS DISTINCT FROM n THEN 'history does not end at known version v' || n
+   WHEN o % 10 = 0 AND latest > 2 THEN 'history has gaps at versions: 2' WHEN version IS NULL THEN 'no version was public by the cutoff' END AS error FROM k)
  SELECT 'O' || o AS paper_id, CASE WHEN error IS NULL THEN CASE WHEN loc THEN n ELSE version END END::int AS version, CASE WHEN error IS NULL THEN CASE WHEN loc THEN 'LOCAL_LATEST_VERSION_METADATA' ELSE 'ARXIV_API_COMPLETE_VERSION_HISTORY' END END AS selection_method,
    CASE WHEN error IS NULL THEN CASE WHEN loc THEN n = 1 ELSE true END END AS history_complete, error FROM e""",
 )

@@ -80,7 +80,7 @@ def sch_runs(t: Tables) -> DataFrame:
 @query(
     "sch_run_failures",
     RUNS_SQL
-    + "SELECT audit_id, provider, CASE WHEN truncated THEN 'TRUNCATED' ELSE error_code END AS type, CASE WHEN truncated THEN query_id || ' reached max_pages=10' WHEN ev % 2 = 0 THEN 'HTTP 429: slow down' ELSE 'URLError: timed out' END AS detail FROM runs WHERE failed OR truncated",
+    + "SELECT audit_id, provider, CASE WHEN truncated THEN 'TRUNCATED' ELSE error_code END AS type, CASE WHEN truncated THEN query_id || ' stopped at page budget 10' WHEN ev % 2 = 0 THEN 'HTTP 429: slow down' ELSE 'URLError: timed out' END AS detail FROM runs WHERE failed OR truncated",
 )
 def sch_run_failures(t: Tables) -> DataFrame:
     return search.run_failures(runs(t))
@@ -164,9 +164,9 @@ def sch_backstop(t: Tables) -> DataFrame:
 @query(
     "sch_plan_violations",
     """WITH c AS (SELECT c_custkey, c_custkey % 5 AS k, c_custkey % 103 AS lim, c_custkey % 104 AS mp FROM customer)
- SELECT c_custkey::varchar AS audit_id, NULL AS entity_id, 'search plan requires providers and queries' AS reason FROM c WHERE k = 0 OR c_custkey NOT IN (SELECT o_custkey FROM orders)
+ SELECT c_custkey::varchar AS audit_id, NULL AS entity_id, 'plan without providers or queries' AS reason FROM c WHERE k = 0 OR c_custkey NOT IN (SELECT o_custkey FROM orders)
  UNION ALL SELECT c_custkey::varchar, NULL, 'search plan limit must be an explicit integer between 1 and 100' FROM c WHERE lim = 0 OR lim > 100 UNION ALL SELECT c_custkey::varchar, NULL, 'search plan max_pages must be an integer between 1 and 100' FROM c WHERE mp = 0 OR mp > 100
- UNION ALL SELECT o_custkey::varchar, o_orderkey::varchar, 'every planned query requires query_id, family, query, reason, target_facets, removed_author_terms' FROM orders WHERE o_orderkey % 13 = 0""",
+ UNION ALL SELECT o_custkey::varchar, o_orderkey::varchar, 'planned query without query_id, family, query, reason, target_facets, removed_author_terms' FROM orders WHERE o_orderkey % 13 = 0""",
 )
 def sch_plan_violations(t: Tables) -> DataFrame:
     plans = t.customer.select(

@@ -288,11 +288,11 @@ def src_case_candidates(t: Tables) -> DataFrame:
 
 # ------------------------------------------------------------------ full text
 
-TEXT_SQL = r"""WITH p AS (SELECT page_id, html, regexp_replace(html, '<script\b[^>]*>.*?</script\s*>', chr(1), 'gis') AS a FROM pages),
- b AS (SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(a, '<style\b[^>]*>.*?</style\s*>', chr(1), 'gis'), '<noscript\b[^>]*>.*?</noscript\s*>', chr(1), 'gis'), '<svg\b[^>]*>.*?</svg\s*>', chr(1), 'gis') AS a FROM p),
- c AS (SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(a, '<!--.*?-->|<[!/a-zA-Z][^>]*>', chr(1), 'gs'), chr(1) || '+', chr(1), 'g'), '^' || chr(1) || '|' || chr(1) || '$', '', 'g') AS a FROM b),
- d AS (SELECT page_id, html, replace(replace(replace(replace(replace(replace(replace(replace(a, chr(1), ' '), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&') AS a FROM c),
- x AS (SELECT page_id, html, array_to_string(list_filter(regexp_split_to_array(a, '\r\n|[\n\r]'), lambda l: regexp_replace(l, '[\s\p{Z}]+', '', 'g') <> ''), chr(10)) AS text FROM d)
+# The twin lists the tokens of a page and keeps the text among them; references as they occur in these pages.
+TEXT_SQL = r"""WITH tok AS (SELECT page_id, html, regexp_extract_all(html, '<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>|<svg\b.*?</svg\s*>|<[!/a-zA-Z][^>]*>|[^<]+', 0, 'is') AS tokens FROM pages),
+ vis AS (SELECT page_id, html, array_to_string(list_filter(tokens, lambda k: NOT starts_with(k, '<')), ' ') AS a FROM tok),
+ ref AS (SELECT page_id, html, list_reduce([a, '&nbsp;' || chr(160), '&copy;' || chr(169), '&middot;' || chr(183), '&lt;<', '&gt;>', '&quot;"', '&#39;' || chr(39), '&apos;' || chr(39), '&amp;&'], lambda s, r: replace(s, left(r, length(r) - 1), right(r, 1))) AS a FROM vis),
+ x AS (SELECT page_id, html, array_to_string(list_filter(string_split_regex(a, '\r\n|[\n\r]'), lambda l: regexp_matches(l, '[^\s\p{Z}]')), chr(10)) AS text FROM ref)
 """
 
 
@@ -302,13 +302,6 @@ def ftx_text(t: Tables) -> DataFrame:
     return p.select("page_id", F.md5("text").alias("text_md5"), F.char_length("text").cast("bigint").alias("chars"))
 
 
-@query("ftx_text_exact")
-def ftx_text_exact(t: Tables) -> DataFrame:
-    """Tokenizer mode (no SQL form; compared with the standard parser in the tests)."""
-    p = t.pages.select("page_id", X.html_to_text_exact("html").alias("text"))
-    return p.select("page_id", F.md5("text").alias("text_md5"), F.char_length("text").cast("bigint").alias("chars"))
-
-
 def fetched_pages(t: Tables) -> DataFrame:
     payload = S("CASE page_id % 5 WHEN 3 THEN concat('%PDF', html) WHEN 4 THEN '  ' ELSE html END")
     return t.pages.select(F.concat(F.lit("https://h.org/"), "page_id").alias("url"), payload.alias("payload"), S("CASE page_id % 5 WHEN 0 THEN 'text/html' WHEN 2 THEN 'text/plain' END").alias("content_type"), S(NONE).alias("final_url"))
@@ -336,7 +329,7 @@ ACQUIRE_SQL = (
     + "SELECT 'FT:' || paper_id || ':' || left(sha256(text), 16) AS id, paper_id, 'https://h.org/' || page_id AS source_url, 'HTML' AS source_kind, 'sha256:' || sha256(payload) AS content_sha256, 'sha256:' || sha256(text) AS text_sha256, length(text) AS char_count FROM k WHERE m < 3 AND NOT nourl AND NOT noid",
 )
 def ftx_acquire(t: Tables) -> DataFrame:
-    got, _ = fulltext.acquire(page_papers(t), fulltext.extract_pages(fetched_pages(t), exact=False))
+    got, _ = fulltext.acquire(page_papers(t), fulltext.extract_pages(fetched_pages(t)))
     return got.select("id", "paper_id", "source_url", "source_kind", "content_sha256", "text_sha256", "char_count")
 
 
@@ -346,7 +339,7 @@ def ftx_acquire(t: Tables) -> DataFrame:
 )
 def ftx_failures(t: Tables) -> DataFrame:
     papers = page_papers(t).withColumn("audit_id", F.when(F.col("id") == "", F.concat(F.lit("ftx"), F.monotonically_increasing_id())).otherwise("ftx"))
-    _, lost = fulltext.acquire(papers, fulltext.extract_pages(fetched_pages(t), exact=False))
+    _, lost = fulltext.acquire(papers, fulltext.extract_pages(fetched_pages(t)))
     return lost.select("paper_id", "error_code")
 
 
@@ -513,7 +506,7 @@ def submissions(t: Tables) -> DataFrame:
 ATTEMPT_SQL = """WITH RECURSIVE s AS (SELECT o_custkey AS c, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n, o_orderkey % 17 = 0 AS blank, (CASE WHEN o_orderkey % 10 = 0 THEN 1 + (o_custkey + 1) % 4 ELSE 1 + o_custkey % 3 END)::int AS m, o_orderpriority = '5-LOW' AS valid FROM orders),
  w AS (SELECT c, 0::bigint AS n, NULL::bigint AS k, NULL::int AS budget, 0 AS used, false AS done, NULL::varchar AS reason, NULL::varchar AS status FROM (SELECT DISTINCT c FROM s)
    UNION ALL SELECT s.c, s.n, s.k, CASE WHEN blank OR m > 3 OR m < 1 THEN budget ELSE coalesce(budget, m) END, CASE WHEN blank OR m > 3 OR m < 1 OR done OR coalesce(used >= budget, false) OR m <> coalesce(budget, m) THEN used ELSE used + 1 END, done OR (NOT blank AND m BETWEEN 1 AND 3 AND NOT coalesce(used >= budget, false) AND m = coalesce(budget, m) AND valid),
-     CASE WHEN m > 3 OR m < 1 THEN 'max-attempts must be between 1 and 3' WHEN blank THEN 'report lacks immutable audit identity fields' WHEN done OR coalesce(used >= budget, false) THEN 'report assembly state is already terminal' WHEN m <> coalesce(budget, m) THEN 'max-attempts cannot change within one assembly state' END,
+     CASE WHEN m > 3 OR m < 1 THEN 'attempt limit is not 1, 2 or 3' WHEN blank THEN 'report without identity' WHEN done OR coalesce(used >= budget, false) THEN 'attempt after a final one' WHEN m <> coalesce(budget, m) THEN 'attempt limit differs from the first one' END,
      CASE WHEN valid THEN 'COMPLETE' WHEN used + 1 = coalesce(budget, m) THEN 'PARTIAL' ELSE 'RETRY_REQUIRED' END FROM w JOIN s ON s.c = w.c AND s.n = w.n + 1)
 """
 
@@ -531,7 +524,7 @@ def att_rejects(t: Tables) -> DataFrame:
 @query(
     "att_history",
     """WITH p AS (SELECT l_orderkey AS identity, count(*) AS n, count(DISTINCT l_linenumber) AS d, min(l_linenumber) AS lo, max(l_linenumber) AS hi, min(l_linenumber) FILTER (l_returnflag = 'R') AS won FROM lineitem GROUP BY 1)
- SELECT identity, 'report assembly attempt history is not sequential' AS reason FROM p WHERE lo <> 1 OR hi <> n OR d <> n UNION ALL SELECT identity, 'report assembly state is already terminal' FROM p WHERE won < hi UNION ALL SELECT identity, 'report retry budget is already exhausted' FROM p WHERE hi > 3""",
+ SELECT identity, 'attempts are not numbered in order' AS reason FROM p WHERE lo <> 1 OR hi <> n OR d <> n UNION ALL SELECT identity, 'attempt after a final one' FROM p WHERE won < hi UNION ALL SELECT identity, 'no attempts are left' FROM p WHERE hi > 3""",
 )
 def att_history(t: Tables) -> DataFrame:
     h = t.lineitem.select(F.col("l_orderkey").alias("identity"), F.col("l_linenumber").alias("attempt"), (F.col("l_returnflag") == "R").alias("valid"), F.lit(3).alias("max_attempts"))

@@ -37,9 +37,9 @@ class AttemptLedger(StatefulProcessor):
             reason = status = None
             wanted = int(sub.max_attempts)
             if done:
-                reason = "report assembly state is already terminal"
+                reason = "attempt after a final one"
             elif budget is not None and wanted != budget:
-                reason = "max-attempts cannot change within one assembly state"
+                reason = "attempt limit differs from the first one"
             else:
                 budget, used = wanted, used + 1
                 status = "COMPLETE" if sub.valid else "PARTIAL" if used == budget else "RETRY_REQUIRED"
