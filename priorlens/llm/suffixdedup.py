@@ -395,7 +395,7 @@ def _by_window_counts(windows: DataFrame) -> DataFrame:
 def repeated_ranges(source: DataFrame) -> DataFrame:
     """``(key, key2, spans)``: the byte ranges of each document that repeated windows cover."""
     scanned = cut_lineage(_scan(source))
-    shared = scanned.groupBy("core").agg(F.count("*").alias("places")).where("places > 1").select("core")
+    shared = cut_lineage(scanned.groupBy("core").agg(F.count("*").alias("places")).where("places > 1").select("core"))  # stored, so that the join may split a hot core
     kept = cut_lineage(scanned.join(shared, "core", "left_semi"))
     release(scanned)
     rep = F.min(F.struct("key", "key2", "start", "windows")).alias("rep")
