@@ -18,16 +18,17 @@ def evaluate_attempts(submissions: DataFrame) -> tuple[DataFrame, DataFrame]:
     COMPLETE or exhausted, are rejected and do not consume a try.
     """
     s = submissions.withColumn("identity", identity_hash(F.col("audit_id"), F.col("claim_id"), F.col("freeze_hash"), F.col("cutoff")))
-    usable = F.col("identity").isNotNull() & F.coalesce(F.col("max_attempts").between(1, 3), F.lit(False))
-    s = s.withColumn("_usable", usable)
+    in_range = F.coalesce(F.col("max_attempts").between(1, 3), F.lit(False))
+    # Submissions without an identity belong to no history and must not meet in one window.
+    nameless = s.filter("identity IS NULL").withColumn("reason", F.when(~in_range, "attempt limit is not 1, 2 or 3").otherwise("report without identity"))
+    s = s.filter("identity IS NOT NULL").withColumn("_usable", in_range)
     w = W.partitionBy("identity").orderBy("seq")
     upto, before = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(W.unboundedPreceding, -1)
     s = s.withColumn("_budget", F.first(F.when(F.col("_usable"), F.col("max_attempts")), ignorenulls=True).over(upto))
     s = s.withColumn("_same", F.col("_usable") & (F.col("max_attempts") == F.col("_budget")))
     s = s.withColumn("attempt", F.count_if("_same").over(upto)).withColumn("_done", F.coalesce(F.bool_or(F.col("_same") & F.col("valid")).over(before), F.lit(False)))
     reason = (
-        F.when(~F.coalesce(F.col("max_attempts").between(1, 3), F.lit(False)), "attempt limit is not 1, 2 or 3")
-        .when(F.col("identity").isNull(), "report without identity")
+        F.when(~in_range, "attempt limit is not 1, 2 or 3")
         .when(F.col("_done") | (F.col("attempt") > F.col("_budget")) | (~F.col("_same") & (F.col("attempt") >= F.col("_budget"))), "attempt after a final one")
         .when(~F.col("_same"), "attempt limit differs from the first one")
     )
@@ -42,7 +43,7 @@ def evaluate_attempts(submissions: DataFrame) -> tuple[DataFrame, DataFrame]:
         }
     )
     drop = ["_usable", "_budget", "_same", "_done"]
-    return ok.drop(*drop, "reason"), s.filter("reason IS NOT NULL").drop(*drop, "attempt")
+    return ok.drop(*drop, "reason"), s.filter("reason IS NOT NULL").drop(*drop, "attempt").unionByName(nameless)
 
 
 def history_violations(history: DataFrame) -> DataFrame:

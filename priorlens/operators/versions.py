@@ -83,6 +83,17 @@ def version_entries(records: DataFrame) -> DataFrame:
     )
 
 
+def _gaps(have: Column) -> Column:
+    """What is missing between 1 and the last of the sorted versions: ``2`` or ``4-9`` for each gap."""
+    before = F.concat(F.array(F.lit(0).cast("bigint")), have.cast("array<bigint>"))
+
+    def gap(version: Column, i: Column) -> Column:
+        first, last = F.get(before, i) + 1, version.cast("bigint") - 1
+        return F.when(last == first, first.cast("string")).when(last > first, F.concat_ws("-", first.cast("string"), last.cast("string")))
+
+    return F.array_compact(F.transform(have, gap))
+
+
 def history_state(entries: DataFrame) -> DataFrame:
     """Per paper: greatest version, missing versions, date order, first conflict."""
     by_version = W.partitionBy(*KEY).orderBy("version")
@@ -93,20 +104,19 @@ def history_state(entries: DataFrame) -> DataFrame:
         F.coalesce(F.bool_and(F.col("_prev").isNull() | (F.col("submitted_at") >= F.col("_prev"))), F.lit(True)).alias("monotonic"),
         F.min("conflict").alias("conflict"),
     )
-    missing = F.array_except(F.sequence(F.lit(1), F.col("latest")), F.col("_have"))
-    return state.withColumn("missing_versions", missing).withColumn("complete", F.size("missing_versions") == 0).drop("_have")
+    return state.withColumn("missing_versions", _gaps(F.col("_have"))).withColumn("complete", F.size("missing_versions") == 0).drop("_have")
 
 
 def version_list_gaps(versions: DataFrame) -> DataFrame:
     """Completeness of ``(paper_id, version)`` lists: duplicates and missing versions."""
     return (
         versions.groupBy("paper_id")
-        .agg(F.max("version").alias("latest"), F.collect_set("version").alias("_have"), (F.count("*") - F.count_distinct("version")).alias("duplicates"))
+        .agg(F.max("version").alias("latest"), F.array_sort(F.collect_set("version")).alias("_have"), (F.count("*") - F.count_distinct("version")).alias("duplicates"))
         .select(
             "paper_id",
             "latest",
             "duplicates",
-            F.array_except(F.sequence(F.lit(1), F.col("latest").cast("int")), F.transform("_have", lambda v: v.cast("int"))).alias("missing_versions"),
+            _gaps(F.col("_have")).alias("missing_versions"),
         )
     )
 

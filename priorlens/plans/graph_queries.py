@@ -289,17 +289,19 @@ def dat_versions_as_of(t: Tables) -> DataFrame:
 )
 def dat_version_state(t: Tables) -> DataFrame:
     state = versions.history_state(versions.version_entries(histories(t)))
-    return state.select("paper_id", "latest", F.array_join(F.col("missing_versions").cast("array<string>"), ",").alias("missing"), "monotonic")
+    return state.select("paper_id", "latest", F.array_join("missing_versions", ",").alias("missing"), "monotonic")
 
 
 @query(
     "dat_version_gaps",
-    """WITH p AS (SELECT l_orderkey AS paper_id, max(l_linenumber) AS latest, count(*) - count(DISTINCT l_linenumber) AS duplicates, list(DISTINCT l_linenumber) AS have FROM lineitem GROUP BY 1)
- SELECT paper_id, latest, duplicates, array_to_string(list_sort(list_filter(range(1, latest + 1), lambda x: NOT list_contains(have, x))), ',') AS missing FROM p""",
+    """WITH p AS (SELECT l_orderkey AS paper_id, max(l_linenumber) AS latest, count(*) - count(DISTINCT l_linenumber) AS duplicates, list_sort(list(DISTINCT l_linenumber)) AS have FROM lineitem GROUP BY 1),
+ g AS (SELECT paper_id, v, coalesce(lag(v) OVER (PARTITION BY paper_id ORDER BY v), 0) + 1 AS a FROM (SELECT DISTINCT l_orderkey AS paper_id, l_linenumber AS v FROM lineitem)),
+ m AS (SELECT paper_id, string_agg(CASE WHEN a = v - 1 THEN a::varchar ELSE a || '-' || (v - 1) END, ',' ORDER BY a) AS missing FROM g WHERE a < v GROUP BY 1)
+ SELECT paper_id, latest, duplicates, coalesce(missing, '') AS missing FROM p LEFT JOIN m USING (paper_id)""",
 )
 def dat_version_gaps(t: Tables) -> DataFrame:
     out = versions.version_list_gaps(t.lineitem.select(F.col("l_orderkey").alias("paper_id"), F.col("l_linenumber").alias("version")))
-    return out.select("paper_id", "latest", "duplicates", F.array_join(F.col("missing_versions").cast("array<string>"), ",").alias("missing"))
+    return out.select("paper_id", "latest", "duplicates", F.array_join("missing_versions", ",").alias("missing"))
 
 
 @query(
@@ -319,7 +321,12 @@ def dat_historical_source(t: Tables) -> DataFrame:
 
 # ------------------------------------------------------------------ expansion
 
-EXPANSION_LIMIT = 12
+
+def cut_calls(t: Tables) -> DataFrame:
+    """Calls that a provider ended at its limit."""
+    return t.part.filter("p_size = 17").select(
+        F.lit("openalex").alias("provider"), F.lit("FORWARD").alias("direction"), F.concat(F.lit("p"), "p_partkey").alias("provider_id"), F.lit(200).alias("limit"), F.concat(F.lit("c"), "p_partkey").alias("next_token")
+    )
 
 
 def provider_papers(t: Tables) -> DataFrame:
@@ -375,29 +382,29 @@ EXPANSION_SQL = """WITH cnt AS (SELECT l_partkey AS p, count(DISTINCT l_orderkey
  outage AS (SELECT 'p' || p_partkey AS pid FROM part WHERE p_size = 13),
  rt2 AS (SELECT *, (provider = 'semantic-scholar' AND direction = 'FORWARD' AND pid IN (SELECT pid FROM outage)) AS failed FROM rt),
  deg AS (SELECT provider, 'BACKWARD' AS direction, s AS pid, count(*) AS total FROM edges GROUP BY 1, 3 UNION ALL SELECT provider, 'FORWARD', t, count(*) FROM edges GROUP BY 1, 3),
- calls AS (SELECT rt2.*, coalesce(total, 0) AS total, provider <> 'semantic-scholar' AND coalesce(total, 0) <= 12 AS done FROM rt2 LEFT JOIN deg USING (provider, direction, pid) WHERE NOT failed),
+ calls AS (SELECT rt2.*, coalesce(total, 0) AS total, provider <> 'semantic-scholar' AND NOT (provider = 'openalex' AND direction = 'FORWARD' AND pid IN (SELECT 'p' || p_partkey FROM part WHERE p_size = 17)) AS done FROM rt2 LEFT JOIN deg USING (provider, direction, pid) WHERE NOT failed),
  fails AS (SELECT a, b, provider, direction, e FROM rt2 WHERE failed UNION ALL SELECT base.a, base.b, 'none', 'BACKWARD', x.e FROM base, unnest(['P' || base.a, 'P' || base.b]) AS x(e) WHERE NOT EXISTS (SELECT 1 FROM rt WHERE rt.a = base.a AND rt.b = base.b AND rt.e = x.e AND direction = 'BACKWARD')
    UNION ALL SELECT anc.a, anc.b, 'none', 'FORWARD', anc.e FROM anc WHERE NOT EXISTS (SELECT 1 FROM rt WHERE rt.a = anc.a AND rt.b = anc.b AND rt.e = anc.e AND direction = 'FORWARD')),
- fwd AS (SELECT provider, t AS pid, s AS nb FROM (SELECT *, row_number() OVER (PARTITION BY provider, t ORDER BY s) AS rn FROM edges) WHERE rn <= 12),
+ fwd AS (SELECT provider, t AS pid, s AS nb FROM edges),
  cand AS (SELECT DISTINCT c.a, c.b, f.provider, f.nb FROM calls c JOIN fwd f ON f.provider = c.provider AND f.pid = c.pid AND c.direction = 'FORWARD' JOIN edges g ON g.provider = f.provider AND g.s = f.nb AND lower(g.t) = lower(CASE WHEN c.e = 'P' || c.a THEN 'P' || c.b ELSE 'P' || c.a END))
 """
 
 
 def _expanded(t: Tables) -> dict[str, DataFrame]:
     pairs_, papers_, edges_ = (cut_lineage(f(t)) for f in (expansion_pairs, provider_papers, provider_edges))
-    return expansion.expand_pairs(pairs_, papers_, edges_, provider_outages(t), candidate_status(t), EXPANSION_LIMIT, ("semantic-scholar",))
+    return expansion.expand_pairs(pairs_, papers_, edges_, provider_outages(t), candidate_status(t), cut_calls(t), ("semantic-scholar",))
 
 
 def _calls(t: Tables, edges: DataFrame | None = None) -> DataFrame:
     wanted = expansion.routes(cut_lineage(expansion_pairs(t)), cut_lineage(provider_papers(t)))
-    return expansion.call_log(wanted, provider_edges(t) if edges is None else edges, provider_outages(t), EXPANSION_LIMIT, ("semantic-scholar",))
+    return expansion.call_log(wanted, provider_edges(t) if edges is None else edges, provider_outages(t), cut_calls(t), ("semantic-scholar",))
 
 
 @query(
     "grx_calls",
     EXPANSION_SQL
-    + """SELECT 'P' || a AS paper_a, 'P' || b AS paper_b, provider, direction, e AS anchor_paper_id, pid AS provider_id, least(total, 12)::bigint AS returned_count, done AS exhausted, NOT done AS possibly_truncated,
-   CASE WHEN provider = 'semantic-scholar' THEN 'UNREPORTED' WHEN NOT done THEN '12' END AS next_token, CASE WHEN provider <> 'semantic-scholar' THEN total END AS provider_total FROM calls""",
+    + """SELECT 'P' || a AS paper_a, 'P' || b AS paper_b, provider, direction, e AS anchor_paper_id, pid AS provider_id, total::bigint AS returned_count, done AS exhausted, NOT done AS possibly_truncated,
+   CASE WHEN provider = 'semantic-scholar' THEN 'UNREPORTED' WHEN NOT done THEN 'c' || substr(pid, 2) END AS next_token, CASE WHEN done THEN total END AS provider_total FROM calls""",
 )
 def grx_calls(t: Tables) -> DataFrame:
     return _calls(t).select(
@@ -416,7 +423,7 @@ def grx_failures(t: Tables) -> DataFrame:
 def grx_candidates(t: Tables) -> DataFrame:
     edges = cut_lineage(provider_edges(t))
     calls = cut_lineage(_calls(t, edges))
-    hits = expansion.bridge_candidates(expansion.neighbours(calls, edges, EXPANSION_LIMIT), edges)
+    hits = expansion.bridge_candidates(expansion.neighbours(calls, edges), edges)
     return hits.select("paper_a", "paper_b", "provider", F.col("neighbour_id").alias("paper_id"))
 
 
@@ -424,7 +431,7 @@ def grx_candidates(t: Tables) -> DataFrame:
     "grx_observations",
     EXPANSION_SQL
     + """, ends AS (SELECT base.a, base.b, x.e FROM base, unnest(['P' || base.a, 'P' || base.b]) AS x(e)),
- ob AS (SELECT a, b, e, provider, least(total, 12) AS n FROM calls WHERE direction = 'BACKWARD' UNION ALL SELECT a, b, e, provider, NULL FROM fails WHERE direction = 'BACKWARD')
+ ob AS (SELECT a, b, e, provider, total AS n FROM calls WHERE direction = 'BACKWARD' UNION ALL SELECT a, b, e, provider, NULL FROM fails WHERE direction = 'BACKWARD')
  SELECT 'P' || ends.a AS paper_a, 'P' || ends.b AS paper_b, ends.e AS paper_id, sum(n)::bigint AS returned, CASE WHEN sum(n) > 0 THEN 'NONEMPTY' WHEN bool_or(provider = 'none') OR sum(n) IS NULL THEN 'FAILED' ELSE 'EMPTY_AT_PROVIDER' END AS status,
    string_agg(provider || ':' || CASE WHEN n IS NULL THEN 'FAILED' WHEN n > 0 THEN 'NONEMPTY' ELSE 'EMPTY_AT_PROVIDER' END, ',' ORDER BY provider) AS detail
  FROM ends LEFT JOIN ob USING (a, b, e) GROUP BY 1, 2, 3""",
@@ -432,7 +439,7 @@ def grx_candidates(t: Tables) -> DataFrame:
 def grx_observations(t: Tables) -> DataFrame:
     pairs_, papers_, edges_ = (cut_lineage(f(t)) for f in (expansion_pairs, provider_papers, provider_edges))
     wanted = cut_lineage(expansion.routes(pairs_, papers_))
-    calls = expansion.call_log(wanted, edges_, provider_outages(t), EXPANSION_LIMIT, ("semantic-scholar",))
+    calls = expansion.call_log(wanted, edges_, provider_outages(t), cut_calls(t), ("semantic-scholar",))
     o = expansion.reference_observations(pairs_, calls, expansion.call_failures(pairs_, papers_, wanted, provider_outages(t)))
     return o.select(
         "paper_a", "paper_b", "paper_id", F.col("provider_returned_count").alias("returned"), "status", F.array_join(F.transform("provider_observations", lambda p: F.concat_ws(":", p["provider"], p["status"])), ",").alias("detail")

@@ -48,7 +48,7 @@ RUNS_SQL = """WITH e AS (SELECT user_id::varchar AS audit_id, user_id, event_id,
  occ AS (SELECT q.audit_id, q.query_id, q.k, page FROM q JOIN p ON p.audit_id = q.audit_id AND p.query_id = q.query_id AND p.day = q.day WHERE value >= 0.2),
  fresh AS (SELECT audit_id, query_id, page, count(*) AS nw FROM (SELECT *, min(page) OVER (PARTITION BY audit_id, query_id, k) AS f FROM occ) WHERE page = f GROUP BY 1, 2, 3),
  lg AS (SELECT pt.*, coalesce(nw, 0) AS nw, lag(token) OVER (PARTITION BY pt.audit_id, pt.query_id ORDER BY pt.page) AS asked FROM pt LEFT JOIN fresh USING (audit_id, query_id, page)),
- st AS (SELECT *, CASE WHEN token IS NULL THEN 'PROVIDER_EXHAUSTED' WHEN nw = 0 AND page > 1 AND raw <= ret THEN 'NO_NEW_RESULTS' WHEN token = asked THEN 'NO_NEW_RESULTS' END AS stop FROM lg WHERE page <= 10),
+ st AS (SELECT *, CASE WHEN token IS NULL THEN 'PROVIDER_EXHAUSTED' WHEN nw = 0 AND page > 1 AND raw <= ret THEN 'NO_NEW_RESULTS' WHEN token = asked THEN 'NO_NEW_RESULTS' END AS stop FROM lg),
  en AS (SELECT audit_id, query_id, min(page) FILTER (stop IS NOT NULL) AS e FROM st GROUP BY 1, 2),
  fold AS (SELECT audit_id, query_id, sum(nw)::bigint AS returned_count, max(page) AS pages_read, coalesce(max(stop) FILTER (page = e), 'PAGE_BUDGET_EXHAUSTED') AS stop FROM st JOIN en USING (audit_id, query_id) WHERE e IS NULL OR page <= e GROUP BY 1, 2),
  runs0 AS (SELECT audit_id, query_id, any_value(user_id) AS user_id, any_value(provider) AS provider, any_value(family) AS family, min(value) < 0.5 AS failed, min(event_id) AS ev FROM q GROUP BY 1, 2),
@@ -59,7 +59,7 @@ RUNS_SQL = """WITH e AS (SELECT user_id::varchar AS audit_id, user_id, event_id,
 
 @query("sch_pages", RUNS_SQL + "SELECT audit_id, query_id, returned_count, pages_read, stop AS saturation_stop_reason, stop = 'PAGE_BUDGET_EXHAUSTED' AS truncated FROM fold")
 def sch_pages(t: Tables) -> DataFrame:
-    return search.fold_pages(pages(t), 10).select("audit_id", "query_id", "returned_count", F.col("pages_read").cast("bigint").alias("pages_read"), "saturation_stop_reason", "truncated")
+    return search.fold_pages(pages(t)).select("audit_id", "query_id", "returned_count", F.col("pages_read").cast("bigint").alias("pages_read"), "saturation_stop_reason", "truncated")
 
 
 def runs(t: Tables) -> DataFrame:
@@ -68,7 +68,7 @@ def runs(t: Tables) -> DataFrame:
     )
     errors = r.filter("bad").select("audit_id", "query_id", S("CASE WHEN ev % 2 = 0 THEN 'HTTP 429: slow down' ELSE 'URLError: timed out' END").alias("message"))
     base = r.select("audit_id", "user_id", "query_id", "provider", "family", F.lit(None).cast("date").alias("cutoff"), F.lit(False).alias("is_backstop"))
-    out = search.account_runs(base, search.fold_pages(pages(t), 10), errors)
+    out = search.account_runs(base, search.fold_pages(pages(t)), errors)
     return out.withColumn("corpus", S("CASE WHEN provider = 'openalex' THEN CASE WHEN user_id % 7 = 0 THEN 'core' ELSE 'all' END ELSE 'not_applicable' END")).withColumn("pagination", F.lit("{}"))
 
 
@@ -114,17 +114,22 @@ def _listed(expr: str) -> str:
     return f"'[' || (SELECT string_agg('''' || x || '''', ', ' ORDER BY x) FROM unnest({expr}) AS u(x)) || ']'"
 
 
-@query(
-    "cov_levels",
-    RUNS_SQL
-    + f""", g AS (SELECT audit_id, any_value(user_id) AS user_id, coalesce(list(DISTINCT replace(provider, 'semantic_scholar', 'semantic-scholar')) FILTER (NOT failed), []) AS tried, coalesce(list(DISTINCT family) FILTER (NOT failed), []) AS fam, list(query_id) FILTER (failed) AS lf, list(query_id) FILTER (truncated) AS lt,
+def coverage_sql(saturated: str = "sat") -> str:
+    """The coverage derivation up to table ``lv``; ``saturated`` says where the saturation comes from."""
+    return RUNS_SQL + f""", g AS (SELECT audit_id, any_value(user_id) AS user_id, coalesce(list(DISTINCT replace(provider, 'semantic_scholar', 'semantic-scholar')) FILTER (NOT failed), []) AS tried, coalesce(list(DISTINCT family) FILTER (NOT failed), []) AS fam, list(query_id) FILTER (failed) AS lf, list(query_id) FILTER (truncated) AS lt,
    list(query_id) FILTER (NOT failed AND stop = 'PAGE_BUDGET_EXHAUSTED') AS lu, list(query_id) FILTER (NOT failed AND provider = 'openalex' AND user_id % 7 = 0) AS lc, bool_and(NOT failed AND NOT truncated) AS sat FROM runs GROUP BY 1),
  h AS (SELECT *, list_filter(tried, lambda x: x <> 'crossref') AS prov, list_filter(['ancestor', 'composition_bridge', 'literal', 'mechanism', 'problem_function'], lambda x: NOT list_contains(fam, x)) AS miss FROM g),
  r AS (SELECT audit_id, prov, fam, list_filter([CASE WHEN len(prov) < 2 THEN 'fewer than two providers completed a query' END, CASE WHEN list_contains(tried, 'crossref') THEN 'unsupported primary search providers: [''crossref'']' END,
    CASE WHEN len(miss) > 0 THEN 'missing successful query families: ' || {_listed('miss')} END, CASE WHEN lf IS NOT NULL THEN 'failed query runs: ' || {_listed('lf')} END, CASE WHEN lt IS NOT NULL THEN 'truncated query runs: ' || {_listed('lt')} END,
    CASE WHEN lu IS NOT NULL THEN 'query runs lack a saturation stop: ' || {_listed('lu')} END, CASE WHEN user_id % 5 < 2 THEN 'incomplete search obligations: [''o' || user_id % 5 || ''']' END,
-   CASE WHEN lc IS NOT NULL THEN 'OpenAlex did not search corpus=all: ' || {_listed('lc')} END, CASE WHEN NOT sat THEN 'search saturation was not established' END], lambda x: x IS NOT NULL) AS reasons FROM h)
- SELECT audit_id, CASE WHEN len(reasons) = 0 THEN 'BROAD' WHEN len(prov) >= 2 AND len(fam) >= 3 THEN 'MODERATE' ELSE 'NARROW' END AS level, array_to_string(list_sort(prov), ',') AS providers, array_to_string(list_sort(fam), ',') AS families, array_to_string(reasons, '|') AS reasons FROM r""",
+   CASE WHEN lc IS NOT NULL THEN 'OpenAlex did not search corpus=all: ' || {_listed('lc')} END, CASE WHEN NOT ({saturated}) THEN 'search saturation was not established' END], lambda x: x IS NOT NULL) AS reasons FROM h),
+ lv AS (SELECT *, CASE WHEN len(reasons) = 0 THEN 'BROAD' WHEN len(prov) >= 2 AND len(fam) >= 3 THEN 'MODERATE' ELSE 'NARROW' END AS level FROM r)
+"""
+
+
+@query(
+    "cov_levels",
+    coverage_sql() + "SELECT audit_id, level, array_to_string(list_sort(prov), ',') AS providers, array_to_string(list_sort(fam), ',') AS families, array_to_string(reasons, '|') AS reasons FROM lv",
 )
 def cov_levels(t: Tables) -> DataFrame:
     r = runs(t)

@@ -110,10 +110,16 @@ def citing_dates(t: Tables) -> DataFrame:
     return t.orders.select(F.concat(F.lit("O"), "o_orderkey").alias("work_id"), S("CASE WHEN o_orderkey % 50 > 0 THEN cast(o_orderdate AS date) END").alias("publication_date"))
 
 
+def unfinished_pairs(t: Tables, pairs: DataFrame) -> DataFrame:
+    """Pairs whose lesser end the provider did not finish."""
+    keyed = pairs.select(F.least("work_a", "work_b").alias("work_lo"), F.greatest("work_a", "work_b").alias("work_hi")).distinct()
+    return keyed.join(t.part.filter("p_size = 13").select(F.concat(F.lit("W"), "p_partkey").alias("work_lo")), "work_lo", "left_semi")
+
+
 def pair_table(t: Tables) -> DataFrame:
     p = cut_lineage(priors(t))
     pairs = cut_lineage(study.prior_pairs(p, cutoffs(t)))
-    works, status = study.citing_works(pairs, citing_edges(t), max_results=2, page_size=2)
+    works, status = study.citing_works(pairs, citing_edges(t), unfinished_pairs(t, pairs))
     return study.interpret_pairs(study.pair_bridges(pairs, works, status, citing_dates(t)), p)
 
 
@@ -125,10 +131,10 @@ PAIR_SQL = """WITH c AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTIT
  pa AS (SELECT a.case_id, a.w AS wa, b.w AS wb, cutoff, CASE WHEN a.d IS NOT NULL AND b.d IS NOT NULL THEN (cutoff - greatest(a.d, b.d))::int END AS days, a.n AS ca, b.n AS cb, a.cov <> 'NONEMPTY' OR b.cov <> 'NONEMPTY' AS gap FROM pr a JOIN pr b ON a.case_id = b.case_id AND a.i < b.i JOIN cu ON cu.case_id = a.case_id WHERE a.w IS NOT NULL AND b.w IS NOT NULL),
  op AS (SELECT DISTINCT 'O' || l_orderkey AS o, 'W' || l_partkey AS w FROM lineitem),
  up AS (SELECT DISTINCT least(wa, wb) AS lo, greatest(wa, wb) AS hi FROM pa),
- co AS (SELECT lo, hi, x.o, row_number() OVER (PARTITION BY lo, hi ORDER BY x.o) AS rn, count(*) OVER (PARTITION BY lo, hi) AS total FROM up JOIN op x ON x.w = lo JOIN op y ON y.o = x.o AND y.w = hi),
+ co AS (SELECT lo, hi, x.o, count(*) OVER (PARTITION BY lo, hi) AS total FROM up JOIN op x ON x.w = lo JOIN op y ON y.o = x.o AND y.w = hi),
  dt AS (SELECT 'O' || o_orderkey AS o, CASE WHEN o_orderkey % 50 > 0 THEN o_orderdate::date END AS d FROM orders),
- pb AS (SELECT pa.case_id, wa, wb, any_value(total) AS total, count(DISTINCT co.o) FILTER (dt.d <= cutoff) AS pre, count(*) FILTER (dt.d IS NULL) AS und FROM pa JOIN co ON lo = least(wa, wb) AND hi = greatest(wa, wb) AND rn <= 2 JOIN dt ON dt.o = co.o GROUP BY 1, 2, 3),
- full_p AS (SELECT pa.*, coalesce(total, 0) AS total, coalesce(pre, 0) AS pre, coalesce(und, 0) AS und, CASE WHEN coalesce(total, 0) > 2 THEN 'PARTIAL' ELSE 'COMPLETE' END AS status FROM pa LEFT JOIN pb USING (case_id, wa, wb)),
+ pb AS (SELECT pa.case_id, wa, wb, any_value(total) AS total, count(DISTINCT co.o) FILTER (dt.d <= cutoff) AS pre, count(*) FILTER (dt.d IS NULL) AS und FROM pa JOIN co ON lo = least(wa, wb) AND hi = greatest(wa, wb) JOIN dt ON dt.o = co.o GROUP BY 1, 2, 3),
+ full_p AS (SELECT pa.*, coalesce(total, 0) AS total, coalesce(pre, 0) AS pre, coalesce(und, 0) AS und, CASE WHEN least(wa, wb) IN (SELECT 'W' || p_partkey FROM part WHERE p_size = 13) THEN 'PARTIAL' ELSE 'COMPLETE' END AS status FROM pa LEFT JOIN pb USING (case_id, wa, wb)),
  z AS (SELECT *, CASE WHEN status <> 'COMPLETE' THEN 'UNINTERPRETABLE_INCOMPLETE_QUERY' WHEN pre > 0 THEN 'BRIDGE_PRESENT' WHEN und > 0 THEN 'UNINTERPRETABLE_BRIDGE_DATE_MISSING' WHEN days IS NULL THEN 'UNINTERPRETABLE_ENDPOINT_DATE_MISSING' WHEN days < 0 THEN 'UNINTERPRETABLE_POST_CUTOFF_ENDPOINT'
    WHEN gap AND days < 548 THEN 'ZERO_WITH_SHORT_WINDOW_AND_COVERAGE_CAVEAT' WHEN gap THEN 'ZERO_WITH_PROVIDER_COVERAGE_CAVEAT' WHEN days < 548 THEN 'ZERO_WITH_SHORT_OBSERVATION_WINDOW' ELSE 'ZERO_UNDER_MEASURED_PROVIDER_SNAPSHOT' END AS label FROM full_p)
 """
@@ -175,11 +181,11 @@ def stu_thresholds(t: Tables) -> DataFrame:
     "stu_histograms",
     PAIR_SQL
     + """SELECT 'reference_coverage_status' AS histogram, cov AS value, count(*) AS n FROM pr GROUP BY 2 UNION ALL SELECT 'negative_interpretation', label, count(*) FROM z GROUP BY 2
- UNION ALL SELECT 'pair_opportunity_bins', CASE WHEN days < 0 THEN 'POST_CUTOFF_PRIOR' WHEN days <= 180 THEN '0_TO_6_MONTHS' WHEN days <= 365 THEN '6_TO_12_MONTHS' WHEN days <= 548 THEN '12_TO_18_MONTHS' WHEN days <= 1095 THEN '18_TO_36_MONTHS' ELSE 'OVER_36_MONTHS' END, count(*) FROM z WHERE status = 'COMPLETE' AND days IS NOT NULL GROUP BY 2""",
+ UNION ALL SELECT 'extraction_status', 'EXTRACTED', count(DISTINCT case_id) FROM pr UNION ALL SELECT 'pair_opportunity_bins', CASE WHEN days < 0 THEN 'POST_CUTOFF_PRIOR' WHEN days <= 180 THEN '0_TO_6_MONTHS' WHEN days <= 365 THEN '6_TO_12_MONTHS' WHEN days <= 548 THEN '12_TO_18_MONTHS' WHEN days <= 1095 THEN '18_TO_36_MONTHS' ELSE 'OVER_36_MONTHS' END, count(*) FROM z WHERE status = 'COMPLETE' AND days IS NOT NULL GROUP BY 2""",
 )
 def stu_histograms(t: Tables) -> DataFrame:
     cases = priors(t).select("case_id").distinct().withColumn("extraction_status", F.lit("EXTRACTED"))
-    return study.study_histograms(cases, priors(t), cut_lineage(pair_table(t))).filter("histogram <> 'extraction_status'")
+    return study.study_histograms(cases, priors(t), cut_lineage(pair_table(t)))
 
 
 @query(
@@ -197,7 +203,7 @@ def stu_prior_summary(t: Tables) -> DataFrame:
     "stu_case_summary",
     PAIR_SQL
     + """, n AS (SELECT case_id, count(*) AS k FROM pr GROUP BY 1), q AS (SELECT case_id, count(*) AS m, bool_and(status = 'COMPLETE') AS ok FROM z GROUP BY 1),
- db AS (SELECT pa.case_id, count(DISTINCT co.o) AS b FROM pa JOIN co ON lo = least(wa, wb) AND hi = greatest(wa, wb) AND rn <= 2 JOIN dt ON dt.o = co.o WHERE dt.d <= cutoff GROUP BY 1),
+ db AS (SELECT pa.case_id, count(DISTINCT co.o) AS b FROM pa JOIN co ON lo = least(wa, wb) AND hi = greatest(wa, wb) JOIN dt ON dt.o = co.o WHERE dt.d <= cutoff GROUP BY 1),
  cs AS (SELECT case_id, k, k >= 2 AND coalesce(m, 0) >= k * (k - 1) // 2 AND coalesce(ok, true) AND coalesce(m, 0) > 0 AS done, coalesce(b, 0) AS b FROM n LEFT JOIN q USING (case_id) LEFT JOIN db USING (case_id))
  SELECT count(*) AS annotated_cases, count_if(k >= 2)::bigint AS cases_with_two_or_more_named_priors, count_if(done)::bigint AS complete_multi_prior_cases, count_if(done AND b > 0)::bigint AS cases_with_pre_cutoff_bridge, sum(CASE WHEN done THEN b ELSE 0 END)::bigint AS distinct_pre_cutoff_bridges_across_cases,
    round(count_if(done AND b > 0) / count_if(done), 4) AS case_bridge_base_rate FROM cs""",
@@ -209,7 +215,7 @@ def stu_case_summary(t: Tables) -> DataFrame:
 def _case_summary(t: Tables) -> DataFrame:
     named = cut_lineage(priors(t))
     pairs = cut_lineage(study.prior_pairs(named, cutoffs(t)))
-    works, status = study.citing_works(pairs, citing_edges(t), max_results=2, page_size=2)
+    works, status = study.citing_works(pairs, citing_edges(t), unfinished_pairs(t, pairs))
     works = cut_lineage(works)
     full = study.pair_bridges(pairs, works, status, citing_dates(t))
     cases = study.pair_coverage(named.groupBy("case_id").agg(F.count("*").alias("named_prior_count")), full)
@@ -484,11 +490,11 @@ def dif_queries(t: Tables) -> DataFrame:
 
 @query(
     "dif_causes",
-    DIFF_SQL + "SELECT p_brand AS audit_id, CASE WHEN p_brand IN (SELECT audit_id FROM d WHERE change = 'REMOVED') THEN 'LITERATURE_SNAPSHOT_CHANGE' WHEN split_part(p_brand, '#', 2)::int % 2 = 0 THEN 'MODEL_OR_REASONING_CHANGE' ELSE 'NO_MATERIAL_CHANGE' END AS change_cause FROM (SELECT DISTINCT p_brand FROM part)",
+    DIFF_SQL + "SELECT p_brand AS audit_id, CASE WHEN p_brand IN (SELECT audit_id FROM d WHERE change IS NOT NULL) THEN 'LITERATURE_SNAPSHOT_CHANGE' WHEN split_part(p_brand, '#', 2)::int % 2 = 0 THEN 'MODEL_OR_REASONING_CHANGE' ELSE 'NO_MATERIAL_CHANGE' END AS change_cause FROM (SELECT DISTINCT p_brand FROM part)",
 )
 def dif_causes(t: Tables) -> DataFrame:
     audits = t.part.select(F.col("p_brand").alias("audit_id")).distinct()
-    papers = diff.diff_papers(*snapshots(t)).filter("change = 'REMOVED'")
+    papers = diff.diff_papers(*snapshots(t))
     verdicts = audits.filter("cast(substring_index(audit_id, '#', -1) AS int) % 2 = 0")
     return diff.change_causes(audits, papers, verdicts)
 

@@ -18,20 +18,22 @@ ATTEMPT_OUT = "identity string, report_hash string, attempt int, max_attempts in
 class AttemptLedger(StatefulProcessor):
     """Keeps (budget, tries used, finished) per audit identity.
 
-    Submissions of one micro-batch are taken in ``seq`` order. State of an
-    identity expires after the given time without a submission.
+    Submissions of one micro-batch are taken in ``seq`` order. An open identity
+    expires after the given time without a submission; a finished one never does.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         state = T.StructType([T.StructField("budget", T.IntegerType()), T.StructField("used", T.IntegerType()), T.StructField("done", T.BooleanType())])
         self.state = handle.getValueState("ledger", state, ttlDurationMs=self.ttl_ms)
+        self.finished = handle.getValueState("finished", state)
 
     def __init__(self, ttl_ms: int) -> None:
         self.ttl_ms = ttl_ms
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        budget, used, done = self.state.get() if self.state.exists() else (None, 0, False)
+        held = self.finished if self.finished.exists() else self.state
+        budget, used, done = held.get() if held.exists() else (None, 0, False)
         out = []
         for sub in batch.itertuples():
             reason = status = None
@@ -46,7 +48,7 @@ class AttemptLedger(StatefulProcessor):
                 done = status != "RETRY_REQUIRED"
             cap = None if status is None else "NONE" if status == "COMPLETE" else "INCONCLUSIVE"
             out.append((key[0], sub.report_hash, None if reason else used, budget, status, cap, reason))
-        self.state.update((budget, used, done))
+        (self.finished if done else self.state).update((budget, used, done))
         frame = pd.DataFrame(out, columns=["identity", "report_hash", "attempt", "max_attempts", "status", "conclusion_cap", "reason"])
         yield frame.astype({"attempt": "Int32", "max_attempts": "Int32"})
 

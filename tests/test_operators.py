@@ -46,9 +46,9 @@ def test_versions(spark):
     )
     got = {r["paper_id"]: r for r in versions.historical_source(papers, local, history).collect()}
     assert got["mid"]["version"] == 2 and got["mid"]["selection_method"] == versions.HISTORY_METHOD
-    assert "missing versions: 2" in got["gap"]["error"]
+    assert "gaps at versions: 2" in got["gap"]["error"]
     assert got["local"]["version"] == 3 and got["local"]["selection_method"] == versions.LOCAL_METHOD and got["local"]["history_complete"] is False
-    assert got["early"]["error"].startswith("no verified downloadable")
+    assert got["early"]["error"].startswith("no version was public")
     row = spark.range(1).select(versions.same_version(F.lit("https://arxiv.org/pdf/1.2v3"), F.lit("https://arxiv.org/pdf/1.2v4")).alias("x")).first()
     assert row["x"] is False
 
@@ -64,23 +64,25 @@ def test_bridges(spark):
     assert bridges.unknown_pairs(pairs, papers).count() == 1
 
 
-def _expand(spark, limit, silent=()):
+def _expand(spark, cut=(), silent=()):
     papers = spark.createDataFrame([("a", "A", {"openalex": "WA", "semantic-scholar": "SA"}, [], 5, "2022-03-01"), ("a", "B", {"openalex": "WB"}, ["semantic-scholar"], 9, "2023-04-02")], "audit_id string, id string, provider_ids map<string,string>, providers array<string>, citation_count bigint, d string")
     papers = papers.withColumn("earliest_public_date", F.col("d").cast("date"))
     edges = spark.createDataFrame([("openalex", "WC", "WA"), ("openalex", "WC", "https://openalex.org/WB"), ("openalex", "WX", "WA"), ("openalex", "WB", "WA"), ("openalex", "WA", "W0")], "provider string, source_id string, target_id string")
     pairs = spark.createDataFrame([("a", "A", "B", "2024-04-03", ["openalex", "semantic-scholar"])], "audit_id string, paper_a string, paper_b string, c string, selected array<string>").withColumn("cutoff", F.col("c").cast("date"))
     none = spark.createDataFrame([], "provider string, direction string, provider_id string, detail string")
-    return {k: v.collect() for k, v in expansion.expand_pairs(pairs, papers, edges, none, limit=limit, silent_providers=silent).items()}
+    cuts = spark.createDataFrame(list(cut), "provider string, direction string, provider_id string, limit int, next_token string")
+    return {k: v.collect() for k, v in expansion.expand_pairs(pairs, papers, edges, none, cuts=cuts, silent_providers=silent).items()}
 
 
 def test_expansion(spark):
-    out = _expand(spark, 100)
+    out = _expand(spark)
     e = out["expansions"][0]
     assert [r["neighbour_id"] for r in out["candidates"]] == ["WC"] and {r["anchor_paper_id"] for r in out["calls"] if r["direction"] == "FORWARD"} == {"A"}
     assert e["status"] == "COMPLETE" and e["observation_window_days"] == 367 and e["anchor_selection"] == "LOWER_CITATION_COUNT" and e["provider"] == "multi-provider"
-    short = _expand(spark, 2)["expansions"][0]
+    short = _expand(spark, [("openalex", "FORWARD", "WA", 2, "next")])["expansions"][0]
+    assert [r["neighbour_id"] for r in _expand(spark, [("openalex", "FORWARD", "WA", 2, "next")])["candidates"]] == ["WC"]
     assert short["status"] == "PARTIAL" and short["partial_reasons"] == ["LIMIT_REACHED"] and short["negative_result_scope"] == "INCOMPLETE_EXPANSION"
-    assert _expand(spark, 100, ("semantic-scholar",))["expansions"][0]["partial_reasons"] == ["LIMIT_REACHED"]
+    assert _expand(spark, (), ("semantic-scholar",))["expansions"][0]["partial_reasons"] == ["LIMIT_REACHED"]
 
 
 def test_search_coverage(spark):
@@ -103,8 +105,8 @@ def test_page_folding(spark):
     pages = [("a", "filtered", i, str(100 * i) if i < 3 else None, 100, 0 if i < 3 else 2, None, [] if i < 3 else ["x", "y"]) for i in (1, 2, 3)]
     pages += [("a", "stale", i, str(i), 2, 2, None, ["x", "y"]) for i in (1, 2, 3)] + [("a", "long", i, str(i), 1, 1, None, [f"p{i}"]) for i in range(1, 5)]
     df = spark.createDataFrame(pages, "audit_id string, query_id string, page_index int, next_token string, raw_returned_count bigint, returned_count bigint, total_count bigint, paper_ids array<string>")
-    got = {r["query_id"]: (r["returned_count"], r["saturation_stop_reason"], r["truncated"]) for r in search.fold_pages(df, 3).collect()}
-    assert got == {"filtered": (2, "PROVIDER_EXHAUSTED", False), "stale": (2, "NO_NEW_RESULTS", False), "long": (3, "PAGE_BUDGET_EXHAUSTED", True)}
+    got = {r["query_id"]: (r["returned_count"], r["saturation_stop_reason"], r["truncated"]) for r in search.fold_pages(df).collect()}
+    assert got == {"filtered": (2, "PROVIDER_EXHAUSTED", False), "stale": (2, "NO_NEW_RESULTS", False), "long": (4, "PAGE_BUDGET_EXHAUSTED", True)}
 
 
 def test_named_priors(spark):
