@@ -20,6 +20,7 @@ import random
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
@@ -30,7 +31,7 @@ from priorlens.session import cut_lineage
 from . import textkernel as tk
 from .subwords import Subwords
 
-CAPACITY, CLOSING = 2048, b"\0\0\0\0"
+CAPACITY, CLOSING = 2048, 0
 SHARD, ISLANDS, POPULATION, GENERATIONS, ROUNDS, ELITE = 2_000, 3, 6, 6, 2, 2
 LOOSE = 0.9
 FULL_IDS = 1 << 62
@@ -44,19 +45,24 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = (TaskContext.get().partitionId()) << 33
         for block in tk.blocks(batches, "text"):
-            rows: list[tuple] = []
-            owner: list[int] = []
-            for i, text in enumerate(block.column("text").to_pylist()):
-                ids = subwords.encode(text) + CLOSING
-                for piece, at in enumerate(range(0, len(ids), 4 * CAPACITY)):
-                    part = ids[at : at + 4 * CAPACITY]
-                    rows.append((piece, at // 4, len(part) // 4, zlib.crc32(part), number))
-                    owner.append(i)
-                    number += 1
-            piece, start, length, crc, uid = zip(*rows, strict=True)
+            ids, offsets = subwords.encode_rows(block.column("text"))
+            n = len(offsets) - 1
+            length = np.diff(offsets) + 1
+            closed = np.full(length.sum(), CLOSING, "<u4")
+            closed[np.arange(len(ids)) + np.repeat(np.arange(n), length - 1)] = ids
+            parts = -(-length // CAPACITY)
+            owner = np.repeat(np.arange(n), parts)
+            piece = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+            start = piece * CAPACITY
+            size = np.minimum(CAPACITY, length[owner] - start)
+            at = (np.cumsum(length) - length)[owner] + start
+            raw = memoryview(closed.tobytes())
+            crc = [zlib.crc32(raw[4 * a : 4 * (a + k)]) for a, k in zip(at.tolist(), size.tolist(), strict=True)]
+            uid = np.arange(number, number + len(piece))
+            number += len(piece)
             yield pa.RecordBatch.from_pydict({
-                "doc_id": block.column("doc_id").take(pa.array(owner)), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()),
-                "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()), "uid": pa.array(uid, pa.int64()),
+                "doc_id": block.column("doc_id").take(pa.array(owner)), "piece": pa.array(piece.astype(np.int32)), "start": pa.array(start), "length": pa.array(size),
+                "ids_crc32": pa.array(crc, pa.int64()), "uid": pa.array(uid),
             })
 
     kind = source.schema["doc_id"].dataType.simpleString()
@@ -70,7 +76,7 @@ class Bins:
         self.sizes = sizes
         self.bins: dict[int, list[int]] = {}
         self.left: dict[int, int] = {}
-        self._by_left: list[set[int]] = [set() for _ in range(CAPACITY + 1)]
+        self._by_left: list[list[int]] = [[] for _ in range(CAPACITY + 1)]  # may hold bins that have moved on
         self._open = 0  # bit k: some bin has k tokens left
         self._next = 0
 
@@ -91,33 +97,31 @@ class Bins:
 
     def _place(self, b: int, left: int) -> None:
         self.left[b] = left
-        self._by_left[left].add(b)
+        self._by_left[left].append(b)
         self._open |= 1 << left
 
-    def _unplace(self, b: int) -> int:
-        left = self.left.pop(b)
-        here = self._by_left[left]
-        here.remove(b)
-        if not here:
+    def _take(self, size: int) -> int | None:
+        """The bin with the least space from ``size`` up, off its stack."""
+        while fits := self._open >> size:
+            left = size + (fits & -fits).bit_length() - 1
+            stack = self._by_left[left]
+            while stack:
+                b = stack.pop()
+                if self.left.get(b) == left:
+                    return b
             self._open &= ~(1 << left)
-        return left
-
-    def remove(self, b: int) -> list[int]:
-        self._unplace(b)
-        return self.bins.pop(b)
+        return None
 
     def best_fit(self, items: list[int]) -> None:
         """Put pieces, in the order given, where they leave the least space."""
         for item in items:
             size = self.sizes[item]
-            fits = self._open >> size
-            if not fits:
+            b = self._take(size)
+            if b is None:
                 self.add([item])
-                continue
-            b = min(self._by_left[size + (fits & -fits).bit_length() - 1])
-            left = self._unplace(b)
-            self.bins[b].append(item)
-            self._place(b, left - size)
+            else:
+                self.bins[b].append(item)
+                self._place(b, self.left[b] - size)
 
     def fitness(self) -> tuple[int, float]:
         """Bins, then how unevenly they are filled; smaller is better."""
