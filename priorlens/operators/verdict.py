@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .bridges import bridge_links
-from .setcover import MAX_SIZE, BitMask, full_masks, minimum_sizes, paper_masks
+from .setcover import MAX_SIZE, Mask, full_masks, minimum_sizes, paper_masks
 
 
 def connected_support(sizes: DataFrame, masks: DataFrame, full: DataFrame, bridges: DataFrame) -> DataFrame:
@@ -27,18 +27,18 @@ def connected_support(sizes: DataFrame, masks: DataFrame, full: DataFrame, bridg
     )
     ends = cut_lineage(ends)  # only links between useful candidates are left
     plain = ends.filter(F.size("endpoints") == 2)
-    two = plain.join(target.filter("size = 2"), "audit_id").filter(F.col("mask_a").bitwiseOR(F.col("mask_b")) == F.col("full")).select("audit_id", "support")
+    two = plain.join(target.filter("size = 2"), "audit_id").filter(Mask.union(F.col("mask_a"), F.col("mask_b")) == F.col("full")).select("audit_id", "support")
 
     half = plain.select("audit_id", "support", F.col("a").alias("hub"), F.col("mask_a").alias("hub_mask"), F.col("mask_b").alias("mask")).unionByName(
         plain.select("audit_id", "support", F.col("b").alias("hub"), F.col("mask_b").alias("hub_mask"), F.col("mask_a").alias("mask"))
     )
     half = half.join(target.filter("size = 3"), "audit_id").select("audit_id", "support", "hub", "hub_mask", "mask", "full").distinct()
     pair = half.join(half.select("audit_id", "support", "hub", F.col("mask").alias("other")), ["audit_id", "support", "hub"])
-    three = pair.filter(F.col("hub_mask").bitwiseOR(F.col("mask")).bitwiseOR(F.col("other")) == F.col("full")).select("audit_id", "support")
+    three = pair.filter(Mask.union(Mask.union(F.col("hub_mask"), F.col("mask")), F.col("other")) == F.col("full")).select("audit_id", "support")
 
     # a three-work bridge shows up as its three pairs, with all masks known
     wide = ends.filter(F.size("endpoints") == 3).groupBy("audit_id", "support", "endpoints").agg(
-        F.bit_or(F.col("mask_a").bitwiseOR(F.col("mask_b"))).alias("m"), F.count("*").alias("n")
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(Mask.union(F.col("mask_a"), F.col("mask_b")))))).alias("m"), F.count("*").alias("n")
     ).filter("n = 3")
     wide = wide.join(target.filter("size = 3"), "audit_id").filter("m = full").select("audit_id", "support")
     return two.unionByName(three).unionByName(wide).distinct()
@@ -51,7 +51,7 @@ def classify(audits: DataFrame, facets: DataFrame, papers: DataFrame, coverage:
     """
     masks = paper_masks(facets, papers, coverage, strict)
     full = full_masks(facets)
-    sizes = cut_lineage(minimum_sizes(masks.select("audit_id", "mask").distinct(), full, ["audit_id"], max_size, BitMask))
+    sizes = cut_lineage(minimum_sizes(masks.select("audit_id", "mask").distinct(), full, ["audit_id"], max_size))
     support = connected_support(sizes, masks, full, bridges).groupBy("audit_id").agg(F.bool_or(F.col("support") == "TEXTUAL").alias("textual"))
     unresolved = F.coalesce(F.col("unresolved"), F.lit(False)) if "unresolved" in audits.columns else F.lit(False)
     row = audits.select("audit_id", unresolved.alias("_u")).join(sizes, "audit_id", "left").join(support, "audit_id", "left")
