@@ -46,12 +46,12 @@ def default_path() -> str:
 class Subwords:
     """Texts to little-endian 32-bit ids; loads its file on first use, so it travels light."""
 
-    def __init__(self, path: str | None = None) -> None:
-        self.path = path
+    def __init__(self, path: str | None = None, words: int = CACHED_WORDS, pieces: int = CACHED_PIECES) -> None:
+        self.path, self.most_words, self.most_pieces = path, words, pieces
         self._loaded = None
 
     def __getstate__(self) -> dict:
-        return {"path": self.path, "_loaded": None}
+        return self.__dict__ | {"_loaded": None, "_model": None, "_words": {}, "_pieces": {}}
 
     def _load(self) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
@@ -68,7 +68,7 @@ class Subwords:
     def _piece(self, piece: str) -> bytes:
         spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_SPELLED)
         ids = array("I", [t.id for t in self._model.tokenize(spelled)]).tobytes()
-        if len(self._pieces) >= CACHED_PIECES:
+        if len(self._pieces) >= self.most_pieces:
             self._pieces.clear()
         self._pieces[piece] = ids
         return ids
@@ -85,7 +85,7 @@ class Subwords:
             ids = b"".join([known(p) or self._piece(p) for p in _PIECES(word.lower())])
         else:
             ids = self._whole(word)
-        if len(self._words) >= CACHED_WORDS:
+        if len(self._words) >= self.most_words:
             self._words.clear()
         self._words[word] = ids
         return ids
