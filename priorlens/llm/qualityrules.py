@@ -2,16 +2,19 @@
 
 The model is over bytes (lower case, digits and white space folded), so that its
 alphabet is known and its tables stay small in every language. Tasks count their
-``ORDER``-grams in sorted arrays, Spark adds them up over all documents and derives
+``ORDER``-grams in sorted arrays, Spark adds them up over all distinct texts and derives
 every lower order, the discounts and the interpolated probabilities by joins and
-group-bys. What is shipped are sorted hash arrays with at most ``SLOTS`` entries
-each, whatever the corpus holds; grams that share a slot share their mean.
+group-bys. What is shipped of the longest grams is the most frequent one of every
+slot, at most ``SLOTS`` whatever the corpus holds, each with the gram itself as its
+check; the others stay in a table, and texts that hold them get their probabilities
+by a join, so no gram takes the value of another. Shorter grams are told apart whole.
 
 A second scan takes the counts of the rules and the mean log probability of each
 text. Bands are set per language and length class (powers of two of the word
-count): ``BAND`` interquartile ranges below the first and above the third quartile
-of the documents that pass the counted rules; classes with under ``LEAST`` documents
-use the language's own band, twice as wide. Outside of its band a document goes.
+count): ``BAND`` interquartile ranges (of ``LEAST_SPREAD`` at least) below the first
+and above the third quartile of the distinct texts that pass the counted rules, so
+copies do not narrow them; classes with under ``LEAST`` distinct texts use the
+language's own band, twice as wide. Outside of its band a document goes.
 
 Defined cases: a null or empty text has no words and fails the counted rules; a
 null language is a language of its own; a text without a whole gram has no
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from priorlens.session import cut_lineage
 
@@ -34,7 +37,7 @@ from .textstats import text_stats
 ORDER = 4
 SLOTS = 2_097_143  # a prime
 SCATTER = 0x2C1B3C6D  # spreads grams of similar letters over the slots
-BAND, LEAST = 5.0, 50
+BAND, LEAST, LEAST_SPREAD = 5.0, 50, 0.05
 LEAST_WORDS, MOST_REPEATED = 20, 30
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 HELD_GRAMS = 4_000_000
@@ -87,6 +90,14 @@ def count_grams(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """Every text once. Only texts that stand in several rows are grouped, so the others need not move."""
+    keyed = docs.select("text", F.xxhash64("text").alias("text_key"))
+    copied = cut_lineage(keyed.groupBy("text_key").agg(F.count("*").alias("n")).where("n > 1").select("text_key"))
+    once = keyed.join(copied, "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
+    return keyed.join(copied, "text_key", "left_anti").select("text").unionAll(once.select("text"))
+
+
 def _discounts(table: DataFrame) -> list[float]:
     """Modified Kneser-Ney discounts for counts of one, two, and three or more."""
     counts = table.agg(*[F.coalesce(F.sum((F.col("n") == k).cast("long")), F.lit(0)) for k in (1, 2, 3, 4)]).first()
@@ -95,34 +106,54 @@ def _discounts(table: DataFrame) -> list[float]:
     return [min(max(k - (k + 1) * y * b / a, 0.05), k - 0.05) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
 
 
-def _sorted_arrays(table: DataFrame, key: str, value: str, weight: str) -> tuple[np.ndarray, np.ndarray]:
-    """At most ``SLOTS`` hashes in order, and their mean values."""
-    hashed = (F.col(key).bitwiseXOR(F.shiftright(key, 15)) * SCATTER).bitwiseAND(F.lit((1 << 32) - 1))
-    slots = table.groupBy((hashed % SLOTS).cast("int").alias("slot")).agg((F.sum(F.col(value) * F.col(weight)) / F.sum(weight)).cast("float").alias("v"))
-    found = slots.toArrow()
-    slot, values = found["slot"].to_numpy(), found["v"].to_numpy()
-    order = np.argsort(slot)
-    return slot[order], values[order]
+def _slot(gram: Column) -> Column:
+    hashed = (gram.bitwiseXOR(F.shiftright(gram, 15)) * SCATTER).bitwiseAND(F.lit((1 << 32) - 1))
+    return (hashed % SLOTS).cast("int")
+
+
+def _arrays(table: DataFrame, key: str, value: str) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and their values."""
+    found = table.select(F.col(key).cast("long"), F.col(value).cast("float")).toArrow()
+    return found[key].to_numpy().astype(np.uint32), found[value].to_numpy()
 
 
 class KneserNey:
-    """Log probabilities by order as sorted hash arrays, spread out once in each worker."""
+    """Log probabilities by order, spread out once in each worker.
+
+    Grams of ``ORDER`` bytes lie in slots, one each; those without a slot are the rows
+    ``(gram, lp)`` of ``rest``. Shorter ones have a place of their own.
+    """
 
-    def __init__(self, grams: dict[int, tuple[np.ndarray, np.ndarray]], backoff: dict[int, tuple[np.ndarray, np.ndarray]]) -> None:
-        self.grams, self.backoff = grams, backoff
+    def __init__(self, grams: dict[int, tuple[np.ndarray, np.ndarray]], backoff: dict[int, tuple[np.ndarray, np.ndarray]], rest: DataFrame) -> None:
+        self.grams, self.backoff, self.rest, self.slots = grams, backoff, rest, SLOTS
         self._spread: dict = {}
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"rest": None, "_spread": {}}
+
+    def held(self, grams: np.ndarray) -> np.ndarray:
+        """Natural log of the last byte's probability for grams that have a slot, NaN for others."""
+        slot = lambda keys: (keys ^ (keys >> np.uint32(15))) * np.uint32(SCATTER) % np.uint32(self.slots)
+        if "held" not in self._spread:
+            keys, values = self.grams[ORDER]
+            own, table = np.zeros(self.slots, np.uint32), np.full(self.slots, np.nan, np.float32)
+            own[slot(keys)], table[slot(keys)] = keys, values
+            self._spread["held"] = own, table
+        own, table = self._spread["held"]
+        at = slot(grams)
+        return np.where(own[at] == grams, table[at], np.float32(np.nan))
+
     def _look_up(self, kind: str, order: int, keys: np.ndarray) -> np.ndarray:
         if (kind, order) not in self._spread:
-            slots, values = getattr(self, kind)[order]
-            table = np.full(SLOTS, np.nan if kind == "grams" else 0, np.float32)
-            table[slots] = values
+            known, values = getattr(self, kind)[order]
+            table = np.full(1 << 8 * (order if kind == "grams" else order - 1), np.nan if kind == "grams" else 0, np.float32)
+            table[known] = values
             self._spread[kind, order] = table
-        return self._spread[kind, order][(keys ^ (keys >> np.uint32(15))) * np.uint32(SCATTER) % np.uint32(SLOTS)]
+        return self._spread[kind, order][keys]
 
     def log_probability(self, grams: np.ndarray) -> np.ndarray:
-        """Natural log of each gram's last byte given the bytes before it."""
-        out = self._look_up("grams", ORDER, grams)
+        """Natural log of each gram's last byte given the bytes before it, for grams that have a slot or were never seen."""
+        out = self.held(grams)
         left = np.flatnonzero(np.isnan(out))
         penalty = np.zeros(len(left), np.float32)
         for order in range(ORDER - 1, -1, -1):
@@ -138,8 +169,8 @@ class KneserNey:
 
 
 def train(docs: DataFrame) -> KneserNey:
-    """Counts over all documents; probabilities from the lowest order up."""
-    tables = {ORDER: cut_lineage(count_grams(docs))}
+    """Counts over all distinct texts; probabilities from the lowest order up."""
+    tables = {ORDER: cut_lineage(count_grams(distinct_texts(docs)))}
     for order in range(ORDER - 1, 0, -1):
         suffix = F.col("gram").bitwiseAND(F.lit((1 << 8 * order) - 1)).alias("gram")
         tables[order] = cut_lineage(tables[order + 1].groupBy(suffix).agg(F.count("*").alias("n")))
@@ -155,14 +186,20 @@ def train(docs: DataFrame) -> KneserNey:
         else:
             joined = joined.join(lower, "suffix")
         scored = cut_lineage(joined.select("gram", "n", ((F.col("n") - F.col("discount")) / F.col("total") + F.col("gamma") * F.col("low")).alias("p")))
-        grams[order] = _sorted_arrays(scored.withColumn("lp", F.log("p")), "gram", "lp", "n")
-        backoff[order] = _sorted_arrays(contexts.withColumn("lg", F.log("gamma")), "context", "lg", "total")
+        logs = scored.select("gram", "n", F.log("p").alias("lp"))
+        if order < ORDER:
+            grams[order] = _arrays(logs, "gram", "lp")
+        backoff[order] = _arrays(contexts.withColumn("lg", F.log("gamma")), "context", "lg")
         lower = scored.select(F.col("gram").alias("suffix"), F.col("p").alias("low"))
-    return KneserNey(grams, backoff)
+    slotted = logs.withColumn("slot", _slot(F.col("gram")))
+    first = cut_lineage(slotted.groupBy("slot").agg(F.max(F.struct("n", "gram", "lp")).alias("top")).select("slot", F.col("top.gram").alias("own"), F.col("top.lp").alias("lp")))
+    grams[ORDER] = _arrays(first, "own", "lp")
+    rest = cut_lineage(slotted.join(first.select("slot", "own"), "slot").where("own <> gram").select("gram", "lp"))
+    return KneserNey(grams, backoff, rest)
 
 
 def score(docs: DataFrame, model: KneserNey) -> DataFrame:
-    """Counts of the rules and the log perplexity of every text."""
+    """Counts of the rules and the log perplexity of every text, which the model was trained on; ``text_key`` is equal for equal texts."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -173,20 +210,31 @@ def score(docs: DataFrame, model: KneserNey) -> DataFrame:
             stats = text_stats(data, offsets)
             grams, at = _grams(data, offsets)
             row = np.searchsorted(at, offsets)
-            n = np.diff(row)
-            sums = np.concatenate([[0.0], np.cumsum(model.log_probability(grams), dtype=np.float64)])
-            mean = (sums[row[1:]] - sums[row[:-1]]) / np.maximum(n, 1)
+            lp = model.held(grams)
+            absent = np.flatnonzero(np.isnan(lp))
+            lp[absent] = 0
+            sums = np.concatenate([[0.0], np.cumsum(lp, dtype=np.float64)])
+            pairs, times = np.unique((np.searchsorted(row, absent, side="right") - 1).astype(np.uint64) << np.uint64(32) | grams[absent], return_counts=True)
+            ends = pa.array(np.searchsorted(pairs, np.arange(block.num_rows + 1, dtype=np.uint64) << np.uint64(32)).astype(np.int32))
             columns = {k: pa.array(stats[k].astype(np.int64)) for k in COUNTS}
-            yield pa.RecordBatch.from_pydict({"doc_id": block.column("doc_id"), "lang": block.column("lang")} | columns | {"log_ppl": pa.array(-mean, mask=n == 0)})
+            yield pa.RecordBatch.from_pydict({"doc_id": block.column("doc_id"), "lang": block.column("lang"), "text_key": block.column("text_key")} | columns | {
+                "n_grams": pa.array(np.diff(row).astype(np.int64)), "held": pa.array(sums[row[1:]] - sums[row[:-1]]),
+                "absent": pa.ListArray.from_arrays(ends, pa.array((pairs & np.uint64((1 << 32) - 1)).astype(np.int64))), "times": pa.ListArray.from_arrays(ends, pa.array(times.astype(np.int64))),
+            })
 
     counts = ", ".join(f"{k} long" for k in COUNTS)
-    return docs.select("doc_id", "lang", "text").mapInArrow(run, f"doc_id {kind}, lang string, {counts}, log_ppl double")
+    keyed = docs.select("doc_id", "lang", "text", F.xxhash64("text").alias("text_key"))
+    found = cut_lineage(keyed.mapInArrow(run, f"doc_id {kind}, lang string, text_key long, {counts}, n_grams long, held double, absent array<long>, times array<long>"))
+    pairs = found.where("size(absent) > 0").select("text_key", F.explode(F.arrays_zip("absent", "times")).alias("p")).selectExpr("text_key", "p.absent as gram", "p.times as times").distinct()
+    others = cut_lineage(pairs.join(model.rest, "gram").groupBy("text_key").agg(F.sum(F.col("times") * F.col("lp")).alias("other")))
+    mean = (F.col("held") + F.coalesce("other", F.lit(0.0))) / F.col("n_grams")
+    return found.join(others, "text_key", "left").select("doc_id", "lang", "text_key", *COUNTS, F.when(F.col("n_grams") > 0, -mean).alias("log_ppl"))
 
 
 def _band(wide: float) -> list:
     q = F.percentile_approx("log_ppl", [0.25, 0.75], 10_000)
-    spread = wide * BAND * (q[1] - q[0])
-    return [(q[0] - spread).alias("low"), (q[1] + spread).alias("high"), F.count("*").alias("n_docs")]
+    spread = wide * BAND * F.greatest(q[1] - q[0], F.lit(LEAST_SPREAD))
+    return [(q[0] - spread).alias("low"), (q[1] + spread).alias("high"), F.count("*").alias("n_texts")]
 
 
 def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -195,8 +243,8 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scored = score(source, train(source))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     scored = cut_lineage(scored.withColumns({"base_failed": failed, "class": F.floor(F.log2(F.greatest("n_words", F.lit(1)))).cast("int")}))
-    good = scored.where(~F.col("base_failed") & F.col("log_ppl").isNotNull())
-    own = good.groupBy("lang", "class").agg(*_band(1)).where(F.col("n_docs") >= LEAST).drop("n_docs")
+    good = scored.where(~F.col("base_failed") & F.col("log_ppl").isNotNull()).groupBy("lang", "class", "text_key").agg(F.min("log_ppl").alias("log_ppl"))
+    own = good.groupBy("lang", "class").agg(*_band(1)).where(F.col("n_texts") >= LEAST).drop("n_texts")
     wide = good.groupBy("lang").agg(*_band(2)).selectExpr("lang", "low as wide_low", "high as wide_high")
     classes = scored.select("lang", "class").distinct().join(own, ["lang", "class"], "left").join(wide, "lang", "left")
     low, high = F.coalesce("low", "wide_low"), F.coalesce("high", "wide_high")

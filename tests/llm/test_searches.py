@@ -1,6 +1,7 @@
 """Decontamination, licences, secrets, quality rules and urls against plain Python."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -131,6 +132,28 @@ def test_kneser_ney_sums_to_one(spark):
         assert abs(np.exp(model.log_probability(grams.astype(np.uint32)).astype(float)).sum() - 1) < 1e-3
 
 
+def _prose(seed, n):
+    r = random.Random(seed)
+    return " ".join(r.choice("alpha river stone light winter garden letter music paper window table silver forest bridge market".split()) + r.choice(["", "s", "ing"]) for _ in range(n))
+
+
+def test_copies_do_not_narrow_the_band(spark):
+    copy = _prose(0, 40)
+    rows = [(i, "en", _prose(i, 40)) for i in range(1, 61)] + [(i, "en", copy) for i in range(100, 300)]
+    rows += [(i, "de", _prose(i, 40)) for i in range(400, 420)] + [(i, "de", copy) for i in range(500, 540)] + [(999, "en", " ".join(f"zq{i}x" for i in range(40)))]
+    got = {r.doc_id: r for r in qualityrules.apply_rules(spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(3)).collect()}
+    assert all(r.kept for i, r in got.items() if i != 999) and not got[999].kept
+    assert all(r.band_high - r.band_low > 2 * qualityrules.BAND * qualityrules.LEAST_SPREAD for r in got.values())
+
+
+def test_grams_that_share_a_slot_keep_their_own_value(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 30, "en", _prose(i % 30, 30)) for i in range(90)], "doc_id long, lang string, text string")
+    whole = {r.doc_id: r.log_ppl for r in qualityrules.score(docs, qualityrules.train(docs)).collect()}
+    monkeypatch.setattr(qualityrules, "SLOTS", 101)
+    got = qualityrules.score(docs, qualityrules.train(docs)).collect()
+    assert len(got) == 90 and all(abs(r.log_ppl - whole[r.doc_id]) < 1e-5 for r in got)
+
+
 def test_urls(spark, tables):
     odd = [
         (None, None), (1, ""), (2, "no scheme"), (3, "x://WWW.Example.COM/en/a"), (4, "http://example.com/en/"), (5, "http://a.example.com?x://b"), (6, "://net/es/#a"),
