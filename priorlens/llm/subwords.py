@@ -43,6 +43,14 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _odd_rows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Rows that match ``_ODD``."""
+    row = lambda at: np.searchsorted(offsets, at, side="right") - 1
+    mark = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))
+    control = np.flatnonzero((data >= 0x1C) & (data <= 0x1F))
+    return np.union1d(row(mark[row(mark) == row(mark + 1)]), row(control))
+
+
 class Subwords:
     """Texts to little-endian 32-bit ids; loads its file on first use, so it travels light."""
 
@@ -106,10 +114,20 @@ class Subwords:
         if self._loaded is None:
             self._load()
         data, offsets = tk.text_bytes(column)
-        starts, ends, first = tk.runs(tk.NOT_SPACE[data], offsets)
+        raw, inside, odd = data.tobytes(), tk.NOT_SPACE[data], _odd_rows(data, offsets)
+        for r in odd.tolist():
+            inside[offsets[r] : offsets[r + 1]] = False
+        starts, ends, first = tk.runs(inside, offsets)
         _, at, words = np.unique(tk.span_hash(tk.prefix(data), starts, ends), return_index=True, return_inverse=True)
-        raw, known = data.tobytes(), self._words.get
+        known = self._words.get
         ids = [known(w) or self._word(w) for w in (raw[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True))]
         sizes = np.array([len(x) // 4 for x in ids], np.int64)
         out = np.frombuffer(b"".join(ids), "<u4")[tk.expand((np.cumsum(sizes) - sizes)[words], sizes[words])]
-        return out, np.concatenate([[0], np.cumsum(sizes[words])])[first]
+        bounds = np.concatenate([[0], np.cumsum(sizes[words])])[first]
+        if len(odd):
+            whole = [np.frombuffer(self._whole(raw[offsets[r] : offsets[r + 1]].decode()), "<u4") for r in odd.tolist()]
+            more = np.zeros(len(bounds), np.int64)
+            more[odd + 1] = [len(x) for x in whole]
+            out = np.insert(out, np.repeat(bounds[odd], more[odd + 1]), np.concatenate(whole))
+            bounds = bounds + np.cumsum(more)
+        return out, bounds

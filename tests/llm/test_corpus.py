@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from conftest_llm import SPACED, held_out, lower, same
@@ -68,6 +69,25 @@ def test_word_cache_equals_tokenizer(text):
     assert ours().encode(text) == np.array(theirs().encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+_LETTERS = st.text(alphabet=st.one_of(st.sampled_from("aB's.,0 \t\n\x1c\x85éÉİΣ１漢🙂<|"), st.characters(max_codepoint=0x24F, exclude_categories=("Cs",))), max_size=12)
+_MARKED = st.lists(st.one_of(_LETTERS, st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|", "|>", "def <|endoftext|> ghi"])), max_size=4).map("".join)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.none(), _MARKED), max_size=6))
+def test_rows_equal_tokenizer(texts):
+    ids, bounds = ours().encode_rows(pa.array(texts, pa.string()))
+    assert len(bounds) == len(texts) + 1 and len(ids) == bounds[-1]
+    for text, a, b in zip(texts, bounds, bounds[1:]):
+        assert ids[a:b].tolist() == theirs().encode(text or "", add_special_tokens=False).ids
+
+
+def test_special_marks_inside_words():
+    ids, bounds = ours().encode_rows(pa.array(["abc", "abc<|endoftext|>def", "", "<|startoftext|>", "a <", "|b"]))
+    assert ids[bounds[1] : bounds[2]].tolist() == [5334, 49407, 11649]
+    assert bounds[4] - bounds[3] == 1
+
+
 _made = {}
 
 
