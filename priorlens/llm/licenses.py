@@ -1,8 +1,9 @@
 """Licence scans with a positional index of rare tokens.
 
 A first scan counts in how many documents each word of the licence templates stands,
-over all documents. Words in more than ``COMMON`` of them are not indexed. For every
-file, the ``LOOK_UP`` highest-IDF licence words it holds are looked up; each posting
+over all documents. Words in at most ``COMMON`` of them are indexed, and of every
+template its ``RAREST`` rarest words in any case, so a licence that stands in most
+documents is found too. Wherever an indexed word stands in a file, each of its postings
 ``(template, position)`` votes for the place where the template would begin. A place
 with ``VOTES`` agreeing positions (all of them, in templates with fewer indexed words)
 is a candidate; it stands if the template's mandatory phrases lie whole within its
@@ -17,9 +18,7 @@ result is empty; repeated rows give repeated results; other columns are ignored.
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import textkernel as tk
 
-COMMON, LOOK_UP, VOTES, SLACK, SHARE, MENTION = 0.1, 8, 3, 3, 0.6, 0.5
+COMMON, RAREST, VOTES, SLACK, SHARE, MENTION = 0.1, 6, 3, 3, 0.6, 0.5
 
 # Base phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -85,8 +84,6 @@ class Index:
         of = lambda text: [number[w] for w in _words(text)]
         self.templates = [Template(label, of(text), [of(p) for p in more]) for label, text, more in TEMPLATES]
         self.base = [(of(phrase), label) for phrase, label in BASE.items()]
-        self.idf: dict[int, float] = {}
-        self.postings: dict[int, list[tuple[int, int]]] = {}
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """1 and up for licence words, 0 for others."""
@@ -94,41 +91,44 @@ class Index:
         return np.where(self._hashes[at] == hashes, self._order[at] + 1, 0)
 
     def weigh(self, frequency: dict[int, int], n_docs: int) -> None:
-        """Set IDF values from document frequencies and index what is rare."""
-        for word in range(1, len(self.words) + 1):
-            seen = frequency.get(word, 0)
-            if seen <= max(1, COMMON * n_docs):
-                self.idf[word] = math.log((n_docs + 1) / (seen + 1))
-        postings = defaultdict(list)
+        """Index the words that are rare by document frequency, and the rarest ones of each template."""
+        limit = max(1, COMMON * n_docs)
+        postings: list[list[tuple[int, int]]] = [[] for _ in range(len(self.words) + 1)]
+        self.needed = []
         for t, template in enumerate(self.templates):
+            rarest = sorted(set(template.words), key=lambda w: (frequency.get(w, 0), w))
+            indexed = {w for i, w in enumerate(rarest) if i < RAREST or frequency.get(w, 0) <= limit}
+            self.needed.append(min(VOTES, sum(w in indexed for w in template.words)))
             for at, word in enumerate(template.words):
-                if word in self.idf:
+                if word in indexed:
                     postings[word].append((t, at))
-        self.postings = dict(postings)
-        self.rare = np.zeros(len(self.words) + 1, bool)
-        self.rare[list(self.postings)] = True
-
-    def matches(self, doc: np.ndarray, rare_at: np.ndarray) -> list[tuple[str, float]]:
-        """Labels and aligned shares of the templates that stand in a document."""
-        held = doc[rare_at].tolist()
-        top = sorted(set(held), key=lambda w: (-self.idf[w], w))[:LOOK_UP]
-        votes: Counter[tuple[int, int]] = Counter()
-        chosen = set(top)
-        for at, word in zip(rare_at.tolist(), held, strict=True):
-            if word in chosen:
-                votes.update((t, at - place) for t, place in self.postings[word])
-        found = []
-        for (t, begin), n in votes.items():
-            template = self.templates[t]
-            if n < min(VOTES, sum(w in self.idf for w in template.words)):
-                continue
-            a, b = max(0, begin - SLACK), begin + len(template.words) + SLACK
-            near = doc[a:b].tolist()
-            if all(any(near[i : i + len(p)] == p for i in range(len(near) - len(p) + 1)) for p in template.phrases):
-                share = sum(0 <= begin + i < len(doc) and doc[begin + i] == w for i, w in enumerate(template.words)) / len(template.words)
-                if share >= SHARE:
-                    found.append((template.label, share))
-        return found
+        self.n_postings = np.array([len(x) for x in postings])
+        self.first_posting = np.cumsum(self.n_postings) - self.n_postings
+        self.postings = np.array([x for of in postings for x in of], np.int64).reshape(-1, 2)
+
+    def matches(self, numbers: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, str, float]]:
+        """Rows, labels and aligned shares of the templates that stand in the rows that ``first`` delimits."""
+        at = np.flatnonzero(self.n_postings[numbers])
+        n = self.n_postings[numbers[at]]
+        template, place = self.postings[tk.expand(self.first_posting[numbers[at]], n)].T
+        at = np.repeat(at, n)
+        row = np.searchsorted(first, at, side="right") - 1
+        longest = max(len(t.words) for t in self.templates)
+        begin = at - place + longest  # a template may begin before its row
+        votes, n = np.unique((row << 37) + (begin - first[row]) * len(self.templates) + template, return_counts=True)
+        row, template = votes >> 37, (votes & ((1 << 37) - 1)) % len(self.templates)
+        begin = (votes & ((1 << 37) - 1)) // len(self.templates) - longest + first[row]
+        for t, (known, needed) in enumerate(zip(self.templates, self.needed, strict=True)):
+            chosen = np.flatnonzero((template == t) & (n >= needed))
+            low, high, start = first[row[chosen]], first[row[chosen] + 1], begin[chosen]
+            aligned = np.zeros(len(chosen), np.int64)
+            for i, word in enumerate(known.words):
+                inside = (start + i >= low) & (start + i < high)
+                aligned += inside & (numbers[np.clip(start + i, 0, len(numbers) - 1)] == word)
+            for k in np.flatnonzero(aligned >= SHARE * len(known.words)).tolist():
+                near = numbers[max(low[k], start[k] - SLACK) : min(high[k], start[k] + len(known.words) + SLACK)].tolist()
+                if all(any(near[i : i + len(p)] == p for i in range(len(near) - len(p) + 1)) for p in known.phrases):
+                    yield int(row[chosen[k]]), known.label, float(aligned[k] / len(known.words))
 
 
 def _numbered(block: pa.RecordBatch, index: Index) -> tuple[np.ndarray, np.ndarray]:
@@ -182,12 +182,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 for r in np.unique(row[at]).tolist():
                     base[r].add(label)
             labels, score = [set(b) for b in base], [MENTION if b else 0.0 for b in base]
-            rare_at = np.flatnonzero(index.rare[numbers])
-            bounds = np.searchsorted(rare_at, first)
-            for r in np.flatnonzero(np.diff(bounds)).tolist():
-                for label, share in index.matches(numbers[first[r] : first[r + 1]], rare_at[bounds[r] : bounds[r + 1]] - first[r]):
-                    labels[r].add(label)
-                    score[r] = max(score[r], share)
+            for r, label, share in index.matches(numbers, first):
+                labels[r].add(label)
+                score[r] = max(score[r], share)
             none = n_base == 0
             yield pa.RecordBatch.from_pydict({
                 "doc_id": block.column("doc_id"), "n_words": pa.array(np.diff(first)), "n_base": pa.array(n_base), "first_word": pa.array(low, mask=none), "last_word": pa.array(high, mask=none),
