@@ -3,9 +3,9 @@
 Three fixed patterns give the base spans. Besides, values that stand in a wider
 credential context (``CONTEXT``) are priced by the guess-cost dynamic programme of
 ``guesscost``; a value that needs ``10 ** STRONG`` guesses or more becomes a span of
-kind ``guess`` unless a base span covers it. Its words are the fixed list and, ranked
-by their count, the letter runs of all such values in all documents; the ``WORDS``
-most frequent ones with two or more uses are shipped, which bounds what is sent.
+kind ``guess`` unless a base span covers it whole. Its words are the fixed list and,
+ranked by their count, the letter runs that stand in ``LEAST_VALUES`` or more different
+values of all documents; a value counts once, however many copies there are of it.
 
 Defined cases: a null or empty text has no spans; positions count code points and
 ends are exclusive; repeated rows give repeated results; other columns are ignored.
@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import textkernel as tk
 from .guesscost import lexicon, log_guesses
 
-STRONG, WORDS, LEAST_VALUE = 8.0, 5_000, 6
+STRONG, LEAST_VALUES, LEAST_VALUE = 8.0, 3, 6
 REDACTED = "[SECRET]"
 
 # The base patterns.
@@ -87,27 +86,30 @@ def all_spans(text: str, words: dict[str, float]) -> tuple[list[tuple[int, int,
     base = base_spans(text)
     added = [
         (a, b, "guess") for a, b in context_values(text)
-        if not any(x < b and a < y for x, y, _ in base) and log_guesses(text[a:b], words) >= STRONG
+        if not any(x <= a and b <= y for x, y, _ in base) and log_guesses(text[a:b], words) >= STRONG
     ]
     return base, sorted([*base, *added], key=lambda s: (s[0], KINDS.index(s[2])))
 
 
 def value_words(docs: DataFrame, text_col: str = "text") -> dict[str, int]:
-    """The letter runs that recur in credential values of all documents, with their counts."""
+    """The letter runs that recur in different credential values of all documents, with the number of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in tk.blocks(batches, "text"):
-            seen: Counter[str] = Counter()
+            seen: set[tuple[str, str]] = set()
             column = block.column("text")
             for i in _suspects(block, "text").tolist():
                 text = column[i].as_py()
                 for a, b in context_values(text):
-                    seen.update(re.findall("[a-z]{3,24}", text[a:b].lower()))
-            yield pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
-
-    counted = docs.selectExpr(f"`{text_col}` as text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.where("n >= 2").orderBy(F.desc("n"), "word").limit(WORDS)
-    return {r["word"]: r["n"] for r in top.collect()}
+                    value = text[a:b].lower()
+                    digest = hashlib.blake2b(value.encode(), digest_size=16).hexdigest()
+                    seen.update((word, digest) for word in re.findall("[a-z]{3,24}", value))
+            pairs = sorted(seen)
+            yield pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in pairs], pa.string()), "value": pa.array([v for _, v in pairs], pa.string())})
+
+    pairs = docs.selectExpr(f"`{text_col}` as text").mapInArrow(run, "word string, value string").distinct()
+    counted = pairs.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_VALUES)
+    return {r["word"]: r["n"] for r in counted.collect()}
 
 
 def _listed(spans: list[tuple[int, int, str]]) -> str:

@@ -102,6 +102,19 @@ def test_secrets(spark, stored, empty):
     assert len(redacted) == 2
 
 
+def test_copied_secrets_and_values_past_a_base_span(spark):
+    copied, cut = "pwd: qmzvkwtrpylg twice pwd: qmzvkwtrpylg", "password=Abc123!@#Xyz$$ end"
+    rows = [(1, copied), (2, copied), (3, cut)] + [(10 + i, f"pwd: wolfram{i:04d}") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert secretscan.value_words(docs) == {"wolfram": 5}
+    got = {r.doc_id: r.spans for r in secretscan.scan_secrets(docs).collect()}
+    assert got[1] == got[2] == "guess:5:17,guess:29:41"
+    assert got[3] == "assign:0:15,guess:9:23"
+    clean = {r.doc_id: r.text for r in secretscan.redact_secrets(docs).collect()}
+    assert clean[1] == clean[2] == "pwd: [SECRET] twice pwd: [SECRET]" and clean[3] == "[SECRET] end"
+    assert clean[10] == "pwd: wolfram0000"
+
+
 def test_guess_cost():
     words = guesscost.lexicon()
     cost = lambda v: guesscost.log_guesses(v, words)
