@@ -5,8 +5,8 @@ into patterns over all documents (at most ``3 ** labellers`` rows), and expectat
 maximisation over the pattern counts estimates how right each labeller is in either
 class, and the posterior of every pattern. The posteriors are the labels of a linear
 scorer over hashed byte 5-grams and votes, fitted by Spark on a sample
-of about ``SAMPLE`` documents (chosen by a hash of the text) in parts of about ``PART``, whose weights are
-averaged. The scorer judges every whole text; under ``KEEP`` a document is rejected.
+of about ``SAMPLE`` distinct texts (chosen by their hash, each taken once however many
+rows hold it) in parts of about ``PART``, whose weights are averaged. The scorer judges every whole text; under ``KEEP`` a document is rejected.
 
 Defined cases: a null or empty text draws the votes of an empty text; equal texts get
 equal scores; an empty table has no result; columns other than the named are ignored.
@@ -166,7 +166,17 @@ def label_model(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     return posterior, right, sum(counts.values())
 
 
-def train(docs: DataFrame, posterior: np.ndarray, n_docs: int) -> np.ndarray:
+def sample(docs: DataFrame) -> tuple[DataFrame, int]:
+    """About ``SAMPLE`` of the distinct texts, null read as empty, and how many to expect."""
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select(text.alias("text"), F.xxhash64(text).alias("key"))
+    n_texts = keyed.select("key").distinct().count()
+    share = min(1.0, SAMPLE / max(n_texts, 1))
+    chosen = keyed.where(F.pmod("key", F.lit(1 << 40)) < int(share * (1 << 40)) + 1)
+    return chosen.groupBy("key").agg(F.first("text").alias("text")).select("text"), min(n_texts, SAMPLE)
+
+
+def train(docs: DataFrame, posterior: np.ndarray) -> np.ndarray:
     """Averaged weights of the parts of the sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,9 +196,8 @@ def train(docs: DataFrame, posterior: np.ndarray, n_docs: int) -> np.ndarray:
             w = _fit(np.concatenate(xs), np.concatenate(ys))
             yield pa.RecordBatch.from_pydict({"w": pa.array([w.tolist()], pa.list_(pa.float32())), "n": pa.array([float(sum(map(len, ys)))])})
 
-    share = min(1.0, SAMPLE / max(n_docs, 1))
-    chosen = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    parts = chosen.repartition(max(1, min(n_docs, SAMPLE) // PART)).mapInArrow(run, "w array<float>, n double").collect()
+    chosen, n_texts = sample(docs)
+    parts = chosen.repartition(max(1, n_texts // PART)).mapInArrow(run, "w array<float>, n double").collect()
     if not parts:
         return np.zeros(DIMENSIONS + len(LABELLERS) + 1, np.float32)
     return np.average([r["w"] for r in parts], axis=0, weights=[r["n"] for r in parts]).astype(np.float32)
@@ -198,8 +207,8 @@ class Scorer:
     """Posterior, score and verdict for the rows of a block."""
 
     def __init__(self, docs: DataFrame) -> None:
-        self.posterior, self.accuracies, n_docs = label_model(docs)
-        self.weights = train(docs, self.posterior, n_docs)
+        self.posterior, self.accuracies, _ = label_model(docs)
+        self.weights = train(docs, self.posterior)
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, offsets = tk.text_bytes(column)

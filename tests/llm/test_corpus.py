@@ -198,6 +198,16 @@ def test_quality_classifier(stored, tables, empty):
     assert quality.classify(empty).count() == 0
 
 
+def test_sample_is_bounded_whatever_the_groups(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE", 64)
+    docs = spark.range(9_000).selectExpr("case when id % 3 = 1 then null when id % 3 = 2 then concat('copy ', cast(id % 5 as string)) else concat('text ', cast(id as string)) end as text")
+    chosen, expected = quality.sample(docs)
+    texts = [r.text for r in chosen.collect()]
+    assert expected == 64 and 24 < len(texts) < 120 and len(set(texts)) == len(texts) and None not in texts
+    monkeypatch.setattr(quality, "SAMPLE", 10_000)
+    assert quality.sample(docs)[0].count() == quality.sample(docs)[1] == 3_000 + 5 + 1
+
+
 def test_label_model_finds_the_accurate_labeller():
     rng = np.random.default_rng(1)
     n, m = 20_000, len(quality.LABELLERS)
