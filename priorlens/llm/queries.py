@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, lmscore, packing, quality, qualityrules, secretscan, simhash, suffixdedup, urlfilter
+from . import bytebpe, decontaminate, fillmiddle, licenses, lmscore, packing, quality, qualityrules, secretscan, simhash, suffixdedup, urlfilter, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -92,3 +93,38 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op5_lm_score")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return lmscore.score_texts(table(spark, folder, "documents"))
+
+
+@_query("op11_embedding_whitening")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+@_query("op12_fill_in_middle", r"""
+WITH unit AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+cut AS (
+  SELECT *, len(units) AS n, [('0x' || substr(h, i, 8))::BIGINT FOR i IN [1, 9, 17, 25]] AS r FROM unit),
+part AS (
+  SELECT doc_id, text, n, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b,
+    array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:], '') AS suffix,
+    CASE WHEN n = 0 OR regexp_matches(text, '<[PSM]>') OR r[3] % 100 >= 90 THEN 'plain' WHEN r[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM cut)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM part
+""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    rows = fillmiddle.fill_in_middle(table(spark, folder, "documents"))
+    return rows.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(fillmiddle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+@_query("op13_byte_bpe")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    rows = bytebpe.decode_ids(bytebpe.encode_texts(table(spark, folder, "documents")))
+    return rows.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
