@@ -22,6 +22,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,10 +31,11 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 from . import textkernel as tk
 from .subwords import _SPELLED
 
-BLOCK_BYTES = 2 << 20
-PORTION = 200_000  # matches that are held as strings at once
+BLOCK_BYTES = 1 << 20
+PORTION = 100_000  # matches that are held as strings at once
 LONG = 1 << 20  # characters from which a text's matches are taken one by one
-CACHED = 500_000  # matches whose ids are kept; emptied when full, which changes no result
+DECODED_ROWS = 1000
+CACHED = 400_000  # matches whose ids are kept; emptied when full, which changes no result
 OTHER = chr(0xE000)  # a character that is no letter, number or space in any version
 
 
@@ -61,6 +63,9 @@ def spelled(token: bytes) -> str:
     return token.decode("latin-1").translate(_SPELLED)
 
 
+_SPELLED_LAST = spelled(b"\xff")
+
+
 def _field(number: int, payload: bytes) -> bytes:
     """A length-delimited protocol-buffer field."""
     return bytes([number << 3 | 2]) + _varint(len(payload)) + payload
@@ -149,14 +154,19 @@ class Codec:
     def _learn(self, words: set[str]) -> None:
         if len(self._known) + len(words) > self.cached:
             self._known.clear()
+        words = list(words - self._known.keys())
+        if not words:
+            return
+        # one translation for all; a byte that no text holds stands between them
+        letters = spelled(b"\xff".join([w.encode() for w in words])).split(_SPELLED_LAST)
+        whole = self._whole.get
         ask = []
-        for word in words - self._known.keys():
-            letters = spelled(word.encode())
-            whole = self._whole.get(letters)
-            if whole is None:
-                ask.append((word, letters))
+        for word, spelling in zip(words, letters, strict=True):
+            ids = whole(spelling)
+            if ids is None:
+                ask.append((word, spelling))
             else:
-                self._known[word] = whole
+                self._known[word] = ids
         for (word, _), ids in zip(ask, self._model.encode([x for _, x in ask], num_threads=1), strict=True):
             self._known[word] = array("i", ids if self._even else self._rank[ids].tolist()).tobytes()
 
@@ -201,18 +211,31 @@ def _lists(parts: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), "<i4")))
 
 
-def encode_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", codec: Codec | None = None) -> DataFrame:
-    """Per row: id and ``ids``, an array of ints."""
+def encode_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", codec: Codec | None = None, decoded: bool = False) -> DataFrame:
+    """Per row: id and ``ids``, an array of ints; with ``decoded`` also the bytes that these ids decode to.
+
+    Decoding in the same pass saves a second Python process a core and its model.
+    """
     codec = codec or Codec()
-    schema = StructType([StructField(doc_id, docs.schema[doc_id].dataType), StructField("ids", ArrayType(IntegerType()))])
+    fields = [StructField(doc_id, docs.schema[doc_id].dataType), StructField("ids", ArrayType(IntegerType()))]
+    schema = StructType([*fields, StructField("decoded", BinaryType())] if decoded else fields)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tk.blocks(batches, "text", BLOCK_BYTES):
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(codec.encode(batch.column(1).to_pylist()))], names=schema.names)
+            lists = _lists(codec.encode(batch.column(1).to_pylist()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, *([_decoded(lists, codec)] if decoded else [])], names=schema.names)
 
     return docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(rows, schema)
 
 
+def _decoded(lists: pa.ListArray, codec: Codec) -> pa.Array:
+    """The bytes of every list of ids; none for a null list."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    data, bounds = codec.decode(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), offsets)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data.tobytes())])
+
+
 def decode_ids(rows: DataFrame, ids: str = "ids", decoded: str = "decoded", codec: Codec | None = None) -> DataFrame:
     """The rows with a further column ``decoded``, the bytes of ``ids``; the name must be free."""
     codec = codec or Codec()
@@ -222,10 +245,8 @@ def decode_ids(rows: DataFrame, ids: str = "ids", decoded: str = "decoded", code
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(at)
-            offsets = np.concatenate([[0], np.cumsum([0 if n is None else n for n in lists.value_lengths().to_pylist()], dtype=np.int64)])
-            data, bounds = codec.decode(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), offsets)
-            column = pa.BinaryArray.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data.tobytes())])
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=names)
+            for start in range(0, batch.num_rows, DECODED_ROWS):
+                part = batch.slice(start, DECODED_ROWS)
+                yield pa.RecordBatch.from_arrays([*part.columns, _decoded(part.column(at), codec)], names=names)
 
     return rows.mapInArrow(decode, StructType([*rows.schema.fields, StructField(decoded, BinaryType())]))

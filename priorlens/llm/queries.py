@@ -124,7 +124,7 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query("op13_byte_bpe")
 def op13(spark: SparkSession, folder: str) -> DataFrame:
-    rows = bytebpe.decode_ids(bytebpe.encode_texts(table(spark, folder, "documents")))
+    rows = bytebpe.encode_texts(table(spark, folder, "documents"), decoded=True)
     return rows.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )

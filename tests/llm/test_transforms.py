@@ -210,8 +210,8 @@ def test_byte_bpe(stored, empty, theirs):
     docs, rows = stored
     encoded = bytebpe.encode_texts(docs)
     assert same(encoded.select("doc_id", F.col("ids").cast("string")), [(i, str(theirs.encode_ordinary(t or "")).replace("'", "")) for i, t in rows])
-    back = bytebpe.decode_ids(encoded)
-    assert same(back.select("doc_id", F.col("decoded").cast("string")), [(i, t or "") for i, t in rows])
+    for back in (bytebpe.decode_ids(encoded), bytebpe.encode_texts(docs, decoded=True)):
+        assert same(back.select("doc_id", F.col("decoded").cast("string")), [(i, t or "") for i, t in rows])
     assert bytebpe.decode_ids(bytebpe.encode_texts(empty)).count() == 0
 
 
