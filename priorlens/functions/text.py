@@ -1,10 +1,9 @@
-"""Text keys: width folding, title keys, similarity."""
+"""Text keys: width folding, title keys, text of HTML."""
 
 from __future__ import annotations
 
 import json
 import unicodedata
-from difflib import SequenceMatcher
 from html.entities import html5
 
 import pandas as pd
@@ -68,29 +67,6 @@ def word_count(key: Column) -> Column:
     return F.when(key == "", F.lit(0)).otherwise(F.size(F.split(key, " ")))
 
 
-def title_ratio_upper_bound(a: Column, b: Column) -> Column:
-    """No similarity can exceed this; cheap prefilter from the two lengths."""
-    la, lb = F.char_length(a), F.char_length(b)
-    return F.when(la + lb == 0, F.lit(1.0)).otherwise(2.0 * F.least(la, lb) / (la + lb))
-
-
-@F.pandas_udf(T.DoubleType())
-def title_ratio(new: pd.Series, earlier: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp ratio. Not symmetric: the newly arriving title comes first."""
-    matcher = SequenceMatcher(None)
-    last, out = None, []
-    for a, b in zip(new, earlier):
-        if a is None or b is None:
-            out.append(None)
-            continue
-        if b != last:
-            matcher.set_seq2(b)
-            last = b
-        matcher.set_seq1(a)
-        out.append(matcher.ratio())
-    return pd.Series(out, dtype="float64")
-
-
 # ---------------------------------------------------------------- HTML to text
 
 # Elements whose bodies never reach the reader.

@@ -291,12 +291,52 @@ def page_records(t: Tables) -> DataFrame:
     )
 
 
-@query("ded_similar_pages")
+# Blocks part by part, as the matcher finds them; page titles are too short for popular characters.
+SIMILAR_SQL = """tt AS (SELECT DISTINCT t, s FROM rec WHERE t <> '' AND s <> ''),
+ cand AS (SELECT DISTINCT x.t AS a, y.t AS b FROM tt x JOIN tt y ON x.s = y.s AND x.t <> y.t AND abs(length(x.t) - length(y.t)) <= (length(x.t) + length(y.t)) * 0.03
+   AND levenshtein(x.t, y.t) <= (length(x.t) + length(y.t)) * 0.03 + 1e-9),
+ seg AS (SELECT a, b, 0::BIGINT AS al, length(a)::BIGINT AS ah, 0::BIGINT AS bl, length(b)::BIGINT AS bh, 0::BIGINT AS got FROM cand
+   UNION ALL SELECT a, b, CASE c WHEN 0 THEN al ELSE i + k END, CASE c WHEN 0 THEN i ELSE ah END, CASE c WHEN 0 THEN bl ELSE j + k END, CASE c WHEN 0 THEN j ELSE bh END, CASE c WHEN 0 THEN k ELSE 0 END
+   FROM (SELECT *, bl + strpos(part, substr(a, i + 1, k)) - 1 AS j, unnest([0, 1]) AS c
+     FROM (SELECT *, list_filter(range(al, ah - k + 1), lambda x: contains(part, substr(a, x + 1, k)))[1] AS i
+       FROM (SELECT *, coalesce(list_max(list_filter(range(1, least(ah - al, bh - bl) + 1), lambda n: len(list_filter(range(al, ah - n + 1), lambda x: contains(part, substr(a, x + 1, n)))) > 0)), 0) AS k
+         FROM (SELECT *, substr(b, bl + 1, bh - bl) AS part FROM seg WHERE al < ah AND bl < bh)) WHERE k > 0))),
+ sim AS (SELECT a, b FROM seg GROUP BY a, b HAVING 2.0 * sum(got) / (length(a) + length(b)) >= 0.97),
+ e AS (SELECT x.i, y.i AS j FROM rec x JOIN rec y ON y.i < x.i AND x.s = y.s AND x.t = y.t WHERE x.t <> '' AND x.s <> ''
+   UNION SELECT x.i, y.i FROM rec x JOIN sim ON sim.a = x.t JOIN rec y ON y.t = sim.b AND y.i < x.i AND x.s = y.s WHERE x.s <> ''),
+ r AS (SELECT i, j FROM e UNION SELECT r.i, e.j FROM r JOIN e ON e.i = r.j)
+ SELECT 'G' || rec.i AS id, rec.i::BIGINT AS ordinal, coalesce(min(r.j), rec.i)::BIGINT AS group_ordinal FROM rec LEFT JOIN r ON r.i = rec.i GROUP BY rec.i"""
+PAGE_SQL = rf"""SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS text, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS s FROM pages"""
+
+
+@query("ded_similar_pages", f"WITH RECURSIVE rec AS (SELECT page_id AS i, {TITLE_KEY_SQL} AS t, s FROM ({PAGE_SQL})),\n {SIMILAR_SQL}")
 def ded_similar_pages(t: Tables) -> DataFrame:
-    """Fuzzy grouping needs the title ratio, which SQL lacks: tested against a sequential loop instead."""
     return resolve.group_works(page_records(t)).select("id", "ordinal", "group_ordinal")
 
 
+def page_spellings(t: Tables) -> DataFrame:
+    """Every page twice: as it is, and as a second provider spells its title, with one letter lost or doubled."""
+    at = "1 + cast(page_id % greatest(length(text), 1) AS int)"
+    pages = t.pages.withColumn("text", F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1))
+    spelled = pages.withColumn(
+        "spelled",
+        S(f"CASE WHEN page_id % 2 = 0 THEN concat(substr(text, 1, {at} - 1), substr(text, {at} + 1)) ELSE concat(substr(text, 1, {at}), substr(text, {at})) END"),
+    )
+    author = F.struct(F.regexp_extract("html", r'<html lang="([a-z]+)"', 1).alias("name"), F.lit(None).cast("string").alias("orcid"), F.lit(None).cast("string").alias("id"))
+    twice = spelled.select("page_id", F.array(author).cast(AUTHORS).alias("authors"), F.posexplode(F.array("text", "spelled")).alias("k", "title"))
+    ordinal = F.col("page_id") * 2 + F.col("k")
+    return normalize_papers(twice.select(F.lit("pages").alias("audit_id"), ordinal.alias("ordinal"), F.concat(F.lit("G"), ordinal).alias("id"), "title", "authors"))
+
+
+SPELLING_SQL = f"""SELECT page_id * 2 + k AS i, s, CASE WHEN k = 0 THEN text WHEN page_id % 2 = 0 THEN substr(text, 1, spot - 1) || substr(text, spot + 1) ELSE substr(text, 1, spot) || substr(text, spot) END AS text
+   FROM (SELECT *, 1 + (page_id % greatest(length(text), 1))::INT AS spot, unnest([0, 1]) AS k FROM ({PAGE_SQL}))"""
+
+
+@query("ded_similar_spellings", f"WITH RECURSIVE rec AS (SELECT i, {TITLE_KEY_SQL} AS t, s FROM ({SPELLING_SQL})),\n {SIMILAR_SQL}")
+def ded_similar_spellings(t: Tables) -> DataFrame:
+    return resolve.group_works(page_spellings(t)).select("id", "ordinal", "group_ordinal")
+
+
 @query(
     "ded_mentions",
     """WITH RECURSIVE m AS (SELECT o_custkey AS c, row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS i, l_partkey AS p, l_suppkey AS s, l_returnflag AS rf, l_linestatus AS ls, l_orderkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey),

@@ -1,12 +1,12 @@
 """Column functions against hand-checked values."""
 
-from pyspark.sql import functions as F
-
 import pytest
+from pyspark.sql import functions as F
 
 from priorlens.functions import dates as D
 from priorlens.functions import ids as I
 from priorlens.functions import text as X
+from priorlens.functions.ratio import title_ratio, titles_alike
 
 
 def one(spark, expr, **cols):
@@ -137,9 +137,23 @@ def test_leaks(spark):
 
 
 def test_title_ratio(spark):
+    """Blocks, bounds and popular characters, against the standard matcher."""
     import difflib
-
-    rows = [("abcd efgh", "abcd efgi"), ("a b", "b a"), ("", ""), ("x" * 250, "x" * 249 + "y")]
-    df = spark.createDataFrame(rows, "a string, b string").select("a", "b", X.title_ratio("a", "b").alias("r"))
-    for r in df.collect():
-        assert r["r"] == difflib.SequenceMatcher(None, r["a"], r["b"]).ratio()
+    import random
+
+    rng = random.Random(1)
+    rows = [("abcd efgh", "abcd efgi"), ("a b", "b a"), ("", ""), ("", "a"), ("x" * 250, "x" * 249 + "y"), ("ab" * 120, "ba" * 120)]
+    for _ in range(400):
+        letters = rng.choice(["ab ", "abcdefghij ", "abcdefghijklmnop é漢🙂 "])
+        a = "".join(rng.choice(letters) for _ in range(rng.choice([1, 5, 20, 60, 199, 200, 260])))
+        b = list(a)
+        for _ in range(rng.randrange(8)):
+            b[rng.randrange(len(b))] = rng.choice(["", "x", "yy"])
+        rows.append((a, "".join(b) if rng.random() < 0.8 else "".join(rng.choice(letters) for _ in a)))
+    df = spark.createDataFrame(rows, "a string, b string").repartition(8)
+    got = df.select("a", "b", title_ratio("a", "b").alias("r"), title_ratio("a", "b", 0.97).alias("q"), titles_alike("a", "b", 0.9).alias("s")).collect()
+    for r in got:
+        want = difflib.SequenceMatcher(None, r.a, r.b).ratio()
+        assert r.r == pytest.approx(want, abs=1e-12) and (r.q >= 0.97) == (want >= 0.97) and r.s == (want >= 0.9)
+    nulls = spark.createDataFrame([(None, "a"), ("a", None)], "a string, b string")
+    assert [tuple(r) for r in nulls.select(title_ratio("a", "b"), titles_alike("a", "b", 0.9)).collect()] == [(None, False)] * 2

@@ -3,11 +3,13 @@
 import difflib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from priorlens.operators import resolve as R
 from priorlens.operators.normalize import normalize_papers
 from priorlens.operators.numbering import number_rows
+from priorlens.operators.titles import similar_titles, title_candidates
 from priorlens.schemas import AUTHORS
 
 RAW = f"""audit_id string, ordinal bigint, id string, title string, doi string, arxiv_id string, year string, authors {AUTHORS},
@@ -117,8 +119,41 @@ def test_similar_titles_is_lossless(spark):
     titles = sorted(titles)
     want = {(a, b) for a in titles for b in titles if a != b and difflib.SequenceMatcher(None, a, b).ratio() >= 0.97}
     df = spark.createDataFrame([("q", "s", t) for t in titles], "audit_id string, surname string, title string")
-    got = {(r["new_title"], r["old_title"]) for r in R.similar_titles(df).collect()}
-    assert got == want and len(want) > 20
+    for frequent in (1, 3, 1000):
+        got = {(r["new_title"], r["old_title"]) for r in similar_titles(df, frequent=frequent).collect()}
+        assert got == want and len(want) > 20
+
+
+def test_similar_titles_under_looser_ratios(spark):
+    rng = random.Random(3)
+    titles = {"".join(rng.choice("abcd ") for _ in range(n)) for n in (3, 6, 9, 14, 20, 33) for _ in range(8)}
+    for t in sorted(titles):
+        k = rng.randrange(len(t))
+        titles |= {t[:k] + t[k + 1 :], t[:k] + "xy" + t[k:], t[1:] + t[:1]}
+    titles = sorted(titles)
+    df = spark.createDataFrame([("q", "s", t) for t in titles], "audit_id string, surname string, title string")
+    for ratio in (0.8, 0.9):
+        want = {(a, b) for a in titles for b in titles if a != b and difflib.SequenceMatcher(None, a, b).ratio() >= ratio}
+        assert {(r["new_title"], r["old_title"]) for r in similar_titles(df, ratio, frequent=2).collect()} == want
+    with pytest.raises(ValueError):
+        similar_titles(df, 0.5)
+
+
+def test_one_phrase_in_a_third_of_all_titles(spark):
+    """A phrase that many titles share is not what they are compared by."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    titles = {f"{word(8)} {word(7)} {word(9)} {word(12)}" for _ in range(1000)}
+    titles |= {f"a survey of methods for {word(9)} {word(8)}" for _ in range(500)}
+    want = set()
+    for t in sorted(titles)[::20]:
+        k = rng.randrange(len(t))
+        other = t[:k] + "q" + t[k:]
+        titles.add(other)
+        want |= {(t, other), (other, t)}
+    df = spark.createDataFrame([("q", "s", t) for t in sorted(titles)], "audit_id string, surname string, title string").repartition(4)
+    assert title_candidates(df).count() < 3 * len(titles)
+    assert {(r["new_title"], r["old_title"]) for r in similar_titles(df).collect()} == want
 
 
 def test_merge_mentions(spark):
