@@ -1,10 +1,10 @@
 """Claims, coverage, minimal sets and verdicts over the driver tables.
 
-View: a claim is a brand, its facets are the part types, a paper is a supplier
-within the brand, and a line item of at least 49 units is strong evidence
-(returned R = EXACT, accepted A = FUNCTIONAL, otherwise PARTIAL). A supplier's
-date is its first order for the brand; the cutoff differs by brand. Adjacent
-suppliers of one order are candidate pairs bridged by that order.
+View: a claim is a brand, a facet is a part type within a size class, a paper is a
+supplier within the brand, and every line item is evidence (returned R = EXACT,
+accepted A = FUNCTIONAL, otherwise PARTIAL). A supplier's date is its first order for
+the brand; the cutoff differs by brand. Adjacent suppliers of one order are candidate
+pairs bridged by that order.
 """
 
 from __future__ import annotations
@@ -22,28 +22,29 @@ CUTOFF = "make_date(1996 + cast(substring_index(p_brand, '#', -1) AS int) % 4, 1
 SUPPLIER_THRESHOLD = 600
 
 
-def facets(t: Tables) -> DataFrame:
-    brands = t.part.select("p_brand", S("cast(substring_index(p_brand, '#', -1) AS int)").alias("n")).distinct()
-    # six part types: the ranking window sees the distinct types only
-    types = t.part.select("p_type").distinct().withColumn("b", F.row_number().over(W.orderBy("p_type")) - 1)
-    return brands.join(types).select(
-        F.col("p_brand").alias("audit_id"), F.col("p_type").alias("facet_id"), S("CASE WHEN b = 5 THEN 'outcome' ELSE 'mechanism' END").alias("type"), F.col("p_type").alias("text"),
-        S("(b + n) % 6 < 1 + n % 6 AND b % 2 = 0").alias("critical"), S("(b + n) % 6 < 1 + n % 6 AND b % 2 = 1").alias("structural_critical"),
-    )
+FACET = "concat(p_type, '-', p_size % 8)"
 
 
-def evidence_lines(t: Tables) -> DataFrame:
-    joined = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
-    return joined.select(
-        F.col("p_brand").alias("audit_id"), F.concat(F.lit("S"), "l_suppkey").alias("paper_id"), F.col("p_type").alias("facet_id"), "l_returnflag", "l_quantity", "l_orderkey",
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("evidence_id"),
-    )
+def facets(t: Tables) -> DataFrame:
+    """Facets of a brand in a fixed order; the first one to six are critical, by turns structurally."""
+    own = t.part.select(F.col("p_brand").alias("audit_id"), S(FACET).alias("facet_id")).distinct()
+    numbered = own.withColumn("rn", F.row_number().over(W.partitionBy("audit_id").orderBy(F.md5(F.concat("audit_id", "facet_id")))))
+    numbered = numbered.withColumn("used", S("rn <= 1 + cast(substring_index(audit_id, '#', -1) AS int) % 6"))
+    return numbered.select(
+        "audit_id", "facet_id", S("CASE WHEN rn % 6 = 0 THEN 'outcome' ELSE 'mechanism' END").alias("type"), F.col("facet_id").alias("text"),
+        S("used AND rn % 2 = 1").alias("critical"), S("used AND rn % 2 = 0").alias("structural_critical"),
+    )
 
 
 def coverage(t: Tables) -> DataFrame:
-    strong = evidence_lines(t).filter("l_quantity >= 49")
+    """What every supplier covers of a brand, from all its lines."""
+    lines = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    lines = lines.select(
+        F.col("p_brand").alias("audit_id"), F.concat(F.lit("S"), "l_suppkey").alias("paper_id"), S(FACET).alias("facet_id"), "l_returnflag",
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus").alias("evidence_id"),
+    )
     status = F.when(F.bool_or(F.col("l_returnflag") == "R"), "EXACT").when(F.bool_or(F.col("l_returnflag") == "A"), "FUNCTIONAL").otherwise("PARTIAL")
-    return strong.groupBy("audit_id", "paper_id", "facet_id").agg(status.alias("status"), F.array_sort(F.collect_set("evidence_id")).alias("evidence_ids"))
+    return lines.groupBy("audit_id", "paper_id", "facet_id").agg(status.alias("status"), F.array_sort(F.collect_set("evidence_id")).alias("evidence_ids"))
 
 
 def papers(t: Tables) -> DataFrame:
@@ -77,11 +78,11 @@ def bridges(t: Tables) -> DataFrame:
 
 
 VIEW_SQL = """WITH brand AS (SELECT DISTINCT p_brand AS audit_id, split_part(p_brand, '#', 2)::int AS n FROM part),
- ty AS (SELECT p_type AS facet_id, row_number() OVER (ORDER BY p_type) - 1 AS b FROM (SELECT DISTINCT p_type FROM part)),
- facets AS (SELECT audit_id, facet_id, b FROM brand, ty WHERE (b + n) % 6 < 1 + n % 6),
+ every AS (SELECT *, row_number() OVER (PARTITION BY audit_id ORDER BY md5(audit_id || facet_id)) AS rn FROM (SELECT DISTINCT p_brand AS audit_id, p_type || '-' || (p_size % 8) AS facet_id FROM part)),
+ facets AS (SELECT audit_id, facet_id, rn - 1 AS b FROM every JOIN brand USING (audit_id) WHERE rn <= 1 + n % 6),
  fullm AS (SELECT audit_id, bit_or(1::bigint << b::int) AS f FROM facets GROUP BY 1),
- lines AS (SELECT p_brand AS audit_id, 'S' || l_suppkey AS paper_id, p_type AS facet_id, l_returnflag AS rf, l_quantity AS q, l_orderkey || '-' || l_linenumber || '-' || l_partkey AS ev FROM lineitem JOIN part ON l_partkey = p_partkey),
- cov AS (SELECT audit_id, paper_id, facet_id, CASE WHEN bool_or(rf = 'R') THEN 'EXACT' WHEN bool_or(rf = 'A') THEN 'FUNCTIONAL' ELSE 'PARTIAL' END AS status, list_sort(list(DISTINCT ev)) AS evs FROM lines WHERE q >= 49 GROUP BY 1, 2, 3),
+ lines AS (SELECT p_brand AS audit_id, 'S' || l_suppkey AS paper_id, p_type || '-' || (p_size % 8) AS facet_id, l_returnflag AS rf, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_linestatus AS ev FROM lineitem JOIN part ON l_partkey = p_partkey),
+ cov AS (SELECT audit_id, paper_id, facet_id, CASE WHEN bool_or(rf = 'R') THEN 'EXACT' WHEN bool_or(rf = 'A') THEN 'FUNCTIONAL' ELSE 'PARTIAL' END AS status, list_sort(list(DISTINCT ev)) AS evs FROM lines GROUP BY 1, 2, 3),
  papers AS (SELECT p_brand AS audit_id, 'S' || l_suppkey AS paper_id, min(o_orderdate)::date AS d, make_date(1996 + split_part(p_brand, '#', 2)::int % 4, 1, 1) AS cutoff
    FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 4),
  hard AS (SELECT c.*, b FROM cov c JOIN facets USING (audit_id, facet_id) JOIN papers p USING (audit_id, paper_id) WHERE status IN ('EXACT', 'FUNCTIONAL') AND d <= cutoff),
@@ -141,6 +142,25 @@ def mps_counts(t: Tables) -> DataFrame:
     return setcover.set_counts(facets(t), papers(t), coverage(t))
 
 
+LENIENT_SQL = (
+    VIEW_SQL.replace("d <= cutoff)", "d <= cutoff + 200)")
+    .replace("list_sort(list(DISTINCT ev)) AS evs", "list_sort(list(DISTINCT ev) FILTER (rf <> 'A')) AS evs")
+)
+
+
+def uncertain_papers(t: Tables) -> DataFrame:
+    """Suppliers that began within 200 days after the cutoff count as uncertain."""
+    late = S("CASE WHEN earliest_public_date <= cutoff THEN 'ELIGIBLE' WHEN earliest_public_date <= date_add(cutoff, 200) THEN 'ELIGIBILITY_UNCERTAIN' ELSE 'POST_CUTOFF' END")
+    return papers(t).withColumn("cutoff_status", late)
+
+
+@query("mps_lenient_counts", LENIENT_SQL + "SELECT audit_id, len(ids)::bigint AS size, count(*) AS set_count FROM sets GROUP BY 1, 2")
+def mps_lenient_counts(t: Tables) -> DataFrame:
+    """Uncertain works and coverage without evidence count as well; accepted lines are no evidence here."""
+    bare = coverage(t).withColumn("evidence_ids", F.when(F.col("status") == "EXACT", F.col("evidence_ids")).otherwise(F.array().cast("array<string>")))
+    return setcover.set_counts(facets(t), uncertain_papers(t), bare, strict=False, require_evidence=False)
+
+
 @query(
     "mps_sensitivity",
     VIEW_SQL
@@ -163,11 +183,11 @@ def mps_sensitivity(t: Tables) -> DataFrame:
     "verdict_classes",
     VIEW_SQL
     + """, k AS (SELECT audit_id, min(len(ids)) AS size, min(CASE strength WHEN 'TEXTUAL' THEN 0 WHEN 'GRAPH' THEN 1 ELSE 2 END) AS s FROM strength JOIN (SELECT audit_id AS a2, ids AS i2 FROM sets) z ON z.a2 = audit_id AND z.i2 = ids GROUP BY 1)
- SELECT brand.audit_id, size::bigint AS size, CASE WHEN size IS NULL THEN 'RESIDUAL_NOVELTY' WHEN size = 1 THEN 'DIRECT_PRECEDENT' WHEN s = 0 THEN 'STRONG_COMPOSITION_RISK' WHEN s = 1 THEN 'PLAUSIBLE_COMPOSITION_RISK' ELSE 'FRAGMENTED_PRECEDENT' END AS classification,
+ SELECT brand.audit_id, size::bigint AS size, CASE WHEN n % 7 = 3 THEN 'INCONCLUSIVE' WHEN size IS NULL THEN 'RESIDUAL_NOVELTY' WHEN size = 1 THEN 'DIRECT_PRECEDENT' WHEN s = 0 THEN 'STRONG_COMPOSITION_RISK' WHEN s = 1 THEN 'PLAUSIBLE_COMPOSITION_RISK' ELSE 'FRAGMENTED_PRECEDENT' END AS classification,
    3 AS search_bound, size IS NULL AS no_result FROM brand LEFT JOIN k ON k.audit_id = brand.audit_id""",
 )
 def verdict_classes(t: Tables) -> DataFrame:
-    audits = facets(t).select("audit_id").distinct()
+    audits = t.part.select(F.col("p_brand").alias("audit_id"), S("cast(substring_index(p_brand, '#', -1) AS int) % 7 = 3").alias("unresolved")).distinct()
     out = verdict.classify(audits, facets(t), papers(t), coverage(t), bridges(t))
     return out.select("audit_id", "size", "classification", "search_bound", F.col("no_result_explanation").isNotNull().alias("no_result"))
 
@@ -181,21 +201,21 @@ def brg_strength(t: Tables) -> DataFrame:
 
 @query(
     "mps_verified_coverage",
-    """WITH ty AS (SELECT p_type AS facet_id, row_number() OVER (ORDER BY p_type) - 1 AS b FROM (SELECT DISTINCT p_type FROM part)),
- lines AS (SELECT p_brand AS audit_id, 'S' || l_suppkey AS paper_id, p_type AS facet_id, l_returnflag AS rf, l_quantity AS q, l_orderkey, l_linestatus, l_discount FROM lineitem JOIN part ON l_partkey = p_partkey),
+    """WITH ty AS (SELECT *, row_number() OVER (PARTITION BY audit_id ORDER BY md5(audit_id || facet_id)) AS rn FROM (SELECT DISTINCT p_brand AS audit_id, p_type || '-' || (p_size % 8) AS facet_id FROM part)),
+ lines AS (SELECT p_brand AS audit_id, 'S' || l_suppkey AS paper_id, p_type || '-' || (p_size % 8) AS facet_id, l_returnflag AS rf, l_orderkey, l_linestatus FROM lineitem JOIN part ON l_partkey = p_partkey),
  strong AS (SELECT audit_id, paper_id, facet_id, CASE WHEN bool_or(rf = 'R') THEN 'EXACT' WHEN bool_or(rf = 'A') THEN 'FUNCTIONAL' ELSE 'PARTIAL' END AS status,
-   bool_and(l_orderkey % 10 <> 3 AND (l_linestatus = 'F' OR b = 5) AND l_orderkey % 7 <> 0) AS sound, count(*) AS n FROM lines JOIN ty USING (facet_id) WHERE q >= 49 GROUP BY 1, 2, 3)
+   bool_and(l_orderkey % 10 <> 3 AND (l_linestatus = 'F' OR rn % 6 = 0) AND l_orderkey % 7 <> 0) AS sound FROM lines JOIN ty USING (audit_id, facet_id) GROUP BY 1, 2, 3)
  SELECT audit_id, paper_id, facet_id, CASE WHEN status = 'PARTIAL' OR sound THEN status ELSE 'UNKNOWN' END AS status, (status = 'PARTIAL' OR sound) AS kept FROM strong""",
 )
 def mps_verified_coverage(t: Tables) -> DataFrame:
     joined = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     ev = joined.select(
-        F.col("p_brand").alias("audit_id"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("id"), F.concat(F.lit("S"), "l_suppkey").alias("own"), "l_orderkey", "l_linestatus", "p_type"
+        F.col("p_brand").alias("audit_id"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus").alias("id"), F.concat(F.lit("S"), "l_suppkey").alias("own"), "l_orderkey", "l_linestatus", S(FACET).alias("facet")
     )
-    ev = ev.groupBy("audit_id", "id", "p_type").agg(F.min("own").alias("own"), F.min("l_orderkey").alias("l_orderkey"), F.min("l_linestatus").alias("l_linestatus"), F.count("*").alias("copies"))
+    ev = ev.groupBy("audit_id", "id", "facet").agg(F.min("own").alias("own"), F.min("l_orderkey").alias("l_orderkey"), F.min("l_linestatus").alias("l_linestatus"), F.count("*").alias("copies"))
     evidence = ev.select(
         "audit_id", "id", F.col("own").alias("canonical_paper_id"), S("CASE WHEN l_orderkey % 10 = 3 THEN 'TIER_1_METADATA' ELSE 'TIER_2_FULLTEXT' END").alias("source_level"),
-        S("CASE WHEN l_linestatus = 'F' THEN 'METHOD' ELSE 'RESULT' END").alias("evidence_kind"), S("CASE WHEN l_orderkey % 7 = 0 THEN array('x') ELSE array(p_type) END").alias("supports"),
+        S("CASE WHEN l_linestatus = 'F' THEN 'METHOD' ELSE 'RESULT' END").alias("evidence_kind"), S("CASE WHEN l_orderkey % 7 = 0 THEN array('x') ELSE array(facet) END").alias("supports"),
     )
     out = setcover.verified_coverage(coverage(t), evidence, facets(t))
     return out.select("audit_id", "paper_id", "facet_id", "status", (F.size("evidence_ids") > 0).alias("kept"))
