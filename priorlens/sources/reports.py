@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import ARXIV_VERSIONS, AUTHORS, DATES
+from ..session import cut_lineage
 
 # One field list per section; a section table is the section exploded by position.
 PAPER = f"""id string, title string, year string, doi string, arxiv_id string, arxiv_version int, arxiv_latest_version_verified boolean, authors {AUTHORS}, providers array<string>,
@@ -95,10 +96,11 @@ def report_tables(reports: DataFrame) -> dict[str, DataFrame]:
     """Section tables of ``reports(audit_id, doc)``, where ``doc`` is the JSON text.
 
     The raw text stays next to the parsed form because hashes need it and
-    because the shape check compares both.
+    because the shape check compares both. Documents are parsed once, into a
+    nested table of which every section reads its own columns only.
     """
-    schema = report_schema()
-    r = reports.select("audit_id", "doc", F.from_json("doc", schema).alias("r"))
+    r = cut_lineage(reports.select("audit_id", "doc", F.from_json("doc", report_schema()).alias("r")))
+    reports = r.select("audit_id", "doc")
     raw_claim = F.get_json_object("doc", "$.claim_map")
     m, v, c, b, p = "r.run_manifest", "r.verdict", "r.claim_map", "r.author_bibliography", "r.search.bridge_policy"
     audits = r.select(

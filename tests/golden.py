@@ -1,118 +1,3 @@
-"""A small valid audit document, built in Python so that tests can break one thing at a time.
+"""The valid audit document of the tests."""
 
-Three works: M1 covers memory, M2 covers selection and cites M1, M3 is a survey
-that cites both and carries the textual bridge.
-"""
-
-from __future__ import annotations
-
-import copy
-import hashlib
-import json
-
-CUTOFF = "2025-09-18"
-
-
-def digest(value) -> str:
-    text = json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
-    return "sha256:" + hashlib.sha256(text.encode()).hexdigest()
-
-
-def at(minute: int, hour: int = 7) -> str:
-    return f"2026-08-27T{hour:02d}:{minute:02d}:00Z"
-
-
-def freeze_hash(claim_map) -> str:
-    return digest({k: claim_map.get(k) for k in ("claim_id", "claim_text", "normalized_claim")} | {"facets": claim_map.get("facets") or []})
-
-
-def snapshot_hash(papers) -> str:
-    keys = ("id", "title", "doi", "arxiv_id", "providers", "dates", "references", "found_by_query_ids")
-    return digest([{k: p.get(k) for k in keys} for p in sorted(papers, key=lambda p: str(p.get("id")))])
-
-
-def paper(pid, title, providers, date, source, refs, found, coverage, **kw):
-    return dict(id=pid, title=title, providers=providers, dates=[{"value": date, "source": source}], earliest_public_date=date, cutoff_status="ELIGIBLE",
-                references=refs, found_by_query_ids=found, coverage=coverage, **kw)
-
-
-def entry(status, *evidence):
-    return {"status": status, "evidence_ids": list(evidence)}
-
-
-def span(eid, pid, minute, kind, *supports):
-    return dict(id=eid, canonical_paper_id=pid, source_level="TIER_2_FULLTEXT", acquisition_id=f"FT:{pid}", span=f"Span {eid}.", location="Section 3",
-                source=f"https://example.org/{pid}", retrieved_at=at(minute), evidence_kind=kind, supports=list(supports))
-
-
-def run(qid, provider, family, minute, ids, plain=False, backstop=False, pagination=None):
-    return dict(query_id=qid, provider=provider, family=family, query=f"query {qid}", reason="because", target_facets=["F1", "F2"], removed_author_terms=plain, retrieved_at=at(minute),
-                temporal_recall_backstop=backstop, provider_cutoff_applied=not backstop, returned_count=len(ids), total_count=len(ids), truncated=False, pagination=pagination or {"page": 1},
-                corpus="all" if provider == "openalex" else "not_applicable", saturation_stop_reason="PROVIDER_EXHAUSTED", paper_ids=list(ids), canonical_paper_ids=list(ids), status="ok")
-
-
-def call(provider, direction, anchor, n):
-    return dict(provider=provider, direction=direction, anchor_paper_id=anchor, returned_count=n, limit=100, exhausted=True, next_token=None, provider_total=None, raw_examined_count=None, possibly_truncated=False)
-
-
-def observation(pid, *providers):
-    total = sum(n for _, n in providers)
-    rows = [dict(provider=p, returned_count=n, status="NONEMPTY" if n else "EMPTY_AT_PROVIDER") for p, n in providers]
-    return dict(paper_id=pid, provider_returned_count=total, status="NONEMPTY" if total else "EMPTY_AT_PROVIDER", provider_observations=rows)
-
-
-def build(audit_id: str = "golden") -> dict:
-    from priorlens.operators.bridges import POLICY_DATASET, POLICY_METHOD, POLICY_SOURCE
-
-    claim = dict(claim_id="C0", claim_text="Adaptive memory with compression-aware selection.", normalized_claim="adaptive memory compression aware selection", frozen_before_retrieval=True, frozen_at=at(0),
-                 facets=[dict(id="F1", type="mechanism", text="adaptive memory", critical=True), dict(id="F2", type="interaction", text="compression-aware selection", critical=False, structural_critical=True)])
-    claim["freeze_hash"] = freeze_hash(claim)
-    papers = [
-        paper("M1", "Adaptive Memory Systems", ["openalex", "arxiv"], "2022-03-01", "arxiv_v1", [], ["Q-literal", "Q-mechanism"], {"F1": entry("EXACT", "E1"), "F2": entry("NO", "E4")}),
-        paper("M2", "Compression-aware Selection", ["openalex", "semantic-scholar"], "2023-04-02", "publisher_online", ["M1"], ["Q-literal", "Q-problem"], {"F1": entry("PARTIAL", "E5"), "F2": entry("FUNCTIONAL", "E2")}),
-        paper("M3", "A Survey of Memory and Compression", ["openalex"], "2024-05-03", "publisher_online", ["M1", "M2"], ["Q-bridge"], {}),
-    ]
-    page = {"pages": [dict(page_index=1, returned_count=0, total_count=0, truncated=False, paper_ids=[], pagination=dict(start=0, raw_returned_count=0, eligible_returned_count=0, next=None))], "stop_reason": "PROVIDER_EXHAUSTED"}
-    sha = lambda c: "sha256:" + c * 64
-    return dict(
-        schema_version="0.3.2", audit_id=audit_id, generated_at=at(0, 8), candidate_ids=["M1", "M2", "M3"],
-        run_manifest=dict(tool_version="0.3.2", config_hash=sha("a"), cutoff=CUTOFF, domain="computer science", model_name="m", prompt_version="p", retrieval_started_at=at(10), retrieval_completed_at=at(18), candidate_snapshot_hash=snapshot_hash(papers),
-                          provider_endpoints=[dict(name="openalex", endpoint="https://api", version="1")], runtime_environment=dict(python_version="3.12", dependencies=dict(jsonschema="4", pypdf="5"))),
-        input=dict(claim="Adaptive memory with compression-aware selection.", normalized_claim="adaptive memory", field="cs", cutoff=CUTOFF, strict_date=True),
-        author_bibliography=dict(status="PROVIDED", source="manuscript", entries=[dict(raw_entry="Compression-aware Selection (2023)", matched_paper_id="M2", match_basis="TITLE_AUTHOR")], normalized_paper_ids=["M2"], unmatched_entries=[]),
-        claim_map=claim,
-        verdict=dict(classification="STRONG_COMPOSITION_RISK", novelty_risk="HIGH", search_coverage="BROAD", evidence_confidence="STRONG", decided_at=at(45), main_concern="M1 and M2 jointly cover the claim and M3 connects them.", evidence_ids=["E1", "E2", "E3"]),
-        papers=papers,
-        fulltext_acquisitions=[dict(id=f"FT:{p}", paper_id=p, status="COMPLETE", source_url=f"https://example.org/{p}.pdf", source_kind="PDF", retrieved_at=at(20), content_sha256=sha("b"), text_sha256=sha("c"), text_path=f"{p}.txt", extraction_method="pypdf", char_count=10) for p in ("M1", "M2", "M3")],
-        evidence=[span("E1", "M1", 30, "METHOD", "F1"), span("E2", "M2", 31, "METHOD", "F2"), span("E3", "M3", 32, "BRIDGE_TEXT"), span("E4", "M1", 30, "METHOD", "F2"), span("E5", "M2", 31, "METHOD", "F1")],
-        top_killers=[dict(paper_id="M1", covers=["F1"], does_not_cover=["F2"], evidence_ids=["E1", "E4"], bibliography_status="NOT_IN_BIBLIOGRAPHY"), dict(paper_id="M2", covers=["F2"], does_not_cover=["F1"], evidence_ids=["E2", "E5"], bibliography_status="IN_BIBLIOGRAPHY")],
-        minimal_prior_sets=[dict(paper_ids=["M1", "M2"], size=2, covered_facets=["F1", "F2"], evidence_ids=["E1", "E2"])],
-        bridges=[dict(type="TAXONOMY_BRIDGE", provenance_type="text", paper_ids=["M1", "M2"], source_paper_id="M3", cutoff_status="ELIGIBLE", text_verified=True, source_rechecked_as_candidate=True, evidence_ids=["E3"])],
-        landscape_bridges=[],
-        criticality_sensitivity=[dict(removed_facet=f, baseline_size=2, alternative_size=1, alternative_classification="DIRECT_PRECEDENT") for f in ("F1", "F2")],
-        ancestor_terms=[], residual_novelty="The interaction rule may survive.",
-        defensible_rewrite=dict(text="Prior work covers both parts separately.", prior_coverage_claims=[dict(text="Prior work covers adaptive memory.", evidence_ids=["E1"])]),
-        search=dict(
-            providers=[dict(name="openalex", status="ok")], query_families=["literal"],
-            query_runs=[run("Q-literal", "openalex", "literal", 10, ["M1", "M2"]), run("Q-mechanism", "semantic-scholar", "mechanism", 12, ["M1"], plain=True), run("Q-problem", "openalex", "problem_function", 14, ["M2"]),
-                        run("Q-ancestor", "arxiv", "ancestor", 16, [], backstop=True, pagination=page), run("Q-bridge", "openalex", "composition_bridge", 18, ["M3"])],
-            graph_expansions=[dict(
-                expansion_id="EXPAND-GRAPH:multi-provider:M1:M2", status="COMPLETE", partial_reasons=[], provider="multi-provider", providers=["openalex", "semantic-scholar"], provider_selection="AUTO_AVAILABLE", omitted_providers=[], paper_ids=["M1", "M2"],
-                cutoff=CUTOFF, temporal_recall_backstop=True, provider_cutoff_applied=False, limit_per_call=100, anchor_selection="CITATION_COUNT_INCOMPLETE_EXPAND_BOTH",
-                calls=[call("openalex", "BACKWARD", "M1", 0), call("openalex", "BACKWARD", "M2", 1), call("semantic-scholar", "BACKWARD", "M2", 0), call("openalex", "FORWARD", "M1", 1), call("openalex", "FORWARD", "M2", 1)], failures=[],
-                bridge_candidate_ids=["M3"], historical_bridge_candidate_ids=["M3"], landscape_bridge_candidate_ids=[], endpoint_reference_observations=[observation("M1", ("openalex", 0)), observation("M2", ("openalex", 1), ("semantic-scholar", 0))],
-                observation_window_days=900, observation_window_status="MEETS_DIAGNOSTIC_THRESHOLD", observation_window_threshold_days=548, negative_result_scope="HISTORICAL_CANDIDATE_PRESENT", discovered_paper_ids=["M3"], new_paper_ids=[])],
-            failures=[], gaps=["One workshop paper had no full text."], obligations=[dict(id="multi-family", status="COMPLETE", detail="done")],
-            bridge_policy=dict(status="SENSITIVITY_CHECKED", high_citation_threshold=500, source=POLICY_SOURCE, evidence=dict(dataset=POLICY_DATASET, method=POLICY_METHOD, preregistered=False)),
-            coverage_derivation=dict(level="BROAD", scope="PROTOCOL_EXECUTION_NOT_RECALL", successful_providers=["arxiv", "openalex", "semantic-scholar"], successful_families=["ancestor", "composition_bridge", "literal", "mechanism", "problem_function"], reasons=[]),
-            saturated=True,
-        ),
-        excluded=dict(post_cutoff=[], date_uncertain=[], other=[]),
-        audit_log=[dict(event="claim_map_frozen", at=at(0), freeze_hash=claim["freeze_hash"])],
-    )
-
-
-def mutated(audit_id: str, change) -> dict:
-    doc = copy.deepcopy(build(audit_id))
-    change(doc)
-    return doc
+from priorlens.plans.audit_documents import build, mutated, snapshot_hash  # noqa: F401

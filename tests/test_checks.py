@@ -3,150 +3,12 @@
 import json
 
 import pytest
-from golden import build, mutated, snapshot_hash
 
 from priorlens.operators.checks import violations
+from priorlens.plans.audit_documents import MUTATIONS, VALID, build, mutated
 from priorlens.sources.reports import report_tables
 
 
-def _set(path, value):
-    def change(d):
-        *head, last = path
-        for k in head:
-            d = d[k]
-        d[last] = value
-
-    return change
-
-
-def _del(path):
-    def change(d):
-        *head, last = path
-        for k in head:
-            d = d[k]
-        del d[last]
-
-    return change
-
-
-def _both(*changes):
-    def change(d):
-        for c in changes:
-            c(d)
-
-    return change
-
-
-def _rehash(d):
-    d["run_manifest"]["candidate_snapshot_hash"] = snapshot_hash(d["papers"])
-
-
-X = ["search", "graph_expansions", 0]
-
-
-def _add_paper(d):
-    new = json.loads(json.dumps(d["papers"][0])) | {"id": "M9", "coverage": {"F1": {"status": "EXACT", "evidence_ids": ["E9"]}, "F2": {"status": "EXACT", "evidence_ids": ["E9"]}}}
-    d["papers"].append(new)
-    d["evidence"].append(dict(d["evidence"][0], id="E9", canonical_paper_id="M9", acquisition_id="FT:M9", supports=["F1", "F2"]))
-    d["candidate_ids"].append("M9")
-
-
-def _low_risk(d):
-    d["verdict"].update(novelty_risk="LOW", search_coverage="NARROW")
-
-
-def _arxiv(version, date, **extra):
-    def change(d):
-        hist = [dict(version=v, identifier=f"1706.03762v{v}", submitted_at=s, pdf_url=f"https://arxiv.org/pdf/1706.03762v{v}", verified=True) for v, s in ((1, "2017-06-12"), (2, "2019-01-15"), (3, "2026-01-01"))]
-        d["papers"][0]["arxiv_id"] = "1706.03762"
-        d["papers"][0]["citation_validation"] = [dict(type="ARXIV", provider="arxiv", valid=True, identifier="1706.03762v1")]
-        d["fulltext_acquisitions"][0].update(dict(
-            source_url=f"https://arxiv.org/pdf/1706.03762v{version}", historical_cutoff="2025-09-18", arxiv_version=version, arxiv_version_date=date, version_lock="LATEST_VERIFIED_VERSION_AT_OR_BEFORE_CUTOFF",
-            version_selection_method="ARXIV_API_COMPLETE_VERSION_HISTORY", arxiv_version_history=hist, arxiv_version_history_complete=True) | extra)
-        _rehash(d)
-
-    return change
-
-
-MUTATIONS = {
-    "VAL-01 types": _set(["input", "strict_date"], "yes"),
-    "VAL-01 item keys": _del(["evidence", 0, "span"]),
-    "VAL-01 duplicate candidates": lambda d: d["candidate_ids"].append("M1"),
-    "VAL-01 date-time": _set(["generated_at"], "yesterday"),
-    "VAL-02 section": _del(["excluded", "other"]),
-    "VAL-03 version": _set(["schema_version"], "0.1"),
-    "VAL-04 class": _set(["verdict", "classification"], "NOVEL"),
-    "VAL-05 facet text": _set(["claim_map", "facets", 0, "text"], "changed"),
-    "VAL-06 cutoff": _set(["run_manifest", "cutoff"], "2025-09-19"),
-    "VAL-07 query before freeze": _set(["search", "query_runs", 0, "retrieved_at"], "2026-08-27T06:00:00Z"),
-    "VAL-08 facet twice": lambda d: d["claim_map"]["facets"].append(d["claim_map"]["facets"][0]),
-    "VAL-09 outside": _both(lambda d: d["candidate_ids"].remove("M3")),
-    "VAL-10 ids": _set(["author_bibliography", "normalized_paper_ids"], ["M1"]),
-    "VAL-10 entry": _set(["author_bibliography", "entries", 0, "raw_entry"], "Something else (2023)"),
-    "VAL-11 threshold": _set(["search", "bridge_policy", "high_citation_threshold"], 999),
-    "VAL-12 runtime": _set(["run_manifest", "runtime_environment", "python_version"], ""),
-    "VAL-13 dates": _both(_set(["papers", 0, "dates", 0, "value"], "2026-03-01"), _rehash),
-    "VAL-14 doi": _both(_set(["papers", 0, "doi"], "10.1000/x"), _rehash),
-    "VAL-15 acquisition": _set(["fulltext_acquisitions", 2, "paper_id"], "M7"),
-    "VAL-16 level": _set(["evidence", 3, "source_level"], "TIER_9"),
-    "VAL-17 other paper": _set(["evidence", 0, "acquisition_id"], "FT:M2"),
-    "VAL-17 missing": _set(["evidence", 0, "acquisition_id"], "FT:none"),
-    "VAL-18 late evidence": _set(["evidence", 2, "retrieved_at"], "2026-08-27T07:50:00Z"),
-    "VAL-18 none": _set(["verdict", "evidence_ids"], []),
-    "VAL-19 no negative": _set(["top_killers", 0, "does_not_cover"], []),
-    "VAL-19 bibliography": _set(["top_killers", 1, "bibliography_status"], "NOT_IN_BIBLIOGRAPHY"),
-    "VAL-20 ineligible": _set(["papers", 0, "cutoff_status"], "POST_CUTOFF"),
-    "VAL-20 no evidence": _set(["papers", 0, "coverage", "F1", "evidence_ids"], []),
-    "VAL-20 tier 1": _set(["evidence", 0, "source_level"], "TIER_1_METADATA"),
-    "VAL-21 smaller set": _add_paper,
-    "VAL-21 omitted": _set(["minimal_prior_sets"], []),
-    "VAL-22 partial": _set([*X, "status"], "PARTIAL"),
-    "VAL-22 missing": _set(["search", "graph_expansions"], []),
-    "VAL-23 extra landscape": lambda d: d["landscape_bridges"].append(dict(type="LANDSCAPE_BRIDGE", underlying_type="CO_CITATION", provenance_type="graph", paper_ids=["M1", "M2"], source_paper_id="M3", cutoff_status="POST_CUTOFF", graph_verified=True, affects_historical_verdict=False)),
-    "VAL-24 hidden": _both(_set(["bridges"], []), _set(["verdict", "classification"], "FRAGMENTED_PRECEDENT")),
-    "VAL-25 recheck": _set(["bridges", 0, "source_rechecked_as_candidate"], False),
-    "VAL-25 source": _set(["bridges", 0, "source_paper_id"], "M8"),
-    "VAL-26 graph only": _set(["bridges"], [dict(type="DIRECT_CITATION", provenance_type="graph", paper_ids=["M1", "M2"], source_paper_id="M2", cutoff_status="ELIGIBLE", graph_verified=True, evidence_ids=[])]),
-    "VAL-27 term": lambda d: d["ancestor_terms"].append(dict(term="t", source_paper_id="M8", first_observed="2020-01-01", evidence_ids=["E1"])),
-    "VAL-28 rewrite": _set(["defensible_rewrite", "prior_coverage_claims", 0, "evidence_ids"], ["nope"]),
-    "VAL-29 fabricated": _set(["criticality_sensitivity", 0, "alternative_size"], 3),
-    "VAL-29 missing": lambda d: d["criticality_sensitivity"].pop(),
-    "VAL-30 exclusion": _set(["excluded", "post_cutoff"], ["M3"]),
-    "VAL-31 low": _low_risk,
-    "VAL-32 open": _both(_set(["search", "obligations", 0, "status"], "INCOMPLETE"), _set(["search", "gaps"], [])),
-    "VAL-33 loose": lambda d: d["search"]["failures"].append(dict(provider="openalex", type="TIMEOUT", detail="x")),
-    "VAL-34 count": _set(["search", "query_runs", 0, "total_count"], 1),
-    "VAL-35 saturated": _set(["search", "saturated"], False),
-    "VAL-35 truncated": _set(["search", "query_runs", 0, "truncated"], True),
-    "VAL-36 backstop": _set(["search", "query_runs", 3, "provider_cutoff_applied"], True),
-    "VAL-37 offset": _set(["search", "query_runs", 3, "pagination", "pages", 0, "pagination", "start"], 5),
-    "VAL-38 cutoff": _set([*X, "provider_cutoff_applied"], True),
-    "VAL-38 window": _set([*X, "observation_window_days"], 3),
-    "VAL-38 route": lambda d: d["search"]["graph_expansions"][0]["calls"].pop(2),
-    "VAL-38 scope": _set([*X, "negative_result_scope"], "NO_HISTORICAL_CUTOFF"),
-    "VAL-38 hidden provider": _set([*X, "providers"], ["openalex"]),
-    "VAL-38 exhaustion": _set([*X, "calls", 0, "next_token"], "t"),
-    "VAL-39 lineage": _both(_set(["papers", 2, "found_by_query_ids"], ["Q-gone"]), _rehash),
-    "VAL-40 late version": _arxiv(3, "2026-01-01"),
-    "VAL-40 older version": _arxiv(1, "2017-06-12"),
-    "VAL-40 unversioned": _arxiv(2, "2019-01-15", source_url="https://arxiv.org/pdf/1706.03762"),
-    "VAL-41 number": _set(["residual_novelty"], "novelty 99.99%"),
-}
-VALID = {
-    "ok": lambda d: None,
-    "ok medium risk": _set(["verdict", "novelty_risk"], "MEDIUM"),
-    "ok version": _arxiv(2, "2019-01-15"),
-    "ok override": _both(_set(["search", "bridge_policy"], dict(status="DOCUMENTED_OVERRIDE", high_citation_threshold=100, source="ours", evidence=dict(dataset=None, method=None, preregistered=None)))),
-    "ok not strict": _both(_arxiv(3, "2026-01-01"), _set(["input", "strict_date"], False)),
-    "ok inconclusive": _both(
-        _set([*X, "status"], "PARTIAL"), _set([*X, "partial_reasons"], ["PROVIDER_FAILURE"]), _set([*X, "failures"], [dict(provider="semantic-scholar", direction="BACKWARD", anchor_paper_id="M2", detail="x")]),
-        lambda d: d["search"]["graph_expansions"][0]["calls"].pop(2), _set([*X, "negative_result_scope"], "INCOMPLETE_EXPANSION"),
-        _set([*X, "endpoint_reference_observations", 1, "provider_observations", 1], dict(provider="semantic-scholar", returned_count=None, status="FAILED")),
-        lambda d: d["search"]["gaps"].append("GRAPH_EXPANSION_INCOMPLETE:M1:M2"), lambda d: d["verdict"].update(classification="INCONCLUSIVE", novelty_risk="INCONCLUSIVE"),
-    ),
-}
-
-
 @pytest.fixture(scope="module")
 def found(spark):
     docs = [(k, json.dumps(mutated(k, f), ensure_ascii=False)) for k, f in {**MUTATIONS, **VALID}.items()]
