@@ -16,22 +16,35 @@ from ..operators.bridges import POLICY_DATASET, POLICY_METHOD, POLICY_SOURCE
 CUTOFF = "2025-09-18"
 
 
+def canonical(value) -> str:
+    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+
+
 def digest(value) -> str:
-    text = json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
-    return "sha256:" + hashlib.sha256(text.encode()).hexdigest()
+    return "sha256:" + hashlib.sha256(canonical(value).encode()).hexdigest()
 
 
 def at(minute: int, hour: int = 7) -> str:
     return f"2026-08-27T{hour:02d}:{minute:02d}:00Z"
 
 
+def frozen_part(claim_map) -> dict:
+    """What the freeze hash covers."""
+    return {k: claim_map.get(k) for k in ("claim_id", "claim_text", "normalized_claim")} | {"facets": claim_map.get("facets") or []}
+
+
+def snapshot_part(papers) -> list[dict]:
+    """What the snapshot hash covers."""
+    keys = ("id", "title", "doi", "arxiv_id", "providers", "dates", "references", "found_by_query_ids")
+    return [{k: p.get(k) for k in keys} for p in sorted(papers, key=lambda p: str(p.get("id")))]
+
+
 def freeze_hash(claim_map) -> str:
-    return digest({k: claim_map.get(k) for k in ("claim_id", "claim_text", "normalized_claim")} | {"facets": claim_map.get("facets") or []})
+    return digest(frozen_part(claim_map))
 
 
 def snapshot_hash(papers) -> str:
-    keys = ("id", "title", "doi", "arxiv_id", "providers", "dates", "references", "found_by_query_ids")
-    return digest([{k: p.get(k) for k in keys} for p in sorted(papers, key=lambda p: str(p.get("id")))])
+    return digest(snapshot_part(papers))
 
 
 def paper(pid, title, providers, date, source, refs, found, coverage, **kw):

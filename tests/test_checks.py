@@ -36,3 +36,16 @@ def test_golden_hashes_match_python(spark):
     doc = build()
     row = spark.createDataFrame([(json.dumps(doc["claim_map"], ensure_ascii=False),)], "j string").select(hashes.claim_map_hash(F.col("j")).alias("h")).first()
     assert row["h"] == doc["claim_map"]["freeze_hash"]
+
+
+def test_findings_are_just_the_expected_ones(found):
+    from collections import Counter
+
+    from priorlens.plans.audit_queries import EXPECTED
+
+    want = {}
+    for rule, rows in EXPECTED.items():
+        for kind, entity, detail in rows:
+            if rule == "VAL-01" or not kind.startswith("VAL-01"):
+                want.setdefault(kind, []).append((rule, entity, detail))
+    assert {k: Counter(v) for k, v in found.items()} == {k: Counter(v) for k, v in want.items()}
