@@ -53,13 +53,13 @@ def _ranked_pieces(sized: DataFrame, eps: float) -> DataFrame:
     d = _budget(F.col("n"), eps)
     cut = sized.withColumn("d", d).filter("d >= 1").withColumn("q", _piece_length(F.col("n"), eps)).withColumn("p", _cuts(F.col("n"), F.col("d")))
     pieces = cut.select(
-        *OWNER, "tid", "n", "d", "q", "title",
+        *OWNER, "tid", "n", "d", "q", "fresh", "title",
         F.explode(F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda i: (i * F.col("q")).cast("int"))).alias("at"),
     ).withColumn("piece", F.col("title").substr(F.col("at") + 1, F.col("q"))).drop("title")
     often = pieces.groupBy(*PIECE).agg(F.count("*").alias("often")).filter("often > 1")
     told = pieces.join(often, PIECE, "left").withColumn("often", F.coalesce("often", F.lit(1).cast("long")))
-    per = told.groupBy(*OWNER, "tid", "n", "d", "q").agg(F.array_sort(F.collect_list(F.struct("often", "at", "piece"))).alias("ranked"))
-    return per.select("*", F.posexplode("ranked").alias("place", "x")).select(*OWNER, "tid", "n", "d", "q", "ranked", "place", "x.often", "x.at", "x.piece")
+    per = told.groupBy(*OWNER, "tid", "n", "d", "q", "fresh").agg(F.array_sort(F.collect_list(F.struct("often", "at", "piece"))).alias("ranked"))
+    return per.select("*", F.posexplode("ranked").alias("place", "x")).select(*OWNER, "tid", "n", "d", "q", "fresh", "ranked", "place", "x.often", "x.at", "x.piece")
 
 
 def _grams(sized: DataFrame, eps: float) -> DataFrame:
@@ -68,17 +68,21 @@ def _grams(sized: DataFrame, eps: float) -> DataFrame:
     lengths = F.array_compact(F.array_distinct(F.transform(F.sequence(shortest, F.col("n").cast("int")), lambda n: _piece_length(n, eps))))
     per = sized.filter("n > 0").withColumn("q", F.explode(lengths)).filter("q BETWEEN 1 AND n")
     return per.select(
-        *OWNER, F.col("tid").alias("tid_long"), F.col("n").alias("n_long"), "q", "title",
+        *OWNER, F.col("tid").alias("tid_long"), F.col("n").alias("n_long"), F.col("fresh").alias("fresh_long"), "q", "title",
         F.explode(F.sequence(F.lit(0), (F.col("n") - F.col("q")).cast("int"))).alias("at_long"),
     ).withColumn("piece", F.col("title").substr(F.col("at_long") + 1, F.col("q")))
 
 
-def title_candidates(titles: DataFrame, ratio_at_least: float = SAME_TITLE, frequent: int = FREQUENT) -> DataFrame:
-    """``(audit_id, a, b)``: distinct unordered pairs of title digests that share what similar titles must share."""
+def title_candidates(titles: DataFrame, ratio_at_least: float = SAME_TITLE, frequent: int = FREQUENT, fresh: str | None = None) -> DataFrame:
+    """``(audit_id, a, b)``: distinct unordered pairs of title digests that share what similar titles must share.
+
+    ``fresh`` names a flag; pairs of which neither title has it are left out.
+    """
     if not LEAST_RATIO <= ratio_at_least <= 1:
         raise ValueError(f"the ratio must lie between {LEAST_RATIO} and 1")
     eps = 1.0 - ratio_at_least
-    sized = titles.select(*OWNER, "title").distinct().withColumns({"n": F.char_length("title"), "tid": F.md5("title")})
+    flag = F.bool_or(F.col(fresh) if fresh else F.lit(True)).alias("fresh")
+    sized = titles.groupBy(*OWNER, "title").agg(flag).withColumns({"n": F.char_length("title"), "tid": F.md5("title")})
     ranked = cut_lineage(_ranked_pieces(sized, eps))
     asked = ranked.filter("place <= d").withColumn("lone", (F.col("often") <= frequent) | (F.size("ranked") == F.col("d") + 1))
     grams = _grams(sized, eps)
@@ -87,29 +91,31 @@ def title_candidates(titles: DataFrame, ratio_at_least: float = SAME_TITLE, freq
         & (F.abs(F.col("at") - F.col("at_long")) <= F.col("d"))
         & (F.col("n_long") - F.col("n") <= (F.col("n_long") + F.col("n")) * eps + 1e-9)
         & (F.col("tid") != F.col("tid_long"))
+        & (F.col("fresh") | F.col("fresh_long"))
     )
     pair = ["audit_id", F.least("tid", "tid_long").alias("a"), F.greatest("tid", "tid_long").alias("b")]
     rare = asked.filter("lone").drop("ranked").join(grams.drop("title"), PIECE).filter(fits).select(*pair)
 
     hot = asked.filter("NOT lone")
     others = F.slice(F.filter("ranked", lambda x: x["at"] != F.col("at")), F.lit(1), F.col("d") + 1)
-    hot_short = hot.select(*PIECE, "tid", "n", "d", "at", F.explode(others).alias("o")).select("*", F.col("o.piece").alias("second"), F.col("o.at").alias("second_at")).drop("o")
+    hot_short = hot.select(*PIECE, "tid", "n", "d", "fresh", "at", F.explode(others).alias("o")).select("*", F.col("o.piece").alias("second"), F.col("o.at").alias("second_at")).drop("o")
     hot_long = grams.join(hot.select(*PIECE).distinct(), PIECE, "left_semi")
     hot_long = hot_long.select(
-        *PIECE, "tid_long", "n_long", "at_long", "title", F.explode(F.sequence(F.lit(0), (F.col("n_long") - F.col("q")).cast("int"))).alias("second_long")
+        *PIECE, "tid_long", "n_long", "fresh_long", "at_long", "title", F.explode(F.sequence(F.lit(0), (F.col("n_long") - F.col("q")).cast("int"))).alias("second_long")
     ).withColumn("second", F.col("title").substr(F.col("second_long") + 1, F.col("q"))).drop("title")
     both = hot_short.join(hot_long, [*PIECE, "second"]).filter(fits & (F.abs(F.col("second_at") - F.col("second_long")) <= F.col("d"))).select(*pair)
     return rare.unionByName(both).distinct()
 
 
-def similar_titles(titles: DataFrame, ratio_at_least: float = SAME_TITLE, frequent: int = FREQUENT) -> DataFrame:
+def similar_titles(titles: DataFrame, ratio_at_least: float = SAME_TITLE, frequent: int = FREQUENT, fresh: str | None = None) -> DataFrame:
     """``(audit_id, new_title, old_title)`` of different titles that are similar enough.
 
     ``titles(audit_id, surname, title)``; a pair must share a surname. Lossless. The ratio
     depends on which title is the new one, so a pair may count in one direction only.
+    With ``fresh``, the name of a flag, one title of each pair has it.
     """
     text = titles.select("audit_id", F.md5("title").alias("tid"), "title").distinct()
-    near = title_candidates(titles, ratio_at_least, frequent)
+    near = title_candidates(titles, ratio_at_least, frequent, fresh)
     near = near.join(text.select("audit_id", F.col("tid").alias("a"), F.col("title").alias("x")), ["audit_id", "a"])
     near = near.join(text.select("audit_id", F.col("tid").alias("b"), F.col("title").alias("y")), ["audit_id", "b"])
     most = F.floor((F.char_length("x") + F.char_length("y")) * (1.0 - ratio_at_least) + 1e-9).cast("int")

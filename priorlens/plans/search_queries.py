@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..operators import coverage, resolve, search
+from ..operators import coverage, expansion, resolve, search
 from ..operators.normalize import normalize_papers
 from ..schemas import AUTHORS
+from ..session import cut_lineage
 from .registry import Tables, query
 from .text_queries import TITLE_KEY_SQL
 
@@ -283,6 +284,43 @@ def ded_merge(t: Tables) -> DataFrame:
     return m.select("id", "version_count", "citation_count", "abstract", "venue", "doi", "year", F.array_join("providers", ",").alias("providers"), F.array_join("references", ",").alias("refs"), F.array_join(pids, ",").alias("provider_ids"))
 
 
+ADDED = 1 << 40  # places after all stored records
+ADDED_SQL = FIRST_FIT_SQL.replace("p_partkey AS i", f"p_partkey + CASE WHEN p_partkey % 5 = 0 THEN {ADDED} ELSE 0 END AS i", 1)
+
+
+@query("grx_merge", ADDED_SQL + f"SELECT 'P' || (g % {ADDED}) AS id, count(*) AS version_count, g >= {ADDED} AS is_new FROM g GROUP BY g")
+def grx_merge(t: Tables) -> DataFrame:
+    """Every fifth part arrives later and is merged into the stored groups of the others."""
+    works = part_works(t)
+    late = F.col("ordinal") % 5 == 0
+    stored, added = works.filter(~late), works.filter(late).withColumn("ordinal", F.col("ordinal") + ADDED)
+    groups = cut_lineage(resolve.group_works(stored, fuzzy=False).select("audit_id", "ordinal", "group_ordinal"))
+    audits = works.select("audit_id").distinct().withColumn("cutoff", F.lit("2005-01-01"))
+    merged, new = expansion.merge_additions(stored, added, audits, fuzzy=False, groups=groups)
+    return merged.join(new.select("id", F.lit(True).alias("is_new")), "id", "left").select("id", "version_count", F.coalesce("is_new", F.lit(False)).alias("is_new"))
+
+
+@query(
+    "grx_log",
+    """WITH e AS (SELECT o_custkey::varchar AS audit_id, 'P' || min(l_partkey) AS a, 'P' || max(l_partkey) AS b, max(o_orderpriority = '1-URGENT') AS urgent, max(o_orderstatus = 'F') AS old FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey, o_orderkey)
+ SELECT audit_id, count(*) FILTER (kind = 'log') AS logged, count(*) FILTER (kind = 'gap') AS gap_count, max(gap) AS last_gap
+ FROM (SELECT audit_id, 'log' AS kind, NULL AS gap FROM e UNION ALL SELECT DISTINCT audit_id, 'gap', 'GRAPH_EXPANSION_INCOMPLETE:' || least(a, b) || ':' || greatest(a, b) FROM e WHERE urgent) GROUP BY 1""",
+)
+def grx_log(t: Tables) -> DataFrame:
+    """Finished orders are the logged expansions of a customer, the others are appended; urgent ones are partial."""
+    pairs = t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "o_orderkey").agg(
+        F.concat(F.lit("P"), F.min("l_partkey")).alias("paper_a"), F.concat(F.lit("P"), F.max("l_partkey")).alias("paper_b"),
+        F.when(F.max(F.col("o_orderpriority") == "1-URGENT"), "PARTIAL").otherwise("COMPLETE").alias("status"), F.max(F.col("o_orderstatus") == "F").alias("old"),
+    )
+    rows = pairs.withColumn("audit_id", F.col("o_custkey").cast("string"))
+    marker = expansion.gap_marker(F.least("paper_a", "paper_b"), F.greatest("paper_a", "paper_b")).alias("gap")
+    gaps = rows.filter("old AND status = 'PARTIAL'").select("audit_id", marker)
+    log, open_gaps = expansion.append_expansions(rows.filter("old"), rows.filter("NOT old").drop("old"), gaps)
+    counted = log.groupBy("audit_id").agg(F.count("*").alias("logged"))
+    per = open_gaps.groupBy("audit_id").agg(F.count("*").alias("gap_count"), F.max("gap").alias("last_gap"))
+    return counted.join(per, "audit_id", "left").fillna(0, ["gap_count"])
+
+
 def page_records(t: Tables) -> DataFrame:
     """Pages as records: the HTML title, the language as surname."""
     author = F.array(F.struct(F.regexp_extract("html", r'<html lang="([a-z]+)"', 1).alias("name"), F.lit(None).cast("string").alias("orcid"), F.lit(None).cast("string").alias("id"))).cast(AUTHORS)

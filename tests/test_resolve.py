@@ -104,6 +104,20 @@ def test_random_records_match_sequential_grouping(spark):
         want.update(brute([x for x in items if x["audit"] == a]))
     got = {r["ordinal"]: r["group_ordinal"] for r in R.group_works(load(spark, rows)).collect()}
     assert got == want
+    # the same in two batches: stored groups stay as they are
+    stored = R.group_works(load(spark, rows[:170]))
+    both = R.add_works(stored, load(spark, rows[170:]))
+    assert both.columns == stored.columns and {r["ordinal"]: r["group_ordinal"] for r in both.collect()} == want
+
+
+def test_added_records_leave_stored_groups(spark):
+    """Two stored groups that a new record would connect stay two; new records group among themselves."""
+    stored = [rec(0, doi="10.1/a", names=["x"]), rec(1, arxiv="2401.00001", names=["x"])]
+    new = [rec(2, doi="10.1/a", arxiv="2401.00001"), rec(3, doi="10.1/z"), rec(4, doi="10.1/z"), rec(5, arxiv="2401.00001")]
+    known = R.group_works(load(spark, stored))
+    got = {r["ordinal"]: r["group_ordinal"] for r in R.add_works(known, load(spark, new)).collect()}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 3, 4: 3, 5: 0}
+    assert {r["ordinal"]: r["group_ordinal"] for r in R.add_works(known, load(spark, new).filter("false")).collect()} == {0: 0, 1: 1}
 
 
 def test_similar_titles_is_lossless(spark):
