@@ -222,9 +222,17 @@ def _case_summary(t: Tables) -> DataFrame:
     return study.summarize_cases(cases.join(study.distinct_case_bridges(pairs, works, citing_dates(t)), "case_id", "left"))
 
 
-@query("stu_interval")
+@query(
+    "stu_interval",
+    """WITH RECURSIVE c AS (SELECT s_nationkey, count(*) FILTER (l_returnflag = 'R') AS k, count(*) AS n FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1),
+ b AS (SELECT s_nationkey, n, v, target, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, 0 AS step FROM (SELECT *, k AS v, 0.025 AS target FROM c WHERE k > 0 UNION ALL SELECT *, k + 1, 0.975 FROM c WHERE k < n)
+   UNION ALL SELECT s_nationkey, n, v, target, CASE WHEN tail < target THEN p ELSE lo END, CASE WHEN tail < target THEN hi ELSE p END, step + 1
+   FROM (SELECT *, list_sum(list_transform(range(v, n + 1), lambda x: exp(lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) + x * ln(p) + (n - x) * ln(1 - p)))) AS tail FROM (SELECT *, (lo + hi) / 2 AS p FROM b WHERE step < 40))),
+ r AS (SELECT s_nationkey, target, round((lo + hi) / 2, 4) AS x FROM b WHERE step = 40)
+ SELECT c.s_nationkey, k, n, coalesce(l.x, 0.0) AS lower, coalesce(u.x, 1.0) AS upper FROM c LEFT JOIN r l ON l.s_nationkey = c.s_nationkey AND l.target = 0.025 LEFT JOIN r u ON u.s_nationkey = c.s_nationkey AND u.target = 0.975""",
+)
 def stu_interval(t: Tables) -> DataFrame:
-    """Exact 95% interval of returned lines per supplier nation; bisection has no SQL form (tested against constants)."""
+    """Exact 95% interval of returned lines per supplier nation."""
     lines = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     per = lines.groupBy("s_nationkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("k"), F.count("*").alias("n"))
     return per.withColumn("i", study.exact_interval("k", "n")).select("s_nationkey", "k", "n", "i.lower", "i.upper")

@@ -157,3 +157,29 @@ def test_title_ratio(spark):
         assert r.r == pytest.approx(want, abs=1e-12) and (r.q >= 0.97) == (want >= 0.97) and r.s == (want >= 0.9)
     nulls = spark.createDataFrame([(None, "a"), ("a", None)], "a string, b string")
     assert [tuple(r) for r in nulls.select(title_ratio("a", "b"), titles_alike("a", "b", 0.9)).collect()] == [(None, False)] * 2
+
+
+def test_exact_interval(spark):
+    """Against sums of binomial terms, bisected in plain Python."""
+    import math
+
+    from priorlens.functions.binomial import exact_interval, log_gamma
+
+    def tail(k, n, p):
+        return sum(math.exp(math.lgamma(n + 1) - math.lgamma(v + 1) - math.lgamma(n - v + 1) + v * math.log(p) + (n - v) * math.log1p(-p)) for v in range(k, n + 1))
+
+    def solve(k, n, target):
+        lo, hi = 0.0, 1.0
+        for _ in range(40):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if tail(k, n, mid) < target else (lo, mid)
+        return lo
+
+    rows = [(4, 18), (1, 1), (0, 5), (5, 5), (1, 2), (7, 1000), (500, 1000), (999, 1000), (3000, 9000), (1, 9000)]
+    for r in spark.createDataFrame(rows, "k bigint, n bigint").select("k", "n", exact_interval("k", "n").alias("i")).collect():
+        assert r.i.lower == pytest.approx(0.0 if r.k == 0 else solve(r.k, r.n, 0.025), abs=6e-5)
+        assert r.i.upper == pytest.approx(1.0 if r.k == r.n else solve(r.k + 1, r.n, 0.975), abs=6e-5)
+    odd = spark.createDataFrame([(None, 3), (3, None), (0, 0), (4, 3), (-1, 3)], "k bigint, n bigint").select(exact_interval("k", "n").alias("i")).collect()
+    assert all(r.i.lower is None and r.i.upper is None for r in odd)
+    got = spark.createDataFrame([(float(x),) for x in (1, 2, 3.5, 10, 171, 1e6)], "x double").select("x", log_gamma(F.col("x")).alias("g")).collect()
+    assert all(r.g == pytest.approx(math.lgamma(r.x), rel=1e-12, abs=1e-12) for r in got)
