@@ -9,8 +9,9 @@ from pyspark.sql import Window as W
 from ..functions import text as X
 from ..operators import attempts, dates, diff, fulltext, hashes, identity, metrics, study
 from ..schemas import AUTHORS
-from ..session import cut_lineage
+from ..session import cut_lineage, shared_path
 from ..sources import records, sinks
+from ..streaming import ledger
 from .registry import Tables, query
 
 S = F.expr
@@ -535,6 +536,31 @@ def att_rejects(t: Tables) -> DataFrame:
     return attempts.evaluate_attempts(submissions(t))[1].select("report_hash", "reason")
 
 
+def submission_stream(t: Tables) -> DataFrame:
+    """The submissions as a bounded stream: three deliveries by date, read two files at a time."""
+    path, rows = shared_path(t.spark), submissions(t)
+    year = F.year("seq.o_orderdate")
+    for delivery in (year < 1994, (year >= 1994) & (year < 1997), year >= 1997):
+        rows.filter(delivery).repartition("audit_id").write.mode("append").parquet(path)
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
+
+
+@query("str_attempts", ATTEMPT_SQL + "SELECT k::varchar AS report_hash, CASE WHEN reason IS NULL THEN used::bigint END AS attempt, CASE WHEN reason IS NULL THEN status END AS status, reason FROM w WHERE n > 0")
+def str_attempts(t: Tables) -> DataFrame:
+    out = ledger.run_ledger(submission_stream(t), shared_path(t.spark))
+    return out.select("report_hash", "attempt", "status", "reason")
+
+
+@query("str_candidates", "SELECT DISTINCT user_id::varchar AS audit_id, event_type || '-' || (event_id % 50) AS canonical_key FROM events")
+def str_candidates(t: Tables) -> DataFrame:
+    """First event of a kind for each user, of a stream over the event files that a single trigger drains."""
+    stream = t.spark.readStream.schema(t.events.schema).parquet(f"{t.folder}/events.parque[t]")  # as a pattern, it may be a file or a folder
+    records = stream.select(
+        F.col("user_id").cast("string").alias("audit_id"), F.concat_ws("-", "event_type", F.col("event_id") % 50).alias("canonical_key"), F.col("ts").cast("timestamp").alias("retrieved_at")
+    )
+    return ledger.run_candidates(records, shared_path(t.spark)).select("audit_id", "canonical_key")
+
+
 @query(
     "att_history",
     """WITH p AS (SELECT l_orderkey AS identity, count(*) AS n, count(DISTINCT l_linenumber) AS d, min(l_linenumber) AS lo, max(l_linenumber) AS hi, min(l_linenumber) FILTER (l_returnflag = 'R') AS won FROM lineitem GROUP BY 1)

@@ -62,6 +62,11 @@ def _shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def shared_path(spark: SparkSession) -> str:
+    """A fresh path below the shared folder, for tables and stream progress."""
+    return f"{_shared_folder(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder as a table and read it back.
 
@@ -71,7 +76,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     branches read only their columns, and its size is known to the optimizer.
     """
     spark = df.sparkSession
-    path = f"{_shared_folder(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = shared_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.attempts import evaluate_attempts
 from ..operators.hashes import identity_hash
 
 ATTEMPT_OUT = "identity string, report_hash string, attempt int, max_attempts int, status string, conclusion_cap string, reason string"
@@ -67,6 +68,44 @@ def attempt_stream(submissions: DataFrame, ttl_ms: int = 30 * 24 * 3600 * 1000)
     return s.groupBy("identity").transformWithStateInPandas(AttemptLedger(ttl_ms), ATTEMPT_OUT, "Append", "ProcessingTime")
 
 
+def run_ledger(submissions: DataFrame, folder: str) -> DataFrame:
+    """Drain a bounded stream of submissions into ``folder`` and return every submission's outcome.
+
+    Each micro-batch is judged together with the earlier submissions of the identities
+    it holds, by the batch operator, and its own rows are written under its number: a
+    batch that is repeated after a failure overwrites itself. Submissions of one identity
+    must arrive in ``seq`` order across batches. Columns: the submission's, ``identity``,
+    ``attempt``, ``status``, ``reason``.
+    """
+    schema = submissions.schema
+
+    def judge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        own = batch.withColumn("_batch", F.lit(number))
+        name = identity_hash(F.col("audit_id"), F.col("claim_id"), F.col("freeze_hash"), F.col("cutoff"))
+        known = [f"{folder}/history/number={n}" for n in range(number)]
+        if known:
+            earlier = spark.read.schema(schema).parquet(*known).withColumn("_batch", F.lit(-1))
+            touched = own.select(name.alias("_identity")).distinct()
+            own = own.unionByName(earlier.withColumn("_identity", name).join(touched, "_identity", "left_semi").drop("_identity"))
+        good, bad = evaluate_attempts(own)
+        rows = good.withColumn("reason", F.lit(None).cast("string")).unionByName(bad, allowMissingColumns=True)
+        keep = [*schema.names, "identity", "attempt", "status", "reason"]
+        rows.filter(F.col("_batch") == number).select(*keep).write.mode("overwrite").parquet(f"{folder}/outcomes/number={number}")
+        batch.write.mode("overwrite").parquet(f"{folder}/history/number={number}")
+
+    run = submissions.writeStream.foreachBatch(judge).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return submissions.sparkSession.read.parquet(f"{folder}/outcomes").drop("number")
+
+
+def run_candidates(records: DataFrame, folder: str, lateness: str = "1 day") -> DataFrame:
+    """Drain a bounded stream of records into ``folder`` through :func:`new_candidates` and return what it kept."""
+    sink = new_candidates(records, lateness).writeStream.outputMode("append").format("parquet").option("path", f"{folder}/kept")
+    sink.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+    return records.sparkSession.read.schema(records.schema).parquet(f"{folder}/kept")
+
+
 def new_candidates(records: DataFrame, lateness: str = "1 day") -> DataFrame:
     """First record of each canonical key per audit; later copies inside the watermark are dropped.
 

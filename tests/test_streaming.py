@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from priorlens.operators.attempts import evaluate_attempts
-from priorlens.streaming.ledger import attempt_stream, new_candidates
+from priorlens.streaming.ledger import attempt_stream, new_candidates, run_candidates, run_ledger
 
 SUB = "audit_id string, claim_id string, freeze_hash string, cutoff string, seq bigint, max_attempts int, valid boolean, report_hash string"
 
@@ -44,3 +44,28 @@ def test_attempt_stream_equals_batch(spark, tmp_path):
     good, bad = evaluate_attempts(df)
     want = {(r["report_hash"], r["attempt"], r["status"], None) for r in good.collect()} | {(r["report_hash"], None, None, r["reason"]) for r in bad.collect()}
     assert {(r["report_hash"], r["attempt"], r["status"], r["reason"]) for r in out} == want
+
+
+def test_ledger_run_equals_batch(spark, tmp_path):
+    """Several deliveries, one file a micro-batch; a repeated run adds nothing."""
+    rows = []
+    for a in range(9):
+        for n in range(6):
+            rows.append((f"A{a}", "C" if a != 4 else " ", "h", "2025-01-01", n, 1 + a % 3 if n != 2 else 5, (a + n) % 4 == 3, f"{a}-{n}"))
+    df = spark.createDataFrame(rows, SUB)
+    for part in ("seq < 2", "seq = 2", "seq > 2"):
+        df.filter(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for _ in range(2):
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        out = run_ledger(stream, str(tmp_path / "ledger")).collect()
+        good, bad = evaluate_attempts(df)
+        want = {(r["report_hash"], r["attempt"], r["status"], None) for r in good.collect()} | {(r["report_hash"], None, None, r["reason"]) for r in bad.collect()}
+        assert {(r["report_hash"], r["attempt"], r["status"], r["reason"]) for r in out} == want and len(out) == len(rows)
+
+
+def test_candidate_run(spark, tmp_path):
+    rows = [("a", "k1", "2024-01-01 00:00:00"), ("a", "k1", "2024-01-01 01:00:00"), ("b", "k1", "2024-01-01 00:00:00")]
+    df = spark.createDataFrame(rows, "audit_id string, canonical_key string, t string").select("audit_id", "canonical_key", F.col("t").cast("timestamp").alias("retrieved_at"))
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    out = run_candidates(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out")).collect()
+    assert sorted((r["audit_id"], r["canonical_key"]) for r in out) == [("a", "k1"), ("b", "k1")]
