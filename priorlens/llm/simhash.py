@@ -122,9 +122,19 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Rows are told apart by their place in the input, so ``docs`` must be a stored table.
     """
-    key = F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("place"))
-    keyed = docs.withColumn("_row_key", key)
-    found = near_duplicates(keyed.select("_row_key", F.col(text_col).alias("text")), "_row_key", "text")
-    chosen = found.where("doc_id.place = component_id.place").select(F.col("doc_id.place").alias("_place"))
-    placed = docs.withColumn("_place", F.monotonically_increasing_id())
-    return placed.join(chosen, "_place", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    row_key, place = _free("_row_key", docs.columns), _free("_place", docs.columns)
+    own_id, own_text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    key = F.struct(own_id.isNull().alias("unnamed"), own_id.alias("id"), F.monotonically_increasing_id().alias("place"))
+    keyed = docs.withColumn(row_key, key)
+    found = near_duplicates(keyed.select(row_key, own_text.alias("text")), row_key, "text")
+    chosen = found.where("doc_id.place = component_id.place").select(F.col("doc_id.place").alias(place))
+    placed = docs.withColumn(place, F.monotonically_increasing_id())
+    return placed.join(chosen, place, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _free(name: str, taken: list[str]) -> str:
+    """A column name that is not taken, whatever its case."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name

@@ -52,6 +52,16 @@ def test_simhash(stored, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_kept_rows_keep_columns_of_any_name(spark, tmp_path):
+    """Columns named like the operator's own, in any case, and an id column that needs quotes."""
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [(7, 1, 7, "one " + words), (8, 2, 8, "one " + words), (9, 3, 9, "quite another text that shares nothing")]
+    spark.createDataFrame(rows, "_place int, `doc.id` long, _ROW_KEY int, text string").coalesce(1).write.parquet(str(tmp_path / "docs"))
+    kept = simhash.keep_one_of_each(spark.read.parquet(str(tmp_path / "docs")), "doc.id")
+    assert kept.columns == ["_place", "doc.id", "_ROW_KEY", "text"]
+    assert sorted(tuple(r)[:3] for r in kept.collect()) == [(7, 1, 7), (9, 3, 9)]
+
+
 def test_chains_of_links(spark):
     """Fingerprints that only a chain of neighbours joins."""
     chain = [0]
