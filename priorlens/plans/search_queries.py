@@ -284,6 +284,18 @@ def ded_merge(t: Tables) -> DataFrame:
     return m.select("id", "version_count", "citation_count", "abstract", "venue", "doi", "year", F.array_join("providers", ",").alias("providers"), F.array_join("references", ",").alias("refs"), F.array_join(pids, ",").alias("provider_ids"))
 
 
+@query(
+    "ded_versions",
+    FIRST_FIT_SQL
+    + """SELECT 'P' || g.g AS id, count(*) AS version_count, string_agg('P' || i || ':' || coalesce(lower(d), '') || ':' || coalesce('2001.0000' || a, '') || ':' || p_type, ',' ORDER BY i) AS versions FROM g JOIN p USING (i) GROUP BY g.g""",
+)
+def ded_versions(t: Tables) -> DataFrame:
+    """Merged works with the records behind them, in arrival order."""
+    m = resolve.deduplicate(part_works(t), fuzzy=False, versions=True)
+    shown = F.transform("versions", lambda v: F.concat_ws(":", v["id"], F.coalesce(v["doi"], F.lit("")), F.coalesce(v["arxiv_id"], F.lit("")), F.array_join(v["providers"], "+")))
+    return m.select("id", "version_count", F.array_join(shown, ",").alias("versions"))
+
+
 ADDED = 1 << 40  # places after all stored records
 ADDED_SQL = FIRST_FIT_SQL.replace("p_partkey AS i", f"p_partkey + CASE WHEN p_partkey % 5 = 0 THEN {ADDED} ELSE 0 END AS i", 1)
 
