@@ -10,9 +10,9 @@ errors (branches that are alike in statistics merge; a node needs ``BRANCHES`` l
 siblings for that). Below ``LEVELS`` segments a template ends in ``**``.
 
 A template is rejected if its smoothed labelled purity ``(blocked + PRIOR * anywhere) /
-(labelled + PRIOR)`` reaches ``PURE`` and its host has ``LEAST`` labelled urls of it; ``anywhere`` is the blocked share of the same
-template on all hosts, itself smoothed towards one half. A template that no rule ever
-decided on its own host is allowed.
+(labelled + PRIOR)`` reaches ``PURE``. ``anywhere`` is the blocked share of the same
+template on all hosts, itself smoothed towards one half; it decides for hosts with few
+labelled urls of their own, and takes ``PRIOR`` and more labelled urls to reach ``PURE``.
 
 Work is on counts: urls are added up by host and remaining path before each level, all
 joins are on ``(host, node)``, and nothing is gathered by host.
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from priorlens.session import cut_lineage
 
 LEVELS, MANY, RARE, BRANCHES, Z = 12, 20, 3.0, 2, 2.0
-PRIOR, PURE, LEAST = 10.0, 0.8, 3
+PRIOR, PURE = 10.0, 0.8
 
 # Fixed values: (host and path, verdict).
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -122,8 +122,8 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     tree = cut_lineage(template_tree(counted).join(counted, ["host", "path"]))
     by_host = cut_lineage(tree.groupBy("host", "template").agg(F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled")))
     shared = cut_lineage(by_host.groupBy("template").agg(((F.sum("blocked") + PRIOR / 2) / (F.sum("labelled") + PRIOR)).alias("anywhere")))
-    pure = by_host.join(shared, "template").select("host", "template", ((F.col("blocked") + PRIOR * F.col("anywhere")) / (F.col("labelled") + PRIOR)).alias("purity"), "labelled")
+    pure = by_host.join(shared, "template").select("host", "template", ((F.col("blocked") + PRIOR * F.col("anywhere")) / (F.col("labelled") + PRIOR)).alias("purity"))
     by_path = cut_lineage(tree.select("host", "path", "template").join(cut_lineage(pure), ["host", "template"]))
     joined = parsed.join(by_path, ["host", "path"], "left")
-    method = F.when((F.col("purity") >= PURE) & (F.col("labelled") >= LEAST), "block").otherwise("allow")
+    method = F.when(F.col("purity") >= PURE, "block").otherwise("allow")
     return joined.select("page_id", "host", "path", "rule", F.coalesce("by_rule", method).alias("verdict"), "template", "purity")
