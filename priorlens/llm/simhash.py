@@ -122,7 +122,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Rows are told apart by their place in the input, so ``docs`` must be a stored table.
     """
-    row_key, place = _free("_row_key", docs.columns), _free("_place", docs.columns)
+    row_key, place = free_name("_row_key", docs.columns), free_name("_place", docs.columns)
     own_id, own_text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     key = F.struct(own_id.isNull().alias("unnamed"), own_id.alias("id"), F.monotonically_increasing_id().alias("place"))
     keyed = docs.withColumn(row_key, key)
@@ -132,7 +132,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return placed.join(chosen, place, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def _free(name: str, taken: list[str]) -> str:
+def free_name(name: str, taken: list[str]) -> str:
     """A column name that is not taken, whatever its case."""
     used = {c.lower() for c in taken}
     while name.lower() in used:
