@@ -2,8 +2,8 @@
 
 ``log_guesses`` is a dynamic programme over prefixes: a value is cut into words,
 dates, repeats, keyboard walks and brute-force spans, and the sum of the parts' log10
-guess counts is least. Longer parts than ``LONGEST`` are only needed for repeats and
-walks, whose price hardly depends on length, so time is linear in the value.
+guess counts is least over all segmentations. Words are at most ``LONGEST`` characters
+long; repeats and walks have any length and may begin anywhere in their run.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import re
 
-LONGEST = 24
+LONGEST, LONGEST_DATE, LEAST_RUN = 24, 10, 3
 PERIODS = range(2, 9)
 
 # Common password words, in rough order of use.
@@ -27,7 +27,7 @@ LEET = str.maketrans("0134579@$!", "oleastgasi")
 
 _STEPS = {(a, b) for row in KEY_ROWS for a, b in zip(row, row[1:], strict=False)} | {(b, a) for row in KEY_ROWS for a, b in zip(row, row[1:], strict=False)}
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:(?:19|20)\d\d|\d\d)")
-_LOG_DATE = math.log10(365 * 130)
+_LOG_DATE, _LOG_WALK = math.log10(365 * 130), math.log10(40 * 4)
 _CLASSES = ((str.isdigit, 10), (str.islower, 26), (str.isupper, 26))
 
 
@@ -44,6 +44,43 @@ def lexicon(counted: dict[str, int] | None = None) -> dict[str, float]:
     return {w: math.log10(i + 2) for i, w in enumerate(words)}
 
 
+class _Starts:
+    """Where a part that grows with the value may begin, for the least of ``best[start] + log10(units)``.
+
+    A later start has fewer units, so it displaces earlier ones that are no cheaper; the
+    earlier gains as the part grows, so a later one that has fallen behind stays behind.
+    """
+
+    def __init__(self) -> None:
+        self.held: list[tuple[int, float]] = []
+
+    def least(self, end: int, unit: int) -> float:
+        cost, ahead = math.inf, []
+        for start, before in self.held:
+            now = before + math.log10((end - start) // unit)
+            if now < cost:
+                cost = now
+                ahead.append((start, before))
+        self.held = ahead
+        return cost
+
+    def add(self, start: int, before: float) -> None:
+        while self.held and self.held[-1][1] >= before:
+            self.held.pop()
+        self.held.append((start, before))
+
+
+def _dates(value: str) -> dict[int, list[int]]:
+    """Starts of all dates by their ends, the shorter of two readings too."""
+    out: dict[int, list[int]] = {}
+    for i in range(len(value)):
+        if value[i].isdigit():
+            for end in range(i + 4, min(i + LONGEST_DATE, len(value)) + 1):
+                if _DATE.fullmatch(value, i, end):
+                    out.setdefault(end, []).append(i)
+    return out
+
+
 def log_guesses(value: str, words: dict[str, float]) -> float:
     """log10 of the guesses that the cheapest segmentation needs; 0 for an empty value."""
     n = len(value)
@@ -52,16 +89,11 @@ def log_guesses(value: str, words: dict[str, float]) -> float:
     low = value.lower()
     plain = low.translate(LEET)
     per_char = _alphabet(value)
-    same = [1] * n  # length of the run of equal characters that ends here
-    walk = [1] * n  # length of the keyboard walk that ends here
-    for i in range(1, n):
-        same[i] = same[i - 1] + 1 if value[i] == value[i - 1] else 1
-        walk[i] = walk[i - 1] + 1 if (low[i - 1], low[i]) in _STEPS else 1
-    dates: dict[int, list[int]] = {}
-    for i in range(n):
-        if value[i].isdigit() and (m := _DATE.match(value, i)):
-            dates.setdefault(m.end(), []).append(i)
+    dates = _dates(value)
+    same, walk = 1, 1  # lengths of the run of equal characters, and of the keyboard walk, that end here
+    same_starts, walk_starts = _Starts(), _Starts()
     echo = dict.fromkeys(PERIODS, 0)  # how long the value has equalled itself so many places before
+    echo_starts = {p: [_Starts() for _ in range(p)] for p in PERIODS}
     best = [0.0] + [math.inf] * n
     for j in range(1, n + 1):
         cost = best[j - 1] + per_char
@@ -72,14 +104,26 @@ def log_guesses(value: str, words: dict[str, float]) -> float:
                     cost = min(cost, best[i] + words[form] + extra + case)
         for i in dates.get(j, ()):
             cost = min(cost, best[i] + _LOG_DATE)
-        if same[j - 1] >= 3:
-            cost = min(cost, best[j - same[j - 1]] + per_char + math.log10(same[j - 1]))
-        if walk[j - 1] >= 3:
-            cost = min(cost, best[j - walk[j - 1]] + math.log10(40 * 4) + math.log10(walk[j - 1]))
+        same = same + 1 if j > 1 and value[j - 1] == value[j - 2] else 1
+        walk = walk + 1 if j > 1 and (low[j - 2], low[j - 1]) in _STEPS else 1
+        if same == 1:
+            same_starts = _Starts()
+        elif same >= LEAST_RUN:
+            same_starts.add(j - LEAST_RUN, best[j - LEAST_RUN])
+            cost = min(cost, per_char + same_starts.least(j, 1))
+        if walk == 1:
+            walk_starts = _Starts()
+        elif walk >= LEAST_RUN:
+            walk_starts.add(j - LEAST_RUN, best[j - LEAST_RUN])
+            cost = min(cost, _LOG_WALK + walk_starts.least(j, 1))
         for period in PERIODS:  # a block said again and again
-            echo[period] = echo[period] + 1 if j > period and value[j - 1] == value[j - 1 - period] else 0
-            for times in {2, echo[period] // period + 1}:
-                if times >= 2 and times * period - period <= echo[period]:
-                    cost = min(cost, best[j - times * period] + period * per_char + math.log10(times))
+            if j > period and value[j - 1] == value[j - 1 - period]:
+                echo[period] += 1
+            elif echo[period]:
+                echo[period], echo_starts[period] = 0, [_Starts() for _ in range(period)]
+            if echo[period] >= period:
+                starts = echo_starts[period][j % period]
+                starts.add(j - 2 * period, best[j - 2 * period])
+                cost = min(cost, period * per_char + starts.least(j, period))
         best[j] = cost
     return best[n]

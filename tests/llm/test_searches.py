@@ -1,11 +1,13 @@
 """Decontamination, licences, secrets, quality rules and urls against plain Python."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
 
 from conftest_llm import ALNUM, SPACED, lower, same
+from hypothesis import given, settings, strategies as st
 
 from priorlens.llm import decontaminate, guesscost, licenses, qualityrules, secretscan, urlfilter
 
@@ -126,6 +128,49 @@ def test_guess_cost():
     assert cost("ab1$") <= 4 * 2 and cost("x" * 20_000) < 8
 
 
+def _every_cut(value, words):
+    """The least price over all segmentations, part by part."""
+    alphabet = guesscost._alphabet(value)
+    walks = guesscost._STEPS
+
+    def price(part):
+        low, out = part.lower(), alphabet if len(part) == 1 else math.inf
+        if 2 <= len(part) <= guesscost.LONGEST:
+            case = 0.0 if part.islower() or not part.isalpha() else 0.3
+            out = min([out, *(words[f] + extra + case for f, extra in ((low, 0.0), (low.translate(guesscost.LEET), 0.3)) if f in words)])
+        if guesscost._DATE.fullmatch(part):
+            out = min(out, guesscost._LOG_DATE)
+        if len(part) >= 3 and len(set(part)) == 1:
+            out = min(out, alphabet + math.log10(len(part)))
+        if len(part) >= 3 and all(step in walks for step in zip(low, low[1:])):
+            out = min(out, math.log10(160) + math.log10(len(part)))
+        for p in range(2, 9):
+            if len(part) >= 2 * p and len(part) % p == 0 and part == part[:p] * (len(part) // p):
+                out = min(out, p * alphabet + math.log10(len(part) // p))
+        return out
+
+    best = [0.0]
+    for j in range(1, len(value) + 1):
+        best.append(min(best[i] + price(value[i:j]) for i in range(j)))
+    return best[-1]
+
+
+_PIECES = st.lists(st.sampled_from(["pass", "Pass", "p4ss", "s", "ssss", "abc", "abcabc", "qwer", "1234", "2024", "01", "-", "ab", "zz", "x9", "admin", "éé"]), max_size=7).map("".join)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.one_of(_PIECES, st.text(alphabet="ab1s", max_size=24)))
+def test_guess_cost_is_the_least_of_all_cuts(value):
+    words = guesscost.lexicon({"ab": 2, "sss": 3})
+    assert abs(guesscost.log_guesses(value, words) - _every_cut(value, words)) < 1e-9
+
+
+def test_guess_cost_starts_inside_a_run():
+    words = guesscost.lexicon()
+    assert guesscost.log_guesses("passssss", words) < words["pass"] + 2.1
+    assert guesscost.log_guesses("ab" * 20_000, words) < 8
+
+
 def test_quality_rules(spark, stored, empty):
     docs, rows = stored
     expected = []
