@@ -12,12 +12,13 @@ by a join, so no gram takes the value of another. Shorter grams are told apart w
 A second scan takes the counts of the rules and the mean log probability of each
 text. Bands are set per language and length class (powers of two of the word
 count): ``BAND`` interquartile ranges (of ``LEAST_SPREAD`` at least) below the first
-and above the third quartile of the distinct texts that pass the counted rules, so
-copies do not narrow them; classes with under ``LEAST`` distinct texts use the
-language's own band, twice as wide. Outside of its band a document goes.
+and above the third quartile of the texts that pass the counted rules. Texts that
+share their least five-word shingle count once there, so neither copies nor near copies
+narrow a band; classes with under ``LEAST`` of them use the language's own band, twice
+as wide. Outside of its band a document goes.
 
 Defined cases: a null or empty text has no words and fails the counted rules; a
-null language is a language of its own; a text without a whole gram has no
+null language counts as the empty one; a text without a whole gram has no
 perplexity and stays in its band; repeated rows give repeated results.
 """
 
@@ -32,12 +33,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from priorlens.session import cut_lineage
 
 from . import textkernel as tk
+from .nearcopies import shingles
 from .textstats import text_stats
 
 ORDER = 4
 SLOTS = 2_097_143  # a prime
 SCATTER = 0x2C1B3C6D  # spreads grams of similar letters over the slots
-BAND, LEAST, LEAST_SPREAD = 5.0, 50, 0.05
+BAND, LEAST, LEAST_SPREAD = 2.0, 50, 0.01
 LEAST_WORDS, MOST_REPEATED = 20, 30
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 HELD_GRAMS = 4_000_000
@@ -198,8 +200,18 @@ def train(docs: DataFrame) -> KneserNey:
     return KneserNey(grams, backoff, rest)
 
 
+def _least_shingles(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The least shingle hash of each row, 0 for a row without words."""
+    hashes, bounds = shingles(data, offsets)
+    out = np.zeros(len(offsets) - 1, np.uint64)
+    full = np.flatnonzero(np.diff(bounds))
+    if len(full):
+        out[full] = np.minimum.reduceat(hashes, bounds[full])
+    return out.view(np.int64)
+
+
 def score(docs: DataFrame, model: KneserNey) -> DataFrame:
-    """Counts of the rules and the log perplexity of every text, which the model was trained on; ``text_key`` is equal for equal texts."""
+    """Counts of the rules and the log perplexity of every text, which the model was trained on; ``text_key`` is equal for equal texts, ``least`` for most near copies too."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -218,17 +230,17 @@ def score(docs: DataFrame, model: KneserNey) -> DataFrame:
             ends = pa.array(np.searchsorted(pairs, np.arange(block.num_rows + 1, dtype=np.uint64) << np.uint64(32)).astype(np.int32))
             columns = {k: pa.array(stats[k].astype(np.int64)) for k in COUNTS}
             yield pa.RecordBatch.from_pydict({"doc_id": block.column("doc_id"), "lang": block.column("lang"), "text_key": block.column("text_key")} | columns | {
-                "n_grams": pa.array(np.diff(row).astype(np.int64)), "held": pa.array(sums[row[1:]] - sums[row[:-1]]),
+                "least": pa.array(_least_shingles(data, offsets)), "n_grams": pa.array(np.diff(row).astype(np.int64)), "held": pa.array(sums[row[1:]] - sums[row[:-1]]),
                 "absent": pa.ListArray.from_arrays(ends, pa.array((pairs & np.uint64((1 << 32) - 1)).astype(np.int64))), "times": pa.ListArray.from_arrays(ends, pa.array(times.astype(np.int64))),
             })
 
     counts = ", ".join(f"{k} long" for k in COUNTS)
     keyed = docs.select("doc_id", "lang", "text", F.xxhash64("text").alias("text_key"))
-    found = cut_lineage(keyed.mapInArrow(run, f"doc_id {kind}, lang string, text_key long, {counts}, n_grams long, held double, absent array<long>, times array<long>"))
+    found = cut_lineage(keyed.mapInArrow(run, f"doc_id {kind}, lang string, text_key long, {counts}, least long, n_grams long, held double, absent array<long>, times array<long>"))
     pairs = found.where("size(absent) > 0").select("text_key", F.explode(F.arrays_zip("absent", "times")).alias("p")).selectExpr("text_key", "p.absent as gram", "p.times as times").distinct()
     others = cut_lineage(pairs.join(model.rest, "gram").groupBy("text_key").agg(F.sum(F.col("times") * F.col("lp")).alias("other")))
     mean = (F.col("held") + F.coalesce("other", F.lit(0.0))) / F.col("n_grams")
-    return found.join(others, "text_key", "left").select("doc_id", "lang", "text_key", *COUNTS, F.when(F.col("n_grams") > 0, -mean).alias("log_ppl"))
+    return found.join(others, "text_key", "left").select("doc_id", "lang", "text_key", "least", *COUNTS, F.when(F.col("n_grams") > 0, -mean).alias("log_ppl"))
 
 
 def _band(wide: float) -> list:
@@ -243,7 +255,7 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scored = score(source, train(source))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     scored = cut_lineage(scored.withColumns({"base_failed": failed, "class": F.floor(F.log2(F.greatest("n_words", F.lit(1)))).cast("int")}))
-    good = scored.where(~F.col("base_failed") & F.col("log_ppl").isNotNull()).groupBy("lang", "class", "text_key").agg(F.min("log_ppl").alias("log_ppl"))
+    good = scored.where(~F.col("base_failed") & F.col("log_ppl").isNotNull()).groupBy("lang", "class", "least").agg(F.min("log_ppl").alias("log_ppl"))
     own = good.groupBy("lang", "class").agg(*_band(1)).where(F.col("n_texts") >= LEAST).drop("n_texts")
     wide = good.groupBy("lang").agg(*_band(2)).selectExpr("lang", "low as wide_low", "high as wide_high")
     classes = scored.select("lang", "class").distinct().join(own, ["lang", "class"], "left").join(wide, "lang", "left")

@@ -215,6 +215,55 @@ def test_copies_do_not_narrow_the_band(spark):
     assert all(r.band_high - r.band_low > 2 * qualityrules.BAND * qualityrules.LEAST_SPREAD for r in got.values())
 
 
+def test_near_copies_do_not_narrow_the_band(spark):
+    """Twice as many near copies of one text as other texts in a class."""
+    words = _prose(0, 60).split()
+    rows = [(i, "en", _prose(i, 60)) for i in range(1, 71)]
+    rows += [(1_000 + i, "en", " ".join([*words[: i % 55], f"word{i}", *words[i % 55 :]])) for i in range(140)]
+    got = {r.doc_id: r for r in qualityrules.apply_rules(spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(3)).collect()}
+    assert sum(got[i].kept for i in range(1, 71)) >= 68
+
+
+def test_bands_decide_on_the_given_documents(spark):
+    """Labelled junk that passes the counted rules is rejected by its perplexity, labelled good text is kept."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{name}.parquet") for name in ("documents", "labels"))
+    rows = qualityrules.apply_rules(docs).where("not base_failed").join(labels, "doc_id").selectExpr("quality", "cast(kept as int) as kept").groupBy("quality").avg("kept").collect()
+    share = dict(map(tuple, rows))
+    assert share[1] > 0.99 and share[0] < 0.7
+
+
+def _log_perplexities(texts):
+    """Modified Kneser-Ney over folded bytes, straight from its definition."""
+    fold = lambda text: bytes(0x30 if 0x30 <= c < 0x3A else 0x20 if c in b"\t\n\x0b\x0c\r" else c for c in lower(text).encode())
+    grams = lambda text: [fold(text)[i : i + 4] for i in range(len(fold(text)) - 3)]
+    counts = {4: Counter(g for text in set(texts) for g in grams(text))}
+    for order in (3, 2, 1):
+        counts[order] = Counter(g[1:] for g in counts[order + 1])
+    discounts, totals, gammas = {}, {}, {}
+    for order, found in counts.items():
+        n1, n2, n3, n4 = (max(1, sum(n == k for n in found.values())) for k in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        discounts[order] = [min(max(k - (k + 1) * y * b / a, 0.05), k - 0.05) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+        for g, n in found.items():
+            totals[g[:-1]] = totals.get(g[:-1], 0) + n
+            gammas[g[:-1]] = gammas.get(g[:-1], 0) + discounts[order][min(n, 3) - 1]
+
+    def probability(gram):
+        if not gram:
+            return 1 / 256
+        n, total = counts[len(gram)][gram], totals[gram[:-1]]
+        return (n - discounts[len(gram)][min(n, 3) - 1] + gammas[gram[:-1]] * probability(gram[1:])) / total
+
+    return [-sum(math.log(probability(g)) for g in grams(text)) / len(grams(text)) for text in texts]
+
+
+def test_perplexity_equals_its_definition(spark):
+    texts = [_prose(i % 12, 25) for i in range(15)] + ["Éa 12\t3é " * 3, "aaaa", "zzzzzz zz"]
+    docs = spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)], "doc_id long, lang string, text string")
+    got = {r.doc_id: r.log_ppl for r in qualityrules.score(docs, qualityrules.train(docs)).collect()}
+    assert all(abs(got[i] - x) < 1e-4 for i, x in enumerate(_log_perplexities(texts)))
+
+
 def test_grams_that_share_a_slot_keep_their_own_value(spark, monkeypatch):
     docs = spark.createDataFrame([(i % 30, "en", _prose(i % 30, 30)) for i in range(90)], "doc_id long, lang string, text string")
     whole = {r.doc_id: r.log_ppl for r in qualityrules.score(docs, qualityrules.train(docs)).collect()}
