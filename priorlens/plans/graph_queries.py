@@ -423,7 +423,7 @@ def grx_failures(t: Tables) -> DataFrame:
 def grx_candidates(t: Tables) -> DataFrame:
     edges = cut_lineage(provider_edges(t))
     calls = cut_lineage(_calls(t, edges))
-    hits = expansion.bridge_candidates(expansion.neighbours(calls, edges), edges)
+    hits = expansion.bridge_candidates(calls, edges)
     return hits.select("paper_a", "paper_b", "provider", F.col("neighbour_id").alias("paper_id"))
 
 
