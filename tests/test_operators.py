@@ -182,3 +182,21 @@ def test_sources_and_sinks(spark, tmp_path):
     sinks.write_records(head, str(tmp_path / "out"), buckets=4)
     sinks.write_documents(doc, str(tmp_path / "docs"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1 and spark.read.text(str(tmp_path / "docs")).count() == 1
+
+
+def test_co_citation_pairs_are_listed_by_their_sources(spark, monkeypatch):
+    import random
+
+    rng = random.Random(7)
+    edges = {("q", f"s{s}", f"t{rng.randrange(12)}") for s in range(30) for _ in range(rng.choice([1, 3, 9]))} | {("r", "s1", "t1"), ("r", "s1", "t2"), ("q", "t1", "t2"), ("q", "t1", "t1")}
+    pairs = {("q", f"t{a}", f"t{b}") for a in range(6) for b in range(12) if (a + b) % 2} | {("q", "t3", "t3"), ("r", "t2", "t1"), ("r", "t1", "t9"), ("q", "t1", "t2"), ("q", "t2", "t1")}
+    want = {(q, a, b, s) for q, a, b in pairs for p, s, t in edges if p == q and t == a and (q, s, b) in edges and s not in (a, b)}
+    p = spark.createDataFrame(sorted(pairs), "audit_id string, paper_a string, paper_b string")
+    e = spark.createDataFrame(sorted(edges), "audit_id string, source_id string, target_id string")
+    for most in (0, 3, 64):  # all, some and no sources go through the lesser endpoint
+        monkeypatch.setattr(bridges, "PAIRED", most)
+        got = [tuple(r)[:4] for r in bridges.co_citation_routes(p, e).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    # an endpoint cited by every source, named by every pair: a source of two endpoints still lists one pair
+    cited = spark.createDataFrame([("q", f"s{s}", n, False) for s in range(50) for n in (0, s + 1)], "audit_id string, source_id string, node bigint, alone boolean")
+    assert bridges.source_pairs(cited).count() == 50
