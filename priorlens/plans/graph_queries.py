@@ -8,7 +8,9 @@ plus each order with the customer's previous one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -16,7 +18,7 @@ from ..functions import dates as D
 from ..operators import bridges, dates, expansion, versions
 from ..operators.metrics import temporal_leakage
 from ..session import cut_lineage
-from .registry import Tables, query
+from .registry import Tables, arxiv_name, query
 
 S = F.expr
 CUTOFF = "1998-06-01"
@@ -227,12 +229,21 @@ def dat_window(t: Tables) -> DataFrame:
 # ------------------------------------------------------------------ versions
 
 
-def version_rows(t: Tables) -> DataFrame:
+def short_name(key: str) -> Column:
+    """Identifier as the twin of ``dat_versions_as_of`` spells it: keys beyond five digits are cut, so that orders share one."""
+    return F.concat(F.lit("2001."), F.lpad(F.col(key).cast("string"), 5, "0"))
+
+
+def own_name(key: str) -> Column:
+    """The same for keys of five digits; larger ones go on in the following months, so that no two orders share one."""
+    return S(arxiv_name(key))
+
+
+def version_rows(t: Tables, name: Callable[[str], Column] = short_name) -> DataFrame:
     """Lines of an order by ship date are the versions of one arXiv work."""
     w = W.partitionBy("l_orderkey").orderBy("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey")
     v = t.lineitem.select("l_orderkey", F.row_number().over(w).alias("version"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("submitted_at"), F.count("*").over(W.partitionBy("l_orderkey")).alias("n"))
-    base = F.concat(F.lit("2001."), F.lpad(F.col("l_orderkey").cast("string"), 5, "0"))
-    v = v.withColumn("base_id", base).withColumn("identifier", F.concat("base_id", F.lit("v"), "version"))
+    v = v.withColumn("base_id", name("l_orderkey")).withColumn("identifier", F.concat("base_id", F.lit("v"), "version"))
     return v.withColumn("pdf_url", S("concat(CASE WHEN l_orderkey % 3 = 0 THEN 'https://arxiv.org/pdf/' ELSE 'http://export.arxiv.org/pdf/' END, identifier, CASE WHEN l_orderkey % 3 = 1 THEN '.pdf' ELSE '' END)"))
 
 
@@ -240,16 +251,16 @@ def _version_struct():
     return F.struct("version", "identifier", "submitted_at", "pdf_url", F.lit(True).alias("verified"))
 
 
-def histories(t: Tables) -> DataFrame:
+def histories(t: Tables, name: Callable[[str], Column] = short_name) -> DataFrame:
     """Complete histories, with version 2 missing for every tenth order."""
-    kept = version_rows(t).filter("NOT (l_orderkey % 10 = 0 AND version = 2)")
+    kept = version_rows(t, name).filter("NOT (l_orderkey % 10 = 0 AND version = 2)")
     per = kept.groupBy("l_orderkey", "base_id").agg(F.collect_list(_version_struct()).alias("arxiv_versions"))
     return _record(per, F.lit(None).cast("int"), F.lit(False))
 
 
-def local_records(t: Tables) -> DataFrame:
+def local_records(t: Tables, name: Callable[[str], Column] = short_name) -> DataFrame:
     """What a provider record knows: the newest version only, vouched for on even orders."""
-    newest = version_rows(t).filter("version = n").withColumn("arxiv_versions", F.array(_version_struct()))
+    newest = version_rows(t, name).filter("version = n").withColumn("arxiv_versions", F.array(_version_struct()))
     return _record(newest, F.col("n").cast("int"), F.col("l_orderkey") % 2 == 0)
 
 
@@ -260,9 +271,9 @@ def _record(df: DataFrame, version, vouched) -> DataFrame:
     )
 
 
-def version_papers(t: Tables) -> DataFrame:
+def version_papers(t: Tables, name: Callable[[str], Column] = short_name) -> DataFrame:
     return t.orders.select(
-        F.lit("v").alias("audit_id"), F.concat(F.lit("O"), "o_orderkey").alias("id"), F.concat(F.lit("arXiv:2001."), F.lpad(F.col("o_orderkey").cast("string"), 5, "0"), F.lit("v9")).alias("arxiv_id"),
+        F.lit("v").alias("audit_id"), F.concat(F.lit("O"), "o_orderkey").alias("id"), F.concat(F.lit("arXiv:"), name("o_orderkey"), F.lit("v9")).alias("arxiv_id"),
         F.col("o_orderdate").cast("date").alias("cutoff"), S("CASE WHEN o_orderstatus = 'P' THEN 'POST_CUTOFF' ELSE 'ELIGIBLE' END").alias("cutoff_status"),
     )
 
@@ -315,7 +326,7 @@ def dat_version_gaps(t: Tables) -> DataFrame:
    CASE WHEN error IS NULL THEN CASE WHEN loc THEN n = 1 ELSE true END END AS history_complete, error FROM e""",
 )
 def dat_historical_source(t: Tables) -> DataFrame:
-    out = versions.historical_source(version_papers(t), local_records(t), histories(t))
+    out = versions.historical_source(version_papers(t, own_name), local_records(t, own_name), histories(t, own_name))
     return out.select("paper_id", "version", "selection_method", "history_complete", "error")
 
 

@@ -19,6 +19,12 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
+def arxiv_name(key: str) -> str:
+    """SQL of an arXiv identifier for a key: 100,000 to a month from 2001 on, so that no two keys share one."""
+    month = f"{key} div 100000"
+    return f"concat(lpad(cast(20 + {month} div 12 AS string), 2, '0'), lpad(cast({month} % 12 + 1 AS string), 2, '0'), '.', lpad(cast({key} % 100000 AS string), 5, '0'))"
+
+
 def query(name: str, sql: str | None = None):
     def register(fn: Callable[[Tables], DataFrame]):
         if name in REGISTRY:

@@ -200,3 +200,23 @@ def test_co_citation_pairs_are_listed_by_their_sources(spark, monkeypatch):
     # an endpoint cited by every source, named by every pair: a source of two endpoints still lists one pair
     cited = spark.createDataFrame([("q", f"s{s}", n, False) for s in range(50) for n in (0, s + 1)], "audit_id string, source_id string, node bigint, alone boolean")
     assert bridges.source_pairs(cited).count() == 50
+
+
+def test_keys_of_six_digits_have_their_own_arxiv_ids(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from priorlens.plans import all_queries  # noqa: F401
+    from priorlens.plans.registry import spark_queries
+
+    keys = [10_000, 100_000, 100_001, 1_200_000, 10_000_001]
+    frame = spark.createDataFrame([(k,) for k in keys], "k bigint")
+    day = lambda c: F.to_timestamp(F.lit(c))
+    frame.select(F.col("k").alias("o_orderkey"), F.lit("O").alias("o_orderstatus"), day("1998-01-02").alias("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
+    lines = frame.select(F.col("k").alias("l_orderkey"), F.explode(F.array(*[F.lit(k).cast("bigint") for k in keys])).alias("l_partkey"), F.lit(1).cast("bigint").alias("l_suppkey"))
+    lines = lines.filter("l_partkey <= 100001").withColumn("l_linenumber", (F.col("l_partkey") % 7).cast("int")).withColumn("l_shipdate", F.to_timestamp(F.date_add(F.lit("1997-01-01"), F.col("l_linenumber"))))
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    frame.select(F.col("k").alias("p_partkey"), F.lit(7).alias("p_size"), F.lit("thing").alias("p_name")).write.parquet(f"{tmp_path}/part.parquet")
+    run = lambda name: spark_queries()[name](spark, str(tmp_path)).collect()
+    assert not [r for r in run("dat_historical_source") if r["error"] and "two records" in r["error"]]
+    found = run("stu_resolution")
+    assert len(found) == 15 and all(r["work_id"] == f"W{r['group_ordinal']}" and r["resolution_method"] == "ARXIV_DOI" for r in found)
