@@ -24,6 +24,7 @@ from . import textkernel as tk
 from .textstats import SYMBOL, text_stats
 
 SAMPLE, PART = 8_192, 1_024
+BLOCK = 1 << 20  # bytes of text judged at a time: votes and grams take tens of bytes for each
 DIMENSIONS, GRAM, SCALE = 1 << 14, 5, 30.0
 EM_ROUNDS, STEPS, RATE, DECAY = 100, 400, 0.05, 1e-5
 KEEP = 0.3
@@ -155,7 +156,7 @@ def label_model(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(3 ** len(LABELLERS), np.int64)
-        for block in tk.blocks(batches, "text"):
+        for block in tk.blocks(batches, "text", BLOCK):
             counts += np.bincount(patterns(votes(*tk.text_bytes(block.column("text")))), minlength=len(counts))
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_pydict({"pattern": pa.array(seen), "n": pa.array(counts[seen])})
@@ -181,7 +182,7 @@ def train(docs: DataFrame, posterior: np.ndarray) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         xs, ys = [], []
-        for block in tk.blocks(batches, "text"):
+        for block in tk.blocks(batches, "text", BLOCK):
             data, offsets = tk.text_bytes(block.column("text"))
             slots, rows = _features(data, offsets)
             v = votes(data, offsets)
@@ -223,7 +224,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     scorer = Scorer(source)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in tk.blocks(batches, "text"):
+        for block in tk.blocks(batches, "text", BLOCK):
             posterior, score = scorer(block.column("text"))
             yield pa.RecordBatch.from_pydict({"doc_id": block.column("doc_id"), "posterior": pa.array(posterior), "score": pa.array(score), "kept": pa.array(score >= KEEP)})
 
@@ -235,7 +236,7 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     scorer = Scorer(docs.selectExpr(f"`{text_col}` as text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in tk.blocks(batches, text_col):
+        for block in tk.blocks(batches, text_col, BLOCK):
             yield block.filter(pa.array(scorer(block.column(text_col))[1] >= KEEP))
 
     return docs.mapInArrow(run, docs.schema)

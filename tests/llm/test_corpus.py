@@ -285,3 +285,26 @@ def test_pipeline(spark, tables, tmp_path):
             assert docs.columns == columns
     assert counts[0] > counts[1] > counts[2] == counts[3] == counts[4] <= counts[5]
     assert same(corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "piece", "ids_crc32"), docs.select("doc_id", "piece", "ids_crc32").collect())
+
+
+def test_quality_blocks_are_judged_in_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from priorlens.llm import quality, textkernel as tk
+
+    texts = ["Some words of plain prose, number %d. " % i * 40 for i in range(4000)]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts)})
+    tk.powers(2)  # shared table, kept by the process
+    tracemalloc.start()
+    found = []
+    for block in tk.blocks([batch], "text", quality.BLOCK):
+        data, offsets = tk.text_bytes(block.column("text"))
+        found.append(quality.votes(data, offsets))
+        quality._features(data, offsets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    whole = quality.votes(*tk.text_bytes(batch.column("text")))
+    assert sum(map(len, found)) == len(texts) and (sum(f.sum() for f in found) == whole.sum())
+    assert peak < 80 << 20
