@@ -220,3 +220,44 @@ def test_keys_of_six_digits_have_their_own_arxiv_ids(spark, tmp_path):
     assert not [r for r in run("dat_historical_source") if r["error"] and "two records" in r["error"]]
     found = run("stu_resolution")
     assert len(found) == 15 and all(r["work_id"] == f"W{r['group_ordinal']}" and r["resolution_method"] == "ARXIV_DOI" for r in found)
+
+
+def test_pairs_count_their_citing_works_by_day(spark):
+    """Every pair against its definition; a pair named by many cases and cited by many works meets them as one row."""
+    import random
+    from datetime import date, timedelta
+
+    from priorlens.operators import study
+
+    rng, start = random.Random(11), date(2020, 1, 1)
+    works = {f"s{s}": None if s % 7 == 0 else start + timedelta(days=rng.randrange(9)) for s in range(300)}
+    edges = {(s, f"t{n}") for s in works for n in (0, 1, rng.randrange(2, 90))} | {("s1", f"t{n}") for n in range(90)} | {("t0", "t1"), ("t0", "t0")}
+    cases = {f"c{k}": (start + timedelta(days=k % 9), ["t0", "t1", f"t{rng.randrange(2, 90)}"][:: (-1) ** k] + (["t0"] if k == 5 else [])) for k in range(200)}
+    priors = [(c, i, w, start, 3, "NONEMPTY" if w != "t1" else "UNRESOLVED") for c, (_, named) in cases.items() for i, w in enumerate(named)]
+    p = spark.createDataFrame(priors, "case_id string, pos int, work_id string, earliest_public_date date, cited_by_count bigint, reference_coverage_status string")
+    pairs = study.prior_pairs(p, spark.createDataFrame([(c, cut) for c, (cut, _) in cases.items()], "case_id string, cutoff date"))
+    lost = spark.createDataFrame([("t0", "t1")], "work_lo string, work_hi string")
+    listed = study.citing_works(pairs, spark.createDataFrame(sorted(edges), "source_id string, target_id string"), spark.createDataFrame(list(works.items()), "work_id string, publication_date date"))
+    found = study.pair_bridges(pairs, listed, lost).collect()
+    want = []
+    for c, (cut, named) in cases.items():
+        for i, a in enumerate(named):
+            for b in named[i + 1 :]:
+                both = [s for s in {*works, "t0"} if (s, a) in edges and (s, b) in edges and s not in (a, b)]
+                undated = sum(works.get(s) is None for s in both)
+                want.append((c, a, b, len(both), sum(works.get(s) is not None and works[s] <= cut for s in both), undated, "PARTIAL" if {a, b} == {"t0", "t1"} else "COMPLETE", "t1" in (a, b)))
+    assert sorted((r.case_id, r.work_a, r.work_b, r.total, r.pre_cutoff_bridge_count, r.date_uncertain_count, r.status, r.coverage_gap) for r in found) == sorted(want)
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    import time
+
+    from priorlens.session import SHUFFLE_CLEANUP, cut_lineage
+
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").count("shuffle_")
+    before, setting = files(), spark.conf.get(SHUFFLE_CLEANUP)
+    assert cut_lineage(spark.range(1000).groupBy("id").count()).count() == 1000
+    until = time.time() + 10
+    while files() > before and time.time() < until:  # deleted in the background
+        time.sleep(0.1)
+    assert files() <= before and spark.conf.get(SHUFFLE_CLEANUP) == setting
