@@ -111,3 +111,30 @@ def test_large_group_and_names(spark, tmp_path):
     found = sorted((r[0], -1 if r[1] is None else r[1]) for r in kept.collect())
     assert (5, 1_000) in found and (6, 0) in found and (7, -1) in found and (8, 7_000) in found
     assert len(found) <= 6
+
+
+def test_no_pair_at_the_threshold_is_lost(spark, tmp_path):
+    """Pairs of similarity 0.80 to 0.85, which few bits let meet; frequent shingles in most texts; the sets against all pairs."""
+    rng = random.Random(12)
+    common = [[f"c{k}x{j}" for j in range(12)] for k in range(6)]
+    rows = []
+    for i in range(150):
+        words = [f"w{rng.random()}" for _ in range(rng.choice([12, 40, 120]))]
+        words += [w for part in rng.sample(common, 3) for w in part]
+        cut = max(1, round(len(words) / 9))
+        rows += [(10 * i, " ".join(words)), (10 * i + 1, " ".join(words[cut:])), (10 * i + 2, " ".join([*words[cut:], *(f"n{rng.random()}" for _ in range(cut))]))]
+    rows += [(9_000 + i, " ".join(f"s{k}" for k in range(i))) for i in range(12)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "docs"))
+    kept = sorted(r.doc_id for r in nearcopies.keep_one_of_near_copies(spark.read.parquet(str(tmp_path / "docs"))).collect())
+    assert kept == sorted(min(rows[i][0] for i in g) for g in groups(rows))
+
+
+def test_order_of_shingles_changes_no_link(spark, tmp_path, monkeypatch):
+    rows = planted(random.Random(13), 12)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    expected = {min(rows[i][0] for i in g) for g in groups(rows)}
+    for frequent, latest in ((0, 3), (0, 1 << 20), (8, 1 << 20)):
+        monkeypatch.setattr(nearcopies, "FREQUENT", frequent)
+        monkeypatch.setattr(nearcopies, "LATEST", latest)
+        assert {r.doc_id for r in nearcopies.keep_one_of_near_copies(docs).collect()} == expected
