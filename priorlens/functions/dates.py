@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,29 +31,40 @@ def source_priority(source: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), F.coalesce(source, F.lit(""))), F.lit(UNKNOWN_SOURCE_PRIORITY))
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)``, with the value worked out once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def parse_date(c: Column | str) -> Column:
     """``struct(parsed, precision, lower_bound, upper_bound)`` of a textual date.
 
     A year or a month is never turned into a day; it only has bounds.
     """
     c = _col(c).cast("string")
-    text = strip(c)
-    day = F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_date(text, "yyyy-M-d"))
-    month = F.when(text.rlike(r"^\d{4}-\d{1,2}$"), F.try_to_date(F.concat(text, F.lit("-1")), "yyyy-M-d"))
-    year = F.when(text.rlike(r"^\d{4}$"), F.try_to_date(F.concat(text, F.lit("-1-1")), "yyyy-M-d"))
-    precision = (
-        F.when(c.isNull() | (c == ""), "missing")
-        .when(text.rlike(r"^\d{4}$"), "year")
-        .when(day.isNotNull(), "day")
-        .when(month.isNotNull(), "month")
-        .otherwise("invalid")
-    )
-    return F.struct(
-        day.alias("parsed"),
-        precision.alias("precision"),
-        F.coalesce(day, month, year).alias("lower_bound"),
-        F.coalesce(day, F.last_day(month), F.add_months(year, 12) - F.expr("interval 1 day")).cast("date").alias("upper_bound"),
-    )
+
+    def first_day(text: Column) -> Column:
+        written = text.rlike(r"^\d{4}(-\d{1,2}){0,2}$")
+        dashes = F.when(written, F.length(F.translate(text, "0123456789", "")))
+        return F.struct(dashes.alias("dashes"), F.when(written & ~text.startswith("0000-"), text.try_cast("date")).alias("day"))
+
+    def bounds(first: Column) -> Column:
+        day, dashes = first["day"], first["dashes"]
+        precision = (
+            F.when(c.isNull() | (c == ""), "missing")
+            .when(dashes == 0, "year")
+            .when((dashes == 1) & day.isNotNull(), "month")
+            .when((dashes == 2) & day.isNotNull(), "day")
+            .otherwise("invalid")
+        )
+        return F.struct(
+            F.when(dashes == 2, day).alias("parsed"),
+            precision.alias("precision"),
+            day.alias("lower_bound"),
+            F.when(dashes == 2, day).when(dashes == 1, F.last_day(day)).otherwise(F.date_sub(F.add_months(day, 12), 1)).alias("upper_bound"),
+        )
+
+    return _once(_once(strip(c), first_day), bounds)
 
 
 def full_day(c: Column | str) -> Column:

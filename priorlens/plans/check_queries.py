@@ -126,7 +126,7 @@ def val_dates(t: Tables) -> DataFrame:
     true = G._cut(t).select("audit_id", F.col("id").cast("string").alias("id"), "dates", "year", "earliest_public_date", "cutoff_status")
     n = "cast(id AS bigint)"
     papers = true.withColumns({"earliest_public_date": S(f"CASE WHEN {n} % 5 = 0 THEN '1996-01-01' ELSE cast(earliest_public_date AS string) END"), "cutoff_status": S(f"CASE WHEN {n} % 6 = 0 THEN 'ELIGIBLE' ELSE cutoff_status END"), "cutoff": F.lit(None).cast("string")})
-    audits = t.spark.createDataFrame([("dates", G.CUTOFF)], "audit_id string, cutoff string")
+    audits = t.rows([("dates", G.CUTOFF)], "audit_id string, cutoff string")
     return _run("VAL-13", audits=audits, papers=papers).drop("audit_id")
 
 

@@ -189,7 +189,7 @@ DATES_SQL = """WITH s AS (SELECT l_orderkey, min(l_shipdate)::date AS ship FROM
 
 
 def _cut(t: Tables) -> DataFrame:
-    audits = t.spark.createDataFrame([("dates", CUTOFF)], "audit_id string, cutoff string")
+    audits = t.rows([("dates", CUTOFF)], "audit_id string, cutoff string")
     return dates.apply_cutoff(dated_orders(t), audits)[0]
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 REGISTRY: dict[str, tuple[Callable, str | None]] = {}
 
@@ -18,6 +20,13 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def rows(self, rows: list[tuple], fields: str) -> DataFrame:
+        """A few fixed rows that the optimizer knows to be few; of a Python list it does not know the size,
+        and joins such a table by a shuffle, or by a product that works the other side out once per partition."""
+        columns = T.StructType.fromDDL(fields).fields
+        structs = [F.struct(*[F.lit(v).cast(c.dataType).alias(c.name) for v, c in zip(row, columns)]) for row in rows]
+        return self.spark.range(0, 1, 1, 1).select(F.inline(F.array(*structs)))
+
 
 def arxiv_name(key: str) -> str:
     """SQL of an arXiv identifier for a key: 100,000 to a month from 2001 on, so that no two keys share one."""
