@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from priorlens.functions.dates import parse_date
-from priorlens.plans import all_queries, graph_queries as G  # noqa: F401  (registers the queries)
+from priorlens.operators.checks import Context, document
+from priorlens.plans import all_queries, audit_queries as A, graph_queries as G  # noqa: F401  (registers the queries)
 from priorlens.plans.registry import Tables, spark_queries
 
 DAY = datetime.datetime(1996, 1, 2)
@@ -61,3 +62,20 @@ def test_dates_at_the_edges(spark):
     assert spark.range(1).select(parse_date(F.lit("0000"))["lower_bound"].cast("string")).first()[0] == "0000-01-01"
     inside = spark.range(1).select(F.transform(F.array(*[F.lit(c).cast("string") for c in cases]), lambda c: parse_date(c)).alias("p")).first()[0]
     assert [tuple(p) for p in inside] == list(cases.values())
+
+
+def test_documents_are_dealt_over_all_parts(spark, folder):
+    docs = A.audit_documents(Tables(spark, folder))
+    text = plan(docs)
+    assert "ExistingRDD" not in text and "REPARTITION_BY_NUM" in text
+    assert docs.count() == 12
+
+
+def test_shape_reads_all_sections_of_a_document_in_one_pass(spark):
+    rules = Context({"reports": spark.createDataFrame([("a", '{"search": {"providers": [{"name": 1}, 2]}, "papers": [null], "evidence": "x", "claim_map": 3}')], "audit_id string, doc string")})
+    items = document._missing_item_keys(rules.reports, document.REQUIRED_ITEM_KEYS)
+    text = items._jdf.queryExecution().optimizedPlan().toString()
+    assert "get_json_object" not in text and text.count("LogicalRDD") == 1
+    found = {(r.entity_id, r.detail) for r in items.collect()}
+    assert {e for e, _ in found} == {"search.providers.0", "search.providers.1", "papers.0"}
+    assert ("search.providers.0", "absent field: name") not in found and ("search.providers.0", "absent field: status") in found and ("search.providers.1", "absent field: name") in found
