@@ -236,15 +236,25 @@ def dat_parse(t: Tables) -> DataFrame:
 # ------------------------------------------------------------------ provider records
 
 
+def inverted_index(docs: DataFrame) -> DataFrame:
+    """``(doc_id, index)``: the places of each word of a text, found by sorting the row's own words."""
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    placed = docs.select("doc_id", F.sort_array(F.transform(words, lambda w, p: F.struct(w.alias("w"), p.alias("p")))).alias("s"))
+    new = lambda k: (k == 0) | (F.get("s", k)["w"] != F.get("s", k - 1)["w"])
+    found = placed.withColumn("starts", F.when(F.size("s") > 0, F.filter(F.sequence(F.lit(0), F.size("s") - 1), new)).when(F.col("s").isNotNull(), F.array().cast("array<int>")))
+    entry = F.transform(
+        "starts",
+        lambda k, i: F.struct(F.get("s", k)["w"].alias("w"), F.transform(F.slice("s", k + 1, F.coalesce(F.get("starts", i + 1), F.size("s")) - k), lambda x: x["p"]).alias("ps")),
+    )
+    return found.select("doc_id", F.map_from_entries(entry).alias("index"))
+
+
 @query(
     "src_abstract",
     """SELECT doc_id, md5(array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''), ' ')) AS abstract_md5 FROM documents""",
 )
 def src_abstract(t: Tables) -> DataFrame:
-    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    places = t.documents.select("doc_id", F.posexplode(words).alias("p", "w")).groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps"))
-    index = places.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("index"))
-    return index.select("doc_id", F.md5(records.rebuild_abstract(F.col("index"))).alias("abstract_md5"))
+    return inverted_index(t.documents).select("doc_id", F.md5(F.coalesce(records.rebuild_abstract(F.col("index")), F.when(F.col("index").isNotNull(), ""))).alias("abstract_md5"))
 
 
 def openalex_works(t: Tables) -> DataFrame:

@@ -1,6 +1,7 @@
 """Plans of registered queries over a few rows: what is joined how, and how often it is worked out."""
 
 import datetime
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -79,3 +80,13 @@ def test_shape_reads_all_sections_of_a_document_in_one_pass(spark):
     found = {(r.entity_id, r.detail) for r in items.collect()}
     assert {e for e, _ in found} == {"search.providers.0", "search.providers.1", "papers.0"}
     assert ("search.providers.0", "absent field: name") not in found and ("search.providers.0", "absent field: status") in found and ("search.providers.1", "absent field: name") in found
+
+
+def test_abstract_index_is_built_in_the_row(spark, tmp_path):
+    """A text without words keeps its row, as in the SQL; no word is shuffled."""
+    texts = [(1, "b a  b\tc a b"), (2, " "), (3, None), (4, "")]
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    out = spark_queries()["src_abstract"](spark, str(tmp_path))
+    assert "Exchange" not in plan(out)
+    got = {r["doc_id"]: r["abstract_md5"] for r in out.collect()}
+    assert got == {k: hashlib.md5(" ".join(t.split()).encode()).hexdigest() if t is not None else None for k, t in texts}
