@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from priorlens.functions.dates import parse_date
+from priorlens.operators import expansion
 from priorlens.operators.checks import Context, document
 from priorlens.plans import all_queries, audit_queries as A, graph_queries as G  # noqa: F401  (registers the queries)
 from priorlens.plans.registry import Tables, spark_queries
@@ -82,6 +83,28 @@ def test_shape_reads_all_sections_of_a_document_in_one_pass(spark):
     assert ("search.providers.0", "absent field: name") not in found and ("search.providers.0", "absent field: status") in found and ("search.providers.1", "absent field: name") in found
 
 
+def test_calls_of_a_pair_need_no_join_but_that_with_its_ends(spark):
+    """Calls and failures by hand: an unknown end, an end without a count, a provider of one end only, a work with itself."""
+    papers = spark.createDataFrame(
+        [("q", "A", ["openalex"], {"semantic-scholar": "sa"}, 3), ("q", "B", [], {"openalex": "wb"}, 5), ("q", "C", [], {"semantic-scholar": "sc"}, None)],
+        "audit_id string, id string, providers array<string>, provider_ids map<string,string>, citation_count long",
+    )
+    both = ["openalex", "semantic-scholar"]
+    pairs = spark.createDataFrame([("q", "A", "B", both), ("q", "A", "C", both), ("q", "B", "Z", both), ("q", "A", "A", ["openalex"])], "audit_id string, paper_a string, paper_b string, selected array<string>")
+    ends = expansion.pair_ends(pairs, papers)
+    stored = spark.createDataFrame(ends.collect(), ends.schema)
+    assert "Join" not in plan(expansion.routes(stored))
+    calls = {(r.paper_a + r.paper_b, r.endpoint, r.provider[0], r.direction[0], r.provider_id, r.other_provider_id) for r in expansion.routes(stored).collect()}
+    assert calls == {
+        ("AB", "A", "o", "B", "A", None), ("AB", "A", "s", "B", "sa", None), ("AB", "B", "o", "B", "wb", None), ("AB", "A", "o", "F", "A", "wb"),
+        ("AC", "A", "o", "B", "A", None), ("AC", "A", "s", "B", "sa", None), ("AC", "C", "s", "B", "sc", None), ("AC", "A", "s", "F", "sa", "sc"), ("AC", "C", "s", "F", "sc", "sa"),
+        ("BZ", "B", "o", "B", "wb", None), ("AA", "A", "o", "B", "A", None),
+    }
+    outage = spark.createDataFrame([("semantic-scholar", "FORWARD", "sc", "HTTP 503")], "provider string, direction string, provider_id string, detail string")
+    failed = {(r.paper_a + r.paper_b, r.provider, r.direction[0], r.anchor_paper_id) for r in expansion.call_failures(stored, outage).collect()}
+    assert failed == {("AC", "semantic-scholar", "F", "C"), ("BZ", "none", "B", "Z"), ("AA", "none", "F", "A")}
+
+
 def test_abstract_index_is_built_in_the_row(spark, tmp_path):
     """A text without words keeps its row, as in the SQL; no word is shuffled."""
     texts = [(1, "b a  b\tc a b"), (2, " "), (3, None), (4, "")]
