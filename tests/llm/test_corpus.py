@@ -270,6 +270,22 @@ def test_scores(stored, empty, monkeypatch):
     assert lmscore.score_texts(empty).count() == 0
 
 
+def test_attention_learns_from_every_window_of_every_training_text(spark, tmp_path):
+    words = ["".join(random.Random(i).choices("abcdefghijklmnopqrstuvwxyz", k=7)) for i in range(900)]
+    rows = [(i, f"{w} said {w} " * (40 if i == 5 else 1)) for i, w in enumerate(words)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "docs"))
+    docs, pieces = spark.read.parquet(str(tmp_path / "docs")), subwords.Subwords(None, 1000, 1000)
+    model = lmscore.trained(docs, pieces)
+    ids = [np.frombuffer(pieces.encode(t), "<u4") for i, t in rows if not held_out(i)]
+    unigram = np.bincount(np.concatenate(ids), minlength=attention.VOCABULARY).astype(float)
+    unigram[attention.END] = len(ids)
+    assert np.allclose(model.counts.sum(axis=1), unigram, rtol=1e-3)  # the experts share every target
+    moved = (model.embedding != attention.begun(unigram).embedding).any(axis=1)
+    assert moved[np.unique(np.concatenate(ids))].all() and moved.sum() < attention.VOCABULARY / 4
+    again = lmscore.trained(docs, pieces)
+    assert (again.embedding == model.embedding).all() and (again.counts == model.counts).all()
+
+
 def test_pipeline(spark, tables, tmp_path):
     import corpus_pipeline
 
