@@ -105,6 +105,31 @@ def test_calls_of_a_pair_need_no_join_but_that_with_its_ends(spark):
     assert failed == {("AC", "semantic-scholar", "F", "C"), ("BZ", "none", "B", "Z"), ("AA", "none", "F", "A")}
 
 
+def test_what_calls_show_comes_with_the_ends(spark):
+    """Degrees, failures and cuts meet the papers, so that calls, failures and observations of the pairs join none of them."""
+    papers = spark.createDataFrame([("q", "A", {"openalex": "wa", "semantic-scholar": "sa"}, 3), ("q", "B", {"openalex": "wb"}, 5), ("q", "C", {}, 1)], "audit_id string, id string, provider_ids map<string,string>, citation_count long")
+    papers = papers.withColumn("providers", F.array().cast("array<string>"))
+    edges = spark.createDataFrame([("openalex", "wa", "x"), ("openalex", "wa", "y"), ("openalex", "z", "wa"), ("semantic-scholar", "u", "sa")], "provider string, source_id string, target_id string")
+    down = spark.createDataFrame([("semantic-scholar", "BACKWARD", "sa", None), ("semantic-scholar", "BACKWARD", "sa", "HTTP 503"), ("openalex", "FORWARD", None, "x")], "provider string, direction string, provider_id string, detail string")
+    cuts = spark.createDataFrame([("openalex", "FORWARD", "wa", 1, "next"), ("openalex", "FORWARD", "wa", 1, "more"), ("openalex", "BACKWARD", "other", 1, "t")], "provider string, direction string, provider_id string, limit int, next_token string")
+    pairs = spark.createDataFrame([("q", "A", "B", ["openalex", "semantic-scholar"]), ("q", "A", "C", ["openalex"])], "audit_id string, paper_a string, paper_b string, selected array<string>")
+    ends = expansion.pair_ends(pairs, papers, expansion.route_facts(papers, edges, down, cuts))
+    stored = spark.createDataFrame(ends.collect(), ends.schema)
+    calls, failed = expansion.call_log(expansion.routes(stored)), expansion.call_failures(stored)
+    assert "Join" not in plan(calls) and "Exchange" not in plan(calls) and "Join" not in plan(failed)
+    assert sorted((r.paper_b, r.direction, r.provider_id, r.returned_count, r.exhausted, r.next_token or "") for r in calls.collect()) == [
+        ("B", "BACKWARD", "wa", 2, True, ""), ("B", "BACKWARD", "wb", 0, True, ""), ("B", "FORWARD", "wa", 1, False, "more"), ("B", "FORWARD", "wa", 1, False, "next"), ("C", "BACKWARD", "wa", 2, True, ""),
+    ]
+    assert sorted((r.paper_b, r.provider, r.direction, r.anchor_paper_id, r.detail or "") for r in failed.collect()) == [
+        ("B", "semantic-scholar", "BACKWARD", "A", ""), ("B", "semantic-scholar", "BACKWARD", "A", "HTTP 503"), ("C", "none", "BACKWARD", "C", "no chosen provider knows the endpoint"), ("C", "none", "FORWARD", "C", "no chosen provider knows both endpoints"),
+    ]
+    seen = {(r.paper_b, r.paper_id): (r.status, r.provider_returned_count, [o.status for o in r.provider_observations]) for r in expansion.reference_observations(pairs, stored).collect()}
+    assert seen == {
+        ("B", "A"): ("NONEMPTY", 2, ["NONEMPTY", "FAILED", "FAILED"]), ("B", "B"): ("EMPTY_AT_PROVIDER", 0, ["EMPTY_AT_PROVIDER"]),
+        ("C", "A"): ("NONEMPTY", 2, ["NONEMPTY"]), ("C", "C"): ("FAILED", None, ["FAILED"]),
+    }
+
+
 def test_abstract_index_is_built_in_the_row(spark, tmp_path):
     """A text without words keeps its row, as in the SQL; no word is shuffled."""
     texts = [(1, "b a  b\tc a b"), (2, " "), (3, None), (4, "")]
